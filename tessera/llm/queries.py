@@ -6,10 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, quality, sharding
+from tessera.llm import exact_dedup, line_dedup, pieces, quality, sharding, substring_dedup, toxicity
 from tessera.llm.shared import documents
 
 N_SHARDS = 40
+#: Folder of the tokenizer files; in it, the SentencePiece model.
+TOKENIZERS = "/opt/tokenizers"
+MODEL_FILE = f"{TOKENIZERS}/piece_bpe_32k.model"
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(documents(spark, sf_dir)).drop("kept_text")
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trips(documents(spark, sf_dir), MODEL_FILE)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,10 +35,22 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(documents(spark, sf_dir)).drop("kept_text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substring_dedup": op2_substring_dedup,
+    "op4_sentencepiece": op4_sentencepiece,
     "op6_quality": op6_quality,
     "op7_sharding": op7_sharding,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_toxicity": op9_toxicity,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 SQL: dict[str, str] = {
@@ -35,4 +58,27 @@ SQL: dict[str, str] = {
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_sha256 FROM d JOIN g USING (text_sha256)""",
+    "op2_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM d),
+x AS (SELECT doc_id, s, array_to_string(w[s:s + 12], ' ') AS c FROM s),
+f AS (SELECT c, min(doc_id) AS m FROM x GROUP BY c),
+later AS (SELECT x.doc_id, x.s FROM x JOIN f USING (c) WHERE f.m < x.doc_id),
+gone AS (SELECT doc_id, list(DISTINCT p) AS g FROM (SELECT doc_id, unnest(range(s, s + 13)) AS p FROM later) GROUP BY doc_id),
+runs AS (SELECT doc_id, sum(CASE WHEN before IS NULL OR s - before > 13 THEN 1 ELSE 0 END) AS r
+  FROM (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM later) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed, CAST(coalesce(r, 0) AS BIGINT) AS n_repeats,
+ sha256(array_to_string(list_filter(w, lambda x, i: g IS NULL OR NOT list_contains(g, i)), ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN runs USING (doc_id)""",
+    "op10_line_dedup": r"""
+WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)),
+  lambda x: regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')), lambda x: x <> '') AS l FROM documents),
+s AS (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS s FROM d),
+x AS (SELECT doc_id, s, array_to_string(l[s:s + 2], chr(10)) AS c FROM s),
+f AS (SELECT c, min(struct_pack(d := doc_id, s := s)) AS m FROM x GROUP BY c),
+later AS (SELECT x.doc_id, x.s FROM x JOIN f USING (c) WHERE f.m.d <> x.doc_id OR x.s - f.m.s >= 3),
+gone AS (SELECT doc_id, list(DISTINCT p) AS g FROM (SELECT doc_id, unnest(range(s, s + 3)) AS p FROM later) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed,
+ sha256(array_to_string(list_filter(l, lambda x, i: g IS NULL OR NOT list_contains(g, i)), chr(10))) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)""",
 }
