@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, jaccard_join, line_dedup, mixing_lm, pieces, quality, sharding, substring_dedup, toxicity
+from tessera.llm import exact_dedup, jaccard_join, line_dedup, mixing_lm, mixture, pieces, quality, sharding, substring_dedup, toxicity
 from tessera.llm.shared import documents
 
 N_SHARDS = 40
@@ -15,6 +15,15 @@ TOKENIZERS = "/opt/tokenizers"
 MODEL_FILE = f"{TOKENIZERS}/piece_bpe_32k.model"
 
 
+#: Target shares of tokens: of texts labelled as good, and of the others.
+MIX_WEIGHTS = {0: 0.15, 1: 0.85}
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixture.mix(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), MIX_WEIGHTS)
+    return mixed.select("doc_id", "n_tokens", "p", "rate", "copies")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(documents(spark, sf_dir)).drop("kept_text")
 
@@ -52,6 +61,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_sentencepiece": op4_sentencepiece,
