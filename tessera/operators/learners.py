@@ -52,18 +52,27 @@ def _tests(k: int, width: int, seed: int, blocks: int | None):
     return F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: (start + F.floor(uniform(seed, "tree_id", "node", j) * size)).cast("int")))
 
 
-def fit_trees(rows: DataFrame, trees: int, k: int, classes: int | None = None, min_split: int = 2, depth: int = 12, seed: int = 0, blocks: int | None = None) -> DataFrame:
+def fit_trees(rows: DataFrame, trees: int, k: int, classes: int | None = None, min_split: int = 2, depth: int = 12, seed: int = 0, blocks: int | None = None, grouped: bool = False) -> DataFrame:
     """Extremely randomised trees: a table of nodes. ML-01; blocks: tree i sees feature block i only, ML-13.
 
     rows: sample_id, label (an index below `classes`) and features; without `classes` label is an array of numbers to
-    regress, ML-14. Level by level, for all trees and nodes at once: one aggregate finds each tried feature's range, a
+    regress, ML-14; with `classes` it may be an array of indexes, one per output, ML-02 (value then holds `classes` numbers
+    per output, in turn). grouped: rows have a column group, and trees group * trees and following see that group's rows
+    only, so models of many groups are fitted together. Level by level, for all trees and nodes at once: one aggregate finds each tried feature's range, a
     hash draws a threshold in it, one aggregate adds up both sides of every test, and the test that lowers impurity most
-    splits the node. Only the table of open splits, not rows, is joined back; nothing goes to the driver but its size.
+    splits the node; one whose tried features are all constant is a leaf. Rows are joined with the table of open splits;
+    nothing goes to the driver but its size.
     """
     width = len(rows.select("features").first()[0])
-    target = F.array(*((F.col("label") == c).cast("double") for c in range(classes))) if classes else F.transform("label", lambda v: v.cast("double"))
-    outputs = classes or len(rows.select("label").first()[0])
-    state = cut(rows.select("sample_id", "features", target.alias("t"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree_id")).withColumn("node", F.lit(1).cast("long")))
+    several = dict(rows.dtypes)["label"].startswith("array")
+    one_hot = lambda v: F.array(*((v == c).cast("double") for c in range(classes)))
+    if classes:
+        target = F.flatten(F.transform("label", one_hot)) if several else one_hot(F.col("label"))
+    else:
+        target = F.transform("label", lambda v: v.cast("double"))
+    outputs = (classes or 1) * (len(rows.select("label").first()[0]) if several else 1)
+    first = F.col("group") * trees if grouped else F.lit(0)
+    state = cut(rows.select("sample_id", "features", target.alias("t"), F.explode(F.sequence(first, first + (trees - 1))).alias("tree_id")).withColumns({"tree_id": F.col("tree_id").cast("int"), "node": F.lit(1).cast("long")}))
     sums = [F.sum(F.col("t")[c]).alias(f"s{c}") for c in range(outputs)] + [F.sum(F.col("t")[c] * F.col("t")[c]).alias(f"q{c}") for c in range(outputs)]
 
     def impurity(prefix: str):
@@ -99,12 +108,18 @@ def fit_trees(rows: DataFrame, trees: int, k: int, classes: int | None = None, m
     return cut(out)
 
 
-def apply_trees(rows: DataFrame, nodes: DataFrame, depth: int = 64) -> DataFrame:
-    """(sample_id, tree_id, node, value): the leaf that each row ends in. ML-03, JOIN-12.
+def apply_trees(rows: DataFrame, nodes: DataFrame, depth: int = 64, grouped: int | None = None) -> DataFrame:
+    """(sample_id, tree_id, node, value): the leaf that each row ends in. ML-03, JOIN-12. grouped: trees per group, of which
+    a row (with a column group) goes through its own.
 
     Rows go down a level per round by an equi join on (tree_id, node), so the forest may be of any size.
     """
-    at = rows.select("sample_id", "features").join(nodes.select("tree_id").distinct(), how="cross").withColumn("node", F.lit(1).cast("long"))
+    trees = nodes.select("tree_id").distinct()
+    if grouped:
+        at = rows.select("sample_id", "features", "group").join(trees.withColumn("group", F.floor(F.col("tree_id") / grouped)), "group").drop("group")
+    else:
+        at = rows.select("sample_id", "features").join(trees, how="cross")
+    at = at.withColumn("node", F.lit(1).cast("long"))
     done = None
     for _ in range(depth):
         met = cut(at.join(nodes, ["tree_id", "node"]))
