@@ -4,6 +4,7 @@ the maximal repeats of a minimum length are removed wherever a document with a s
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,44 +39,46 @@ def _anchors(repeat: int, k: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch, texts in chunks(batches):
-            places, hashes, counts = [], [], []
+            hashes, counts = [], []
             for t in texts:
                 a = rolling(known.of(t.split()), k)
                 found = np.unique(a[np.unique(selected(a, repeat - k + 1))])  # once per document
                 hashes.append(found)
                 counts.append(len(found))
             rows = np.repeat(np.arange(len(texts)), counts)
-            del places
             anchor = np.concatenate(hashes).view(np.int64) if hashes else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(anchor)], names=["doc_id", "anchor"])
 
     return apply
 
 
-def _windows(repeat: int, k: int):
-    """Extends each seed both ways, over all the windows that selected it: (window fingerprint of 128 bits, doc, start)."""
+def _extensions(repeat: int, k: int):
+    """Extends each seed both ways, over all the windows that selected it: (anchor, fingerprints of those windows, place)."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch, texts in chunks(batches):
             seeds = batch.column(batch.schema.get_field_index("seeds"))
-            owner, starts, high, low = [], [], [], []
+            owner, anchor, place, sizes, prints = [], [], [], [], []
             for i, t in enumerate(texts):
                 h = known.of(t.split())
                 a = rolling(h, k)
                 at = selected(a, repeat - k + 1)
-                own = np.asarray(seeds[i].values).view(np.uint64)
-                hit = np.flatnonzero(np.isin(a[at], own))
-                if len(hit):
-                    high.append(rolling(h, repeat)[hit])
-                    low.append(rolling(h, repeat, 0xD6E8FEB86659FD93)[hit])
-                    starts.append(hit)
-                    owner.append(np.full(len(hit), i))
+                hit = np.flatnonzero(np.isin(a[at], np.asarray(seeds[i].values).view(np.uint64)))
+                if not len(hit):
+                    continue
+                # windows that follow each other and selected one anchor make up one row
+                first = np.flatnonzero(np.r_[True, (np.diff(hit) > 1) | (np.diff(at[hit]) != 0)])
+                owner.append(np.full(len(first), i))
+                anchor.append(a[at[hit[first]]])
+                place.append((np.int64(zlib.crc32(t)) << 31) + hit[first])
+                sizes.append(np.diff(np.r_[first, len(hit)]))
+                prints.append(rolling(h, repeat)[hit])
             cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-            rows = pa.array(cat(owner, np.int64))
+            offsets = np.r_[0, np.cumsum(cat(sizes, np.int64))].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cat(high, np.uint64).view(np.int64)), pa.array(cat(low, np.uint64).view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(cat(starts, np.int64).astype(np.int32))],
-                names=["high", "low", "doc_id", "copy", "start"],
+                [pa.array(cat(anchor, np.uint64).view(np.int64)), batch.column(0).take(pa.array(cat(owner, np.int64))), pa.array(cat(place, np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(cat(prints, np.uint64).view(np.int64)))],
+                names=["anchor", "doc_id", "place", "prints"],
             )
 
     return apply
@@ -94,26 +97,32 @@ def seeds(docs: DataFrame, repeat: int = REPEAT, k: int = ANCHOR) -> DataFrame:
 
 
 def repeats(docs: DataFrame, repeat: int = REPEAT, k: int = ANCHOR) -> DataFrame:
-    """(doc_id, copy, starts): the window starts of a document whose window a document with a smaller id has too.
+    """(doc_id, places): the windows of a document that a document with a smaller id has too.
 
-    docs has doc_id (not null), copy (tells rows of one doc_id apart) and text. Consecutive starts make up one maximal
+    docs has doc_id (not null) and text. A place is a window's start, plus a checksum of the text that tells texts of one
+    doc_id apart. Windows are equal if their anchors and their fingerprints are. Consecutive starts make up one maximal
     repeat: a match grows through the windows of neighbouring anchors.
     """
     seeded = docs.join(seeds(docs, repeat, k), "doc_id")
-    windows = seeded.select("doc_id", "copy", "text", "seeds").mapInArrow(_windows(repeat, k), "high long, low long, doc_id long, copy long, start int")
-    first = F.min("doc_id").over(Window.partitionBy("high", "low"))
+    extended = seeded.select("doc_id", "text", "seeds").mapInArrow(_extensions(repeat, k), "anchor long, doc_id long, place long, prints array<long>")
+    # dealt out by anchor as short lists of windows; what is exploded after that stays in its task
+    windows = extended.repartition("anchor").select("anchor", "doc_id", "place", F.posexplode("prints").alias("i", "print"))
+    first = F.min("doc_id").over(Window.partitionBy("anchor", "print"))
     later = windows.withColumn("first", first).filter("doc_id > first")
-    return later.groupBy("doc_id", "copy").agg(F.collect_set("start").alias("starts"))
+    return later.groupBy("doc_id").agg(F.collect_set(F.col("place") + F.col("i")).alias("places"))
 
 
 def _kept(repeat: int, keep_text: bool):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
-            starts = batch.column(batch.schema.get_field_index("starts"))
+            places = batch.column(batch.schema.get_field_index("places"))
             n_words, n_removed, n_repeats, digest, kept_texts = [], [], [], [], []
             for i, t in enumerate(texts):
                 words = t.split()
-                spots = np.sort(np.asarray(starts[i].values)) if starts[i].is_valid else np.zeros(0, np.int32)
+                spots = np.zeros(0, np.int64)
+                if places[i].is_valid:
+                    found = np.asarray(places[i].values)
+                    spots = np.sort(found[found >> 31 == zlib.crc32(t)] & 0x7FFFFFFF)
                 n_repeats.append(0)
                 if len(spots):
                     gone = np.zeros(len(words) + 1, np.int64)
@@ -141,8 +150,8 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """One row per row of docs: doc_id, n_words, n_removed, n_repeats, kept_sha256, kept_text (null unless keep_text).
 
     A word goes if a window of `repeat` consecutive words covers it whose word sequence also starts in a document with a
-    smaller doc_id. Windows are judged on the input. Words are split at white space and compared as they are, by 128-bit
-    fingerprints of the window.
+    smaller doc_id. Windows are judged on the input. Words are split at white space and compared as they are, by 64-bit
+    fingerprints of the window and of its anchor.
 
     Every window selects one of its anchors by content, so windows that are equal share an anchor at the same offset:
     extending the shared anchors over the windows that selected them finds every repeat. Null texts have no words; rows
@@ -151,9 +160,12 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     if not 1 <= k <= repeat:
         raise ValueError("an anchor can't be longer than a repeat")
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("copy"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(doc_id, text)
+    if rows.dtypes != [("doc_id", "bigint"), ("text", "string")]:
+        rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     known = rows.filter(F.col("doc_id").isNotNull())
     found = repeats(known, repeat, k)
-    marked = known.join(found, ["doc_id", "copy"], "left").select("doc_id", "text", "starts")
-    nameless = rows.filter(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts"))
+    # both joins deal texts out by doc_id alone, so Spark shuffles them once and reads that exchange twice
+    marked = known.join(found, "doc_id", "left").select("doc_id", "text", "places")
+    nameless = rows.filter(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<long>").alias("places"))
     return marked.unionByName(nameless).mapInArrow(_kept(repeat, keep_text), "doc_id long, n_words long, n_removed long, n_repeats long, kept_sha256 string, kept_text string")
