@@ -2,8 +2,8 @@
 
 The model file that is at hand is of the BPE kind: its result is defined by merges, not by a sum of scores. The search
 below is a Viterbi pass with a backpointer per boundary, in which a piece may follow another only if the merges would
-leave exactly these two side by side. Under that rule each boundary has one surviving piece, and the path through the
-survivors is the model's own segmentation.
+leave exactly these two side by side. Under that rule each boundary has one surviving piece at most (if there were more,
+the longest would stay), and the path through the survivors is the model's own segmentation.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +21,32 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import chunks
 
 SPACE = "▁"
+START = -2_000_000
+HEAD = 7
 #: A stretch of text that pieces cannot cross: some spaces, then what follows up to the next space.
 STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
+class Stretches(dict):
+    """Stretch, without the space it starts with -> its ids; short ones are remembered, up to a bounded number."""
+
+    def __init__(self, pieces: Pieces):
+        super().__init__()
+        self.pieces = pieces
+
+    def __missing__(self, rest: str) -> tuple[int, ...]:
+        ids = tuple(self.pieces.search(SPACE + rest))
+        if len(rest) < 64:
+            if len(self) >= Pieces.REMEMBERED:
+                self.clear()
+            self[rest] = ids
+        return ids
+
+
 class Pieces:
     """The vocabulary of a SentencePiece model, and the search over it."""
 
-    REMEMBERED = 300_000
+    REMEMBERED = 800_000
 
     def __init__(self, model_file: str):
         import sentencepiece
@@ -43,8 +62,12 @@ class Pieces:
         self.longest = max(map(len, self.ids))
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("pieces that hold a space after other characters aren't supported")
-        self._beside: dict[tuple[str, str], bool] = {}
-        self._known: dict[str, tuple[int, ...]] = {}
+        self.starts = {p[:k]: self.ids.get(p[:k], -1) for p in self.ids for k in range(1, len(p) + 1)}
+        self.bytes_of = [b"" if i in self.special else bytes([self.id_byte[i]]) if i in self.id_byte else self.text[i].replace(SPACE, " ").encode() for i in range(n)]
+        self.ends = {p[k:]: self.ids.get(p[k:], -1) for p in self.ids for k in range(len(p))}
+        self._beside: dict[int, bool] = {}
+        self._heads: dict[str, tuple[list, list]] = {}
+        self._known = Stretches(self)
 
     def merged(self, text: str) -> list[str]:
         """The merges in order of score, leftmost first; used for two pieces at most."""
@@ -61,82 +84,150 @@ class Pieces:
 
     def beside(self, a: str, b: str) -> bool:
         """Whether the merges leave a and b side by side (a is '' at the start)."""
-        key = (a, b)
+        return self.merged(a + b) == ([a, b] if a else [b])
+
+    def _follows(self, a: int, b: int) -> bool:
+        """`beside` for two codes, remembered. A code is an id, or -1 minus a character's code point where no piece has it."""
+        key = a * 2_097_152 + b
         found = self._beside.get(key)
         if found is None:
-            if len(self._beside) >= self.REMEMBERED * 4:
+            if len(self._beside) >= self.REMEMBERED:
                 self._beside.clear()
-            found = self._beside[key] = self.merged(a + b) == ([a, b] if a else [b])
+            found = self._beside[key] = self.beside(self._piece(a), self._piece(b))
         return found
 
+    def _piece(self, code: int) -> str:
+        return "" if code == START else self.text[code] if code >= 0 else chr(-1 - code)
+
     def search(self, text: str, log: list[tuple[int, int]] | None = None) -> list[int]:
-        """Ids of a stretch. last[i] is the piece that ends at boundary i: the longest that may follow the survivor before it.
+        """Ids of a stretch. last[i] is the code of the piece that survives at boundary i, and back[i] where it starts.
 
-        Only the last `longest` boundaries are kept. Whenever the backpointer paths of all boundaries in the window meet
-        in one boundary, the ids up to there are committed. log gets (boundary, ids committed so far).
+        Only the boundaries that a piece may still start from are open. Whenever the backpointer paths of all of them meet
+        in one boundary, the ids up to there are committed and what is before it is forgotten. log gets (boundary, ids
+        committed so far).
         """
+        if len(text) <= 4 * self.longest and log is None:
+            return self._one_window(text)
         n, out, done = len(text), [], 0
-        last: dict[int, str] = {0: ""}
-        trail: dict[int, tuple[int, int]] = {}  # boundary -> (boundary before it, id)
-        for i in range(1, n + 1):
-            for length in range(min(self.longest, i - done), 0, -1):
-                piece = text[i - length : i]
-                if (length == 1 or piece in self.ids) and i - length in last and self.beside(last[i - length], piece):
-                    last[i] = piece
-                    trail[i] = (i - length, self.ids.get(piece, -1 - i))
-                    break
-            if i - done >= 4 * self.longest or i == n:
-                # the survivors are the boundaries a later piece may start from
-                heads = {i} if i == n else {b for b in range(i - self.longest + 1, i + 1) if b in last}
-                paths = heads
-                while len(paths) > 1:
-                    top = max(paths)
-                    if top <= done:
+        last, back = {0: START}, {}
+        starts, longest, follows = self.starts, self.longest, self._follows
+        for i in range(n):
+            before = last.get(i)
+            if before is None:
+                continue
+            for end in range(i + 1, min(i + longest, n) + 1):
+                code = starts.get(text[i:end])
+                if code is None:  # no piece starts like this
+                    if end > i + 1:
                         break
-                    paths = (paths - {top}) | {trail[top][0]}
-                meet = min(paths)
-                steps, b = [], meet
-                while b > done:
-                    b, piece_id = trail[b]
-                    steps.append(piece_id)
-                for piece_id in reversed(steps):
-                    out += [piece_id] if piece_id >= 0 else [self.byte_ids[x] for x in text[-2 - piece_id].encode()]
-                if log is not None and meet > done:
-                    log.append((meet, len(out)))
-                for b in range(done, min(meet, i - self.longest)):
-                    last.pop(b, None)
-                    trail.pop(b, None)
-                done = meet
+                    code = -1 - ord(text[i])
+                elif code < 0:  # a start, but no piece
+                    if end > i + 1:
+                        continue
+                    code = -1 - ord(text[i])
+                if end not in last and follows(before, code):
+                    last[end], back[end] = code, i
+            if i - done >= 4 * longest:
+                done = self._commit(last, back, [b for b in range(i + 1, min(i + longest, n) + 1) if b in last], done, out, log)
+        if n:
+            self._commit(last, back, [n], done, out, log)
         return out
 
-    def stretch_ids(self, text: str) -> tuple[int, ...]:
-        found = self._known.get(text)
-        if found is None:
-            found = tuple(self.search(text))
-            if len(text) <= 64:
-                if len(self._known) >= self.REMEMBERED:
-                    self._known.clear()
-                self._known[text] = found
-        return found
+    def _one_window(self, text: str) -> list[int]:
+        """`search` where the whole stretch fits the window: nothing is committed before its end. The survivors of the
+        first HEAD boundaries depend on those characters alone, and are remembered."""
+        last, back = [START], [0]
+        if len(text) > HEAD:
+            head = text[:HEAD]
+            known = self._heads.get(head)
+            if known is None:
+                self._survivors(head, last, back)
+                if len(self._heads) >= self.REMEMBERED // 4:
+                    self._heads.clear()
+                self._heads[head] = (last, back)
+            else:
+                last, back = known
+            last, back = last.copy(), back.copy()
+        self._survivors(text, last, back)
+        out: list[int] = []
+        n = len(text)
+        while n:
+            code = last[n]
+            if code >= 0:
+                out.append(code)
+            else:
+                out.extend(self.byte_ids[x] for x in reversed(chr(-1 - code).encode()))
+            n = back[n]
+        out.reverse()
+        return out
+
+    def _survivors(self, text: str, last: list, back: list) -> None:
+        """Append to last and back what survives at each boundary of text that they don't have yet."""
+        ends, beside, longest = self.ends.get, self._beside.get, self.longest
+        for end in range(len(last), len(text) + 1):
+            start = end - 1
+            char = text[start]
+            code = single = ends(char)
+            if single is None or single < 0:
+                single = -1 - ord(char)
+            low = end - longest if end > longest else 0
+            found = None
+            while code is not None and start > low:
+                start -= 1
+                code = ends(text[start:end])
+                if code is not None and code >= 0:
+                    found = [(start, code)] if found is None else [(start, code), *found]
+            if found is not None:
+                for start, code in found:
+                    before = last[start]
+                    ok = beside(before * 2_097_152 + code)
+                    if ok or (ok is None and self._follows(before, code)):
+                        last.append(code)
+                        back.append(start)
+                        break
+                else:
+                    found = None
+            if found is None:  # every boundary has a survivor, so the single character is it
+                last.append(single)
+                back.append(end - 1)
+
+    def _commit(self, last: dict[int, int], back: dict[int, int], heads: list[int], done: int, out: list[int], log: list | None) -> int:
+        """Put out the ids up to the boundary in which the paths from all heads meet; the new first boundary."""
+        paths = set(heads)
+        while len(paths) > 1:
+            top = max(paths)
+            paths.discard(top)
+            paths.add(back[top])
+        meet = paths.pop()
+        codes, b = [], meet
+        while b > done:
+            codes.append(last[b])
+            b = back[b]
+        for code in reversed(codes):
+            if code >= 0:
+                out.append(code)
+            else:
+                out.extend(self.byte_ids[x] for x in chr(-1 - code).encode())
+        for b in range(done, meet):
+            last.pop(b, None)
+            back.pop(b, None)
+        if log is not None and meet > done:
+            log.append((meet, len(out)))
+        return meet
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text. All paths meet where a run of spaces starts, so each stretch is committed by itself."""
         if not text:
             return []
-        known, ids = self._known, []
-        for s in STRETCH.findall(SPACE + text.replace(" ", SPACE)):
-            ids += known.get(s) or self.stretch_ids(s)
-        return ids
+        if "  " in text or SPACE in text or text[0] == " " or text[-1] == " ":
+            stretches = [s[1:] for s in STRETCH.findall(SPACE + text.replace(" ", SPACE))]
+        else:
+            stretches = text.split(" ")
+        return list(chain.from_iterable(map(self._known.__getitem__, stretches)))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; byte pieces are joined before they are read as UTF-8, and the space put first is dropped."""
-        parts: list[bytes] = []
-        for i in ids:
-            if i in self.id_byte:
-                parts.append(bytes([self.id_byte[i]]))
-            elif i not in self.special:
-                parts.append(self.text[i].replace(SPACE, " ").encode())
-        text = b"".join(parts).decode("utf-8", "replace")
+        text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -150,11 +241,6 @@ def pieces(model_file: str) -> Pieces:
     return _loaded[model_file]
 
 
-def _id_lists(model_file: str, texts: list[bytes | None]) -> list[list[int] | None]:
-    p = pieces(model_file)
-    return [None if t is None else p.encode(t.decode()) for t in texts]
-
-
 def _encoder(model_file: str, keep_ids: bool):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model_file)
