@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
-from tessera.llm.shared import WordHashes, chunks, mixed, rolling, written
+from tessera.llm.shared import WordHashes, chunks, mixed, rolling, small_or_shuffled, written
 
 SHINGLE = 5
 #: 100 * intersection >= 75 * union, that is, 7 * intersection >= 3 * (sum of both sizes).
@@ -47,6 +47,11 @@ def prefix_size(n: int | F.Column) -> int | F.Column:
     return n // 4 + 1 if isinstance(n, int) else F.floor(n / 4) + 1
 
 
+def emitted_size(n: int | F.Column) -> int | F.Column:
+    """The prefix and a reserve, for where tokens in it turn out to be in large groups and go last."""
+    return min(n, n // 3 + 4) if isinstance(n, int) else F.least(n, F.floor(n / 3) + 4)
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (kind 0, doc_id, size, class) by document, then (kind 1, token, count, -) for tokens met often in a task."""
     known, often = WordHashes(), Counter()
@@ -64,7 +69,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(frequent: np.ndarray):
-    """(token, class): the prefix of each set in order 1, which is (frequent or not, hash)."""
+    """(token, class, rank): the prefix and reserve of each set in order 1, which is (frequent or not, hash)."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -72,7 +77,7 @@ def _prefixes(frequent: np.ndarray):
             sets = {class_of(s): s for s in (shingles(t, known) for t in texts) if len(s)}
             heads = []
             for s in sets.values():
-                size = prefix_size(len(s))
+                size = emitted_size(len(s))
                 if len(frequent):
                     at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                     common = frequent[at] == s
@@ -81,18 +86,25 @@ def _prefixes(frequent: np.ndarray):
                 heads.append(s[:size])
             token = np.concatenate(heads) if heads else np.zeros(0, np.uint64)
             owner = np.repeat(np.array(list(sets), np.uint64), [len(h) for h in heads])
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(owner.view(np.int64))], names=["token", "v"])
+            rank = np.concatenate([np.arange(len(h), dtype=np.int32) for h in heads]) if heads else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(owner.view(np.int64)), pa.array(rank)], names=["token", "v", "rank"])
 
     return apply
 
 
+def _head(tokens: np.ndarray, salt: int) -> np.ndarray:
+    """The prefix in another order, as sorted 16-bit hashes with repetitions: sets share as many hashes at least as tokens."""
+    return np.sort((np.sort(mixed(tokens ^ np.uint64(salt)))[: prefix_size(len(tokens))] & np.uint64(0xFFFF)).astype(np.uint16))
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(class, tokens) of the texts asked for; a row of the same id with another text doesn't count."""
+    """(class, tokens, prefixes in orders 2 and 3) of the texts asked for; a row of the same id with another text doesn't count."""
     known = WordHashes()
     for batch, texts in chunks(batches):
         asked = batch.column(batch.schema.get_field_index("v")).to_pylist()
-        out = [(v, s.tobytes()) for v, s in zip(asked, (shingles(t, known) for t in texts), strict=True) if np.uint64(class_of(s)).view(np.int64) == v]
-        yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], names=["v", "tokens"])
+        out = [(v, s) for v, s in zip(asked, (shingles(t, known) for t in texts), strict=True) if np.uint64(class_of(s)).view(np.int64) == v]
+        heads = [pa.array([_head(s, salt).tobytes() for _, s in out], pa.binary()) for salt in ORDERS]
+        yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in out], pa.int64()), pa.array([len(s) for _, s in out], pa.int64()), pa.array([s.tobytes() for _, s in out], pa.binary()), *heads], names=["v", "n", "tokens", "head2", "head3"])
 
 
 def enough(shared: int, n_a: int, n_b: int) -> bool:
@@ -101,19 +113,35 @@ def enough(shared: int, n_a: int, n_b: int) -> bool:
     return 7 * (shared + max(n_a - prefix_size(n_a), n_b - prefix_size(n_b))) >= 3 * (n_a + n_b)
 
 
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many entries two sorted arrays share, repetitions included."""
+    x, n = np.unique(a, return_counts=True)
+    y, m = np.unique(b, return_counts=True)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return int(np.minimum(n[i], m[j]).sum())
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Orders 2 and 3 as filters, then the sets themselves."""
-    for salt in ORDERS:
-        x, y = (np.sort(mixed(s ^ np.uint64(salt)))[: prefix_size(len(s))] for s in (a, b))
-        if not enough(len(np.intersect1d(x, y, assume_unique=True)), len(a), len(b)):
-            return False
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
+def _passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs that pass both other orders."""
+    for batch in batches:
+        a, b, n_a, n_b = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "b", "n_a", "n_b"))
+        ok = np.ones(len(a), bool)
+        for order in ("2", "3"):
+            x, y = (batch.column(batch.schema.get_field_index(f"head{order}_{s}")).to_pylist() for s in "ab")
+            for i in np.flatnonzero(ok):
+                ok[i] = enough(common(np.frombuffer(x[i], np.uint16), np.frombuffer(y[i], np.uint16)), n_a[i], n_b[i])
+        kept = np.flatnonzero(ok)
+        yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in kept], pa.int64()), pa.array([b[i] for i in kept], pa.int64())], names=["a", "b"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x, y = (batch.column(batch.schema.get_field_index(c)) for c in ("x", "y"))
+        x, y = (batch.column(batch.schema.get_field_index(c)) for c in ("tokens_a", "tokens_b"))
         linked = [similar(np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64)) for p, q in zip(x, y, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
@@ -124,49 +152,65 @@ def _room(shared: F.Column) -> F.Column:
     return 7 * (shared + left) >= 3 * (F.col("n_a") + F.col("n_b"))
 
 
-def _pairs(postings: DataFrame, apart: F.Column) -> DataFrame:
-    """(a, b, n_a, n_b, cold_a, ..., shared): pairs of a token's group whose sizes allow the similarity, with their common tokens."""
-    a, b = (postings.select("token", *(F.col(c).alias(f"{c}_{s}") for c in postings.columns if c != "token")) for s in "ab")
-    near = (100 * F.col("n_a") >= PERCENT * F.col("n_b")) & (100 * F.col("n_b") >= PERCENT * F.col("n_a"))
-    keys = [c for s in "ab" for c in (f"v_{s}", f"n_{s}", f"hot_{s}", f"cold_{s}")]
-    return a.join(b, "token").filter((F.col("v_a") < F.col("v_b")) & near & apart).groupBy(*keys).agg(F.count("*").alias("shared"))
+def _pairs(postings: DataFrame, apart: str = "true") -> DataFrame:
+    """(v_a, v_b, n_a, n_b, hot_a, ..., shared): pairs of a token's group whose sizes allow the similarity, with their
+    common tokens. Both sides are the same exchange."""
+    near = f"100 * a.n >= {PERCENT} * b.n AND 100 * b.n >= {PERCENT} * a.n AND a.v < b.v AND {apart}"
+    keys = [F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("v", "n", "hot", "cold", "full")]
+    return postings.alias("a").join(postings.alias("b"), F.expr(f"a.token = b.token AND {near}")).groupBy(*keys).agg(F.count("*").alias("shared"))
+
+
+def _ordered(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(token, v, rank, n, large, hot, cold, full, before): the emitted tokens that several classes have.
+
+    large: the token's group is over GROUP; such tokens go last in order 1, as do those listed before. hot, cold: how many
+    tokens of the class are in large and other groups; before: how many large ones come before a token. full: a class has
+    so many tokens in large groups that its prefix can't do without them.
+    """
+    same, own = Window.partitionBy("token"), Window.partitionBy("v")
+    postings = docs.select("text").mapInArrow(_prefixes(frequent), "token long, v long, rank int")
+    shared = postings.withColumn("first", F.min("v").over(same)).withColumn("last", F.max("v").over(same)).filter("first < last").select("token", "v", "rank").distinct()
+    shared = written(shared.select("*", (F.count("*").over(same) > GROUP).alias("large")), "postings")
+    sized = shared.join(classes.select("v", "n"), "v")
+    before = F.sum(F.col("large").cast("int")).over(own.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
+    sized = sized.withColumns({"hot": F.sum(F.col("large").cast("int")).over(own), "cold": F.sum((~F.col("large")).cast("int")).over(own), "before": F.coalesce(before, F.lit(0))})
+    return written(sized.withColumn("full", emitted_size(F.col("n")) - F.col("hot") < prefix_size(F.col("n"))), "ordered")
 
 
 def links(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> DataFrame:
     """(a, b): links between classes that are enough for the components: every link joins two classes of one component.
 
-    classes: v, n, doc_id (one document of the class). docs: doc_id, text.
+    classes: v, n, doc_id (one document of the class). docs: doc_id, text. Two classes that aren't full share a token of a
+    group that isn't large, for their prefixes hold no others. Pairs with a full class may share tokens of large groups
+    only: those groups give pairs with their leader first, and then, of the classes that aren't yet in one component, the
+    pairs with a full class.
     """
-    postings = docs.select("text").mapInArrow(_prefixes(frequent), "token long, v long")
-    same = Window.partitionBy("token")
-    shared = postings.withColumn("first", F.min("v").over(same)).withColumn("last", F.max("v").over(same)).filter("first < last").select("token", "v").distinct()
-    shared = written(shared, "postings")
-    groups = shared.groupBy("token").agg(F.count("*").alias("size"), F.min("v").alias("leader"))
-    sized = written(shared.join(written(groups, "groups"), "token"), "sized")
-    hot = F.col("size") > GROUP
-    counts = sized.groupBy("v").agg(F.sum(hot.cast("long")).alias("hot"), F.sum((~hot).cast("long")).alias("cold")).join(classes.select("v", "n"), "v")
-    rows = written(sized.join(written(counts, "counts"), "v"), "rows")
-    # small groups: all pairs of a bounded group; what they share in large groups isn't known, and counts as all they could
-    small = _pairs(rows.filter(~hot).select("token", "v", "n", "hot", "cold"), F.lit(True)).filter(_room(F.col("shared") + F.least("hot_a", "hot_b"))).select(F.col("v_a").alias("a"), F.col("v_b").alias("b"), "shared")
-    # large groups: the leader of each with every member, so that dense groups of near copies come together in linear work
-    star = rows.filter(hot).filter("v <> leader").groupBy(F.col("leader").alias("a"), F.col("v").alias("b")).agg(F.count("*").alias("shared"), F.max("n").alias("n")).filter(10 * F.col("shared") >= prefix_size(F.col("n"))).select("a", "b", "shared")
-    found = written(small.unionByName(star).groupBy("a", "b").agg(F.max("shared").alias("shared")), "pairs")
+    rows = _ordered(docs, classes, frequent)
+    columns = ["token", "v", "n", "hot", "cold", "full"]
+    small = rows.filter(~F.col("large") & (F.col("rank") - F.col("before") < prefix_size(F.col("n")))).select(*columns)
+    large = rows.filter(F.col("large") & (F.col("rank") < prefix_size(F.col("n")))).select(*columns)
+    # what a full class shares in large groups isn't known here, and counts as all that it could
+    unknown = F.when(F.col("full_a") | F.col("full_b"), F.least("hot_a", "hot_b")).otherwise(F.lit(0))
+    near = _pairs(small).filter(_room(F.col("shared") + unknown)).select(F.col("v_a").alias("a"), F.col("v_b").alias("b"), "shared")
+    # the leader of a large group is the class with the fewest tokens of its own: of near copies, the one most like the rest
+    whole = large.filter("full")
+    leaders = written(whole.groupBy("token").agg(F.min_by("v", F.struct(F.col("cold") / F.col("n"), "v")).alias("leader")), "leaders")
+    star = whole.join(leaders, "token").filter("v <> leader").groupBy("leader", "v").agg(F.count("*").alias("shared"), F.max("n").alias("n")).filter(10 * F.col("shared") >= prefix_size(F.col("n")))
+    star = star.select(F.least("leader", "v").alias("a"), F.greatest("leader", "v").alias("b"), F.col("v").alias("of"), "shared")
+    found = written(near.withColumn("of", F.col("b")).unionByName(star).groupBy("a", "b", "of").agg(F.max("shared").alias("shared")), "pairs")
     sets = _set_table(docs, classes, found)
     # each class first with the partner it shares most with; what is joined then needs no further comparison
-    best = found.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
+    best = found.groupBy("of").agg(F.max_by(F.struct("a", "b"), F.struct("shared", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b").distinct()
     linked = _linked(best, sets)
-    labels = _labels(linked)
-    rest = _across(found.select("a", "b"), labels).join(best, ["a", "b"], "left_anti")
+    rest = _across(found.select("a", "b").distinct(), _labels(linked)).join(best, ["a", "b"], "left_anti")
     linked = written(linked.unionByName(_linked(rest, sets)), "linked")
-    # large groups once more: pairs of classes that aren't yet in one component
-    labels = _labels(linked)
-    labelled = rows.filter(hot).join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-    mixed_groups = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
-    open_rows = written(labelled.join(mixed_groups, "token", "left_semi").select("token", "v", "n", "hot", "cold", "label"), "open")
+    labelled = large.join(_labels(linked), "v", "left").withColumn("label", F.coalesce("label", "v"))
+    mixed_groups = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("full").alias("any_full")).filter("low < high AND any_full").select("token")
+    open_rows = written(labelled.join(mixed_groups, "token", "left_semi"), "open")
     if open_rows.isEmpty():
         return linked
-    cross = _pairs(open_rows, F.col("label_a") != F.col("label_b")).filter(_room(F.col("shared") + F.least("cold_a", "cold_b"))).select(F.col("v_a").alias("a"), F.col("v_b").alias("b"))
-    cross = written(cross.join(found, ["a", "b"], "left_anti"), "cross")
+    cross = _pairs(open_rows, "a.label <> b.label AND (a.full OR b.full)").filter(_room(F.col("shared") + F.least("cold_a", "cold_b"))).select(F.col("v_a").alias("a"), F.col("v_b").alias("b"))
+    cross = written(cross.join(found.select("a", "b").distinct(), ["a", "b"], "left_anti"), "cross")
     if cross.isEmpty():
         return linked
     return linked.unionByName(_linked(cross, _set_table(docs, classes, cross)))
@@ -174,12 +218,21 @@ def links(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> DataFram
 
 def _set_table(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     asked = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct().join(classes, "v").select("v", "doc_id")
-    return written(docs.join(asked, "doc_id").select("v", "text").mapInArrow(_sets, "v long, tokens binary").dropDuplicates(["v"]), "sets")
+    # texts are shuffled only where too many are asked for
+    return written(docs.join(small_or_shuffled(asked, "asked"), "doc_id").select("v", "text").mapInArrow(_sets, "v long, n long, tokens binary, head2 binary, head3 binary").dropDuplicates(["v"]), "sets")
+
+
+def _joined(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
+    """pairs with the columns of both sets; the sets are dealt out once for both joins."""
+    part = sets.select("v", *columns)
+    half = pairs.select("a", "b").join(part, F.col("a") == F.col("v")).select("a", "b", *(F.col(c).alias(f"{c}_a") for c in columns))
+    return half.join(part, F.col("b") == F.col("v")).select("a", "b", *(f"{c}_a" for c in columns), *(F.col(c).alias(f"{c}_b") for c in columns))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    both = pairs.join(sets.select(F.col("v").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("v").alias("b"), F.col("tokens").alias("y")), "b")
-    return written(both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long, linked boolean").filter("linked").select("a", "b"), "verified")
+    """The pairs that are similar: first by orders 2 and 3, whose prefixes are small, then by the whole sets."""
+    passed = written(_joined(pairs, sets, ["n", "head2", "head3"]).mapInArrow(_passes, "a long, b long"), "passed")
+    return written(_joined(passed, sets, ["tokens"]).mapInArrow(_verify, "a long, b long, linked boolean").filter("linked").select("a", "b"), "verified")
 
 
 def _labels(linked: DataFrame) -> DataFrame:
@@ -226,4 +279,4 @@ def one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """
     found = components(docs, doc_id, text)
     dropped = found.filter("doc_id IS NOT NULL AND n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col(doc_id) == F.col("_dropped"), "left_anti")
+    return docs.join(small_or_shuffled(dropped, "dropped"), F.col(doc_id) == F.col("_dropped"), "left_anti")

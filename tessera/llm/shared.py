@@ -39,6 +39,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables of ids with at most so many rows may be sent to every executor (16 MB at two numbers a row).
+SMALL_ROWS = 1_000_000
+
+
+def small_or_shuffled(ids: DataFrame, name: str) -> DataFrame:
+    """A narrow table of ids, written and counted: marked for broadcast up to SMALL_ROWS rows, else joined by a shuffle."""
+    table = written(ids, name)
+    return F.broadcast(table) if table.count() <= SMALL_ROWS else table
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
