@@ -20,8 +20,10 @@ MAX_LABELLED = 10_000
 MAX_ENTRIES = 1_000_000
 #: Counts up to the discount go to the shared backoff as a whole, so only expressions that a class has repeatedly differ.
 DISCOUNT = 4.0
-#: So do counts up to this many times the expected one.
+#: So do counts of expressions that a class has up to this many times as often, by its size, as the other class.
 EXCESS = 2.5
+#: And counts that are up to this many standard deviations above those that the class's size lets expect.
+SIGMAS = 6.0
 STRIP = b".,;:!?\"'()"
 
 
@@ -70,11 +72,16 @@ def labelled_sample(labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Data
 def _expressive(wide: DataFrame, totals: tuple[float, float], discount: float, excess: float) -> DataFrame:
     """wide (n0, n1: counts of both classes) with t0, t1: what the discount takes for the shared backoff.
 
-    It takes all of a count that is at most `discount`, or at most `excess` times what the class's size lets expect:
-    rare expressions, and those that both classes share, have the same probability in both. Of others it takes `discount`.
+    It takes all of a count that is at most `discount`, at most `excess` times as frequent in the class as in the other
+    one, or within SIGMAS standard deviations of what the class's size lets expect: rare expressions, and those that both
+    classes share, have the same probability in both. Of others it takes `discount`. Frequencies are relative to the
+    sizes of the classes, so a balanced sample tells as much as one with few toxic rows.
     """
-    share = [t / max(sum(totals), 1.0) for t in totals]
-    taken = [F.when(F.col(f"n{c}") <= F.greatest(F.lit(float(discount)), excess * share[c] * (F.col("n0") + F.col("n1"))), F.col(f"n{c}")).otherwise(F.lit(float(discount))) for c in (0, 1)]
+    size = [max(t, 1.0) for t in totals]
+    share = [s / sum(size) for s in size]
+    expected = [share[c] * (F.col("n0") + F.col("n1")) for c in (0, 1)]
+    least = [F.greatest(F.lit(float(discount)), excess * size[c] / size[1 - c] * F.col(f"n{1 - c}"), expected[c] + SIGMAS * F.sqrt(expected[c] * share[1 - c])) for c in (0, 1)]
+    taken = [F.when(F.col(f"n{c}") <= least[c], F.col(f"n{c}")).otherwise(F.lit(float(discount))) for c in (0, 1)]
     return wide.select("*", taken[0].alias("t0"), taken[1].alias("t1"))
 
 

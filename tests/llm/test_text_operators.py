@@ -291,6 +291,22 @@ def test_toxic_words_are_found(spark):
     assert sum(r["predicted"] == int(r["doc_id"] % 6 == 0) for r in held) >= 0.97 * len(held)
 
 
+def test_toxic_words_are_found_in_a_balanced_sample(spark):
+    """Both classes have more rows than are read, so the sample has as many toxic rows as ordinary ones."""
+    rng = random.Random(8)
+    rows, marks = [], []
+    for i in range(1600):
+        w = [f"u{rng.randrange(500)}" for _ in range(rng.randrange(30, 120))]
+        if i % 3 == 0:
+            for _ in range(3):
+                w.insert(rng.randrange(len(w)), rng.choice(["vile", "nasty", "rotten"]))
+        rows.append((i, " ".join(w)))
+        marks.append((i, 1, int(i % 3 == 0)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    held = toxicity.toxicity(docs, labels, max_labelled=300).filter("held_out").collect()
+    assert sum(r["predicted"] == int(r["doc_id"] % 3 == 0) for r in held) >= 0.97 * len(held)
+
+
 def test_mixture(docs, texts, labels, none):
     out = mixture.mix(docs, labels, {0: 0.4, 1: 0.6})
     r = out.agg(*(F.sum(F.expr(f"rate * n_tokens * p[{i}]")).alias(f"t{i}") for i in (0, 1)), F.min("rate").alias("least"), F.count("*").alias("n")).first()
