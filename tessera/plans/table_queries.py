@@ -84,6 +84,13 @@ def polygon_raster_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.merged(each.drop("annotation_id"), ["image_id"]).select("y", "x0", "x1")
 
 
+@query()
+def polygon_raster_runs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, y, x0, x1): the union of the polygons of every image; polygon_raster_runs has image 3 alone, as its SQL does."""
+    each = regions.rasterised(_polygons(spark, sf_dir), ["image_id", "annotation_id"])
+    return regions.merged(each.drop("annotation_id"), ["image_id"]).select("image_id", "y", "x0", "x1")
+
+
 @query("f4_landmarks", sql="SELECT image_id, " + ", ".join(f"coalesce(printf('%3.3f', CAST(max(CASE WHEN term_id = {t} THEN {c} END) AS DOUBLE)), '-1') AS t{t}_{c}" for t in range(8) for c in "xy") + " FROM f4_landmarks GROUP BY image_id")
 def landmark_pivot_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = landmarks.wide(fixture(spark, sf_dir, "f4_landmarks"), list(range(8)))
