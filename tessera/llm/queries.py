@@ -57,6 +57,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(documents(spark, sf_dir), long_words=None).drop("kept_text")
+
+
+def op10_line_dedup_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With runs of one or two long lines, which op10_line_dedup leaves, as its SQL does."""
     return line_dedup.line_dedup(documents(spark, sf_dir)).drop("kept_text")
 
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
+    "op10_line_dedup_long": op10_line_dedup_long,
 }
 
 SQL: dict[str, str] = {
@@ -98,6 +104,18 @@ x AS (SELECT doc_id, s, array_to_string(l[s:s + 2], chr(10)) AS c FROM s),
 f AS (SELECT c, min(struct_pack(d := doc_id, s := s)) AS m FROM x GROUP BY c),
 later AS (SELECT x.doc_id, x.s FROM x JOIN f USING (c) WHERE f.m.d <> x.doc_id OR x.s - f.m.s >= 3),
 gone AS (SELECT doc_id, list(DISTINCT p) AS g FROM (SELECT doc_id, unnest(range(s, s + 3)) AS p FROM later) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed,
+ sha256(array_to_string(list_filter(l, lambda x, i: g IS NULL OR NOT list_contains(g, i)), chr(10))) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)""",
+    "op10_line_dedup_long": r"""
+WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)),
+  lambda x: regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')), lambda x: x <> '') AS l FROM documents),
+s AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS s FROM d),
+k AS (SELECT doc_id, s, k, array_to_string(l[s:s + k - 1], chr(10)) AS c FROM s, range(1, 4) t(k) WHERE s + k - 1 <= len(l)),
+x AS (SELECT * FROM k WHERE k = 3 OR len(regexp_extract_all(c, '[^\x20\x09-\x0D]+')) >= 50),
+f AS (SELECT k, c, min(struct_pack(d := doc_id, s := s)) AS m FROM x GROUP BY k, c),
+later AS (SELECT x.doc_id, x.s, x.k FROM x JOIN f USING (k, c) WHERE f.m.d <> x.doc_id OR x.s - f.m.s >= x.k),
+gone AS (SELECT doc_id, list(DISTINCT p) AS g FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM later) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed,
  sha256(array_to_string(list_filter(l, lambda x, i: g IS NULL OR NOT list_contains(g, i)), chr(10))) AS kept_sha256
 FROM d LEFT JOIN gone USING (doc_id)""",

@@ -204,6 +204,14 @@ def test_lines(docs, texts, none):
     assert line_dedup.line_dedup(none).isEmpty()
 
 
+def test_long_lines_that_come_again_go(spark):
+    long, half = " ".join(f"a{i}" for i in range(60)), [" ".join(f"{c}{i}" for i in range(30)) for c in "bc"]
+    rows = [(1, f"first\n{long}\n" + "\n".join(half) + "\nshort line"), (2, long), (3, f"x\n{half[0]}\n\n {half[1]} \ny"), (4, f"{half[1]}\n{half[0]}\nshort line"), (5, f"new\n{long} more\n{long} more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"]: r["kept_text"] for r in line_dedup.line_dedup(docs, keep_text=True).collect()}
+    assert kept == {1: rows[0][1], 2: "", 3: "x\ny", 4: rows[3][1], 5: f"new\n{long} more"}
+
+
 def test_pieces_equal_the_library(docs, texts, none):
     import sentencepiece
 
