@@ -53,9 +53,9 @@ def emitted_size(n: int | F.Column) -> int | F.Column:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (kind 0, doc_id, size, class) by document, then (kind 1, token, count, -) for tokens met often in a task."""
+    """Rows (kind 0, doc_id, size, class, key) by document, then (kind 1, token, count, -, -) for tokens met often in a task."""
     known, often = WordHashes(), Counter()
-    names = ["kind", "a", "n", "v"]
+    names = ["kind", "a", "n", "v", "key"]
     for batch, texts in chunks(batches):
         sets = [shingles(t, known) for t in texts]
         once = {class_of(s): s for s in sets}
@@ -63,9 +63,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             token, count = np.unique(np.concatenate(list(once.values())), return_counts=True)
             often.update(dict(zip(token[count > 2].view(np.int64).tolist(), count[count > 2].tolist(), strict=True)))
         ids = batch.column(0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(np.array([class_of(s) for s in sets], np.uint64).view(np.int64))], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(np.array([class_of(s) for s in sets], np.uint64).view(np.int64)), batch.column(2)], names=names)
     items = list(often.items())
-    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(items), np.int32)), pa.array([k for k, _ in items], pa.int64()), pa.array([c for _, c in items], pa.int64()), pa.array([0] * len(items), pa.int64())], names=names)
+    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(items), np.int32)), pa.array([k for k, _ in items], pa.int64()), pa.array([c for _, c in items], pa.int64()), pa.array([0] * len(items), pa.int64()), pa.nulls(len(items), pa.int64())], names=names)
 
 
 def _prefixes(frequent: np.ndarray):
@@ -180,7 +180,7 @@ def _ordered(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> DataF
 def links(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> DataFrame:
     """(a, b): links between classes that are enough for the components: every link joins two classes of one component.
 
-    classes: v, n, doc_id (one document of the class). docs: doc_id, text. Two classes that aren't full share a token of a
+    classes: v, n, key (of one document of the class). docs: key, text. Two classes that aren't full share a token of a
     group that isn't large, for their prefixes hold no others. Pairs with a full class may share tokens of large groups
     only: those groups give pairs with their leader first, and then, of the classes that aren't yet in one component, the
     pairs with a full class.
@@ -217,9 +217,9 @@ def links(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> DataFram
 
 
 def _set_table(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    asked = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct().join(classes, "v").select("v", "doc_id")
+    asked = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct().join(classes, "v").select("v", "key")
     # texts are shuffled only where too many are asked for
-    return written(docs.join(small_or_shuffled(asked, "asked"), "doc_id").select("v", "text").mapInArrow(_sets, "v long, n long, tokens binary, head2 binary, head3 binary").dropDuplicates(["v"]), "sets")
+    return written(docs.join(small_or_shuffled(asked, "asked"), "key").select("v", "text").mapInArrow(_sets, "v long, n long, tokens binary, head2 binary, head3 binary").dropDuplicates(["v"]), "sets")
 
 
 def _joined(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
@@ -258,13 +258,15 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     repeated rows give equal rows; an empty table gives an empty result; other columns are not read.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    scanned = written(rows.mapInArrow(_scan, "kind int, a long, n long, v long"), "scan")
+    # texts are fetched by their id; those without one by a hash, which may equal an id, as fetched sets are checked
+    rows = rows.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("key"))
+    scanned = written(rows.mapInArrow(_scan, "kind int, a long, n long, v long, key long"), "scan")
     # a hint of bounded size for order 1; ties at the end of the list don't matter for the result
     listed = scanned.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "a").limit(MAX_FREQUENT).collect()
     frequent = np.sort(np.array([r["a"] for r in listed], np.int64).view(np.uint64))
-    sized = scanned.filter("kind = 0").select(F.col("a").alias("doc_id"), "n", "v")
-    classes = written(sized.filter("n > 0").groupBy("v").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id")), "classes")
-    labels = _labels(links(rows, classes, frequent))
+    sized = scanned.filter("kind = 0").select(F.col("a").alias("doc_id"), "n", "v", "key")
+    classes = written(sized.filter("n > 0").groupBy("v").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"), F.coalesce(F.min("doc_id"), F.min("key")).alias("key")), "classes")
+    labels = _labels(links(rows.select(F.coalesce("doc_id", "key").alias("key"), "text"), classes, frequent))
     top = classes.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
     least = top.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_class = written(top.join(least, "label").select("v", "component_id"), "class-components")

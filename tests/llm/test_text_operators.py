@@ -170,6 +170,15 @@ def test_join_over_large_groups(spark):
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == label
 
 
+def test_texts_without_an_id_link(spark):
+    """Two texts that only a text without an id joins, and two near copies without ids."""
+    words, other = [f"k{i}" for i in range(100)], [f"o{i}" for i in range(60)]
+    changed = lambda *at: " ".join(f"new{i}" if i in at else w for i, w in enumerate(words))
+    rows = [(1, changed(10, 20)), (None, changed()), (2, changed(70, 80)), (None, " ".join(other)), (None, " ".join([*other, "more"]))]
+    found = jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in found) == [(0, 0), (0, 0), (0, 1), (1, 1), (2, 1)]
+
+
 def test_long_chains_of_links(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(70)] + [(200, 201), (5, 5)], "a long, b long")
     found = {r["v"]: r["label"] for r in components.connected_components(edges).collect()}
