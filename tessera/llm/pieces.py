@@ -46,7 +46,8 @@ class Stretches(dict):
 class Pieces:
     """The vocabulary of a SentencePiece model, and the search over it."""
 
-    REMEMBERED = 800_000
+    #: Entries of each cache: some 20 MB each at most, as a worker keeps them from task to task.
+    REMEMBERED = 100_000
 
     def __init__(self, model_file: str):
         import sentencepiece
@@ -142,7 +143,7 @@ class Pieces:
             known = self._heads.get(head)
             if known is None:
                 self._survivors(head, last, back)
-                if len(self._heads) >= self.REMEMBERED // 4:
+                if len(self._heads) >= self.REMEMBERED // 2:
                     self._heads.clear()
                 self._heads[head] = (last, back)
             else:

@@ -39,6 +39,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, *tables: DataFrame) -> str:
+    """A column name made from `name` that none of the tables has, whatever its case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 #: Tables of ids with at most so many rows may be sent to every executor (16 MB at two numbers a row).
 SMALL_ROWS = 1_000_000
 

@@ -1,63 +1,94 @@
-"""Toxicity by two class-conditional Kneser-Ney models over words, one of toxic and one of ordinary texts."""
+"""Toxicity by two class-conditional Kneser-Ney models, one of toxic and one of ordinary texts.
+
+The models spell words: each character of a word is predicted from those before it. A class has counts of its own for
+the longest contexts; below them both classes share the continuation counts of shorter ones. So an expression that is
+rare has nearly the same probability in both, and a stem that toxic texts have in many forms is known in all of them.
+"""
 
 from __future__ import annotations
 
-from collections import Counter
+import string
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import chunks, fold, written
+from tessera.llm.shared import chunks, fold, mixed, written
 
 #: At most so many labelled rows of each class are read for the fit; which ones, a hash of doc_id decides.
 MAX_LABELLED = 10_000
-#: At most so many n-grams stay in the model: those with the largest counts.
-MAX_ENTRIES = 1_000_000
-#: Counts up to the discount go to the shared backoff as a whole, so only expressions that a class has repeatedly differ.
-DISCOUNT = 4.0
-#: So do counts of expressions that a class has up to this many times as often, by its size, as the other class.
-EXCESS = 2.5
-#: And counts that are up to this many standard deviations above those that the class's size lets expect.
-SIGMAS = 6.0
-STRIP = b".,;:!?\"'()"
+#: Characters of context: of the counts that each class has for itself, and of those that both share.
+OWN, SHARED = 9, (4, 1, 0)
+#: The features of a text: the mean log ratio of its words, and the sum of the largest ones of so many different words.
+STRONGEST = 3
+#: A model of up to so many entries (12 bytes each) is sent to the executors; texts are joined with a larger one.
+LARGEST_SENT = 6_000_000
+BASE = 0x9E3779B97F4A7C15
 
 
 class Model(NamedTuple):
-    """Log ratios toxic : ordinary. A word has a ratio; a pair of words has one that takes its place."""
+    """Log ratios toxic : ordinary of n-grams, and of contexts for the characters that aren't known after them."""
 
-    words: dict[bytes, int]
-    unknown: float  # of words that the model doesn't list
-    word_ratio: np.ndarray
-    pairs: np.ndarray  # sorted keys first * len(words) + second
-    pair_ratio: np.ndarray  # added to the ratio of the second word
-    weights: np.ndarray  # of 1 and the features
+    entries: DataFrame  # key, ratio: of an n-gram, or of a context (with key's lowest bit 1, that of n-grams is 0)
+    weights: tuple[float, float, float]  # of 1, the mean and the strongest
+    small: bool
 
 
-def tokens(text: bytes) -> list[bytes]:
+def tokens(text: bytes) -> list[str]:
     """Lower-case words without punctuation at their ends."""
-    return [w.strip(STRIP) or w for w in text.lower().split()]
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, first, second, n): in how many texts a word (first is null) or a pair of words is found. Continuation
-    counts of this kind don't grow with a word's bursts inside one long text."""
+    return [w.strip(string.punctuation) or w for w in text.decode("utf-8", "replace").lower().split()]
+
+
+def spelled(words: list[str], sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(word, character, [(n-gram key, context key), ...]): for each character of the words and the end of each, the 64-bit
+    hashes of the character with up to so many characters before it, the start being one, and of the latter alone."""
+    text = "".join(f"\x01{w}\x02" for w in words)
+    code = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    lengths = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
+    starts = np.cumsum(lengths) - lengths
+    word = np.repeat(np.arange(len(words)), lengths)
+    place = np.arange(len(code)) - np.repeat(starts, lengths)
+    inverse = np.uint64(pow(BASE, -1, 1 << 64))
+    with np.errstate(over="ignore"):
+        up = np.multiply.accumulate(np.full(len(code) + 1, BASE, np.uint64))
+        down = np.multiply.accumulate(np.full(len(code), inverse, np.uint64))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code * down, dtype=np.uint64)])  # sums[i]: of the first i
+        at = np.flatnonzero(place > 0)
+        keys = []
+        for k in sizes:
+            first = at - np.minimum(place[at], k)
+            gram = mixed((sums[at + 1] - sums[first]) * up[at])
+            context = mixed((sums[at] - sums[first]) * up[at] + np.uint64(k))
+            keys.append((gram & ~np.uint64(1), context | np.uint64(1)))
+    return word[at], code[at], keys
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n0, n1): in how many ordinary and toxic texts a word is. What one text repeats counts once."""
     for batch, texts in chunks(batches):
         toxic = batch.column(batch.schema.get_field_index("toxic")).to_pylist()
-        seen: Counter = Counter()
+        found: dict[str, list[int]] = {}
         for label, text in zip(toxic, texts, strict=True):
-            words = tokens(text)
-            seen.update((label, None, w) for w in set(words))
-            seen.update((label, u, w) for u, w in set(zip(words, words[1:], strict=False)))
-        keys = list(seen)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.binary()), pa.array([k[2] for k in keys], pa.binary()), pa.array(list(seen.values()), pa.int64())],
-            names=["toxic", "first", "second", "n"],
-        )
+            for w in set(tokens(text)):
+                found.setdefault(w, [0, 0])[label] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array([n[c] for n in found.values()], pa.int64()) for c in (0, 1))], names=["word", "n0", "n1"])
+
+
+GRAM = "gram long, ctx long, gram1 long, ctx1 long, gram2 long, ctx2 long, gram3 long"
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-grams of words: keys at every level, with the counts of the word."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 50_000):
+            part = batch.slice(start, 50_000)
+            word, _, keys = spelled(part.column(0).to_pylist(), (OWN, *SHARED))
+            flat = [x.view(np.int64) for pair in keys for x in pair][:7]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, flat), *(pa.array(part.column(c).to_numpy()[word]) for c in (1, 2))], names=[*(f.split()[0] for f in GRAM.split(", ")), "n0", "n1"])
 
 
 def labelled_sample(labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
@@ -69,103 +100,168 @@ def labelled_sample(labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Data
     return part[0].unionByName(part[1]).withColumn("checks", fold("doc_id") == 4)
 
 
-def _expressive(wide: DataFrame, totals: tuple[float, float], discount: float, excess: float) -> DataFrame:
-    """wide (n0, n1: counts of both classes) with t0, t1: what the discount takes for the shared backoff.
+def discount(ones: float, twos: float) -> float:
+    """The Kneser-Ney discount, from how many counts are 1 and how many are 2."""
+    return min(max(ones / (ones + 2 * twos), 0.05), 0.95) if ones else 0.5
 
-    It takes all of a count that is at most `discount`, at most `excess` times as frequent in the class as in the other
-    one, or within SIGMAS standard deviations of what the class's size lets expect: rare expressions, and those that both
-    classes share, have the same probability in both. Of others it takes `discount`. Frequencies are relative to the
-    sizes of the classes, so a balanced sample tells as much as one with few toxic rows.
-    """
-    size = [max(t, 1.0) for t in totals]
-    share = [s / sum(size) for s in size]
-    expected = [share[c] * (F.col("n0") + F.col("n1")) for c in (0, 1)]
-    least = [F.greatest(F.lit(float(discount)), excess * size[c] / size[1 - c] * F.col(f"n{1 - c}"), expected[c] + SIGMAS * F.sqrt(expected[c] * share[1 - c])) for c in (0, 1)]
-    taken = [F.when(F.col(f"n{c}") <= least[c], F.col(f"n{c}")).otherwise(F.lit(float(discount))) for c in (0, 1)]
-    return wide.select("*", taken[0].alias("t0"), taken[1].alias("t1"))
+
+def _discounts(counts: DataFrame, columns: list[str]) -> list[float]:
+    row = counts.agg(*(F.count_if(F.col(c) == n) for c in columns for n in (1, 2))).first()
+    return [discount(row[2 * i], row[2 * i + 1]) for i in range(len(columns))]
+
+
+def _interpolated(n: Column, total: Column, types: Column, d: float, lower: Column) -> Column:
+    """(max(n - d, 0) + d * types * lower) / total; lower where the context was never seen."""
+    return F.when(total > 0, (F.greatest(n - d, F.lit(0.0)) + d * types * lower) / total).otherwise(lower)
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED, discount: float = DISCOUNT, excess: float = EXCESS, max_entries: int = MAX_ENTRIES) -> Model:
-    """Fit on a bounded sample of labelled rows. The model is bounded too: it lists the expressions of the largest counts."""
+def ratios(top: DataFrame) -> DataFrame:
+    """(key, ratio) of n-grams and contexts, from top: the keys of GRAM with the counts n0, n1 of both classes.
+
+    A class's model: its own discounted counts of the longest n-grams, and beyond them the shared model. The shared model
+    is Kneser-Ney too: a shorter n-gram counts as often as there are different longer ones, of either class, that end in it.
+    """
+    c1 = top.groupBy("gram1", "ctx1", "gram2", "ctx2", "gram3").agg(F.count("*").alias("c"))
+    c2 = c1.groupBy("gram2", "ctx2", "gram3").agg(F.count("*").alias("c"))
+    c3 = c2.groupBy("gram3").agg(F.count("*").alias("c"))
+    total = c3.agg(F.sum("c")).first()[0] or 1
+    lower = c3.select("gram3", (F.col("c") / float(total)).alias("lower"))
+    for level, (counts, below) in enumerate(((c2, "gram3"), (c1, "gram2"))):
+        gram, ctx = (("gram2", "ctx2"), ("gram1", "ctx1"))[level]
+        sums = counts.groupBy(ctx).agg(F.sum("c").alias("total"), F.count("*").alias("types"))
+        p = _interpolated(F.col("c"), F.col("total"), F.col("types"), _discounts(counts, ["c"])[0], F.col("lower"))
+        lower = written(counts.join(sums, ctx).join(lower, below).select(gram, p.alias("lower")), f"toxic-shared-{level}")
+    d = _discounts(top, ["n0", "n1"])
+    ctx = top.groupBy("ctx").agg(*(f(c).alias(f"{name}{c[1]}") for c in ("n0", "n1") for name, f in (("total", F.sum), ("types", lambda c: F.count_if(F.col(c) > 0)))))
+    joined = top.join(ctx, "ctx").join(lower, "gram1")
+    p = [_interpolated(F.col(f"n{c}"), F.col(f"total{c}"), F.col(f"types{c}"), d[c], F.col("lower")) for c in (0, 1)]
+    rest = [F.when(F.col(f"total{c}") > 0, d[c] * F.col(f"types{c}") / F.col(f"total{c}")).otherwise(1.0) for c in (0, 1)]
+    of = lambda key, x: (F.col(key).alias("key"), F.log(x[1] / x[0]).cast("float").alias("ratio"))
+    return joined.select(*of("gram", p)).unionByName(ctx.select(*of("ctx", rest)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED, largest_sent: int = LARGEST_SENT) -> Model:
+    """Fit on a bounded sample of labelled rows; all counts are Spark tables, and no n-gram is left out.
+
+    Of a doc_id that several rows have, the least text counts; equal texts count once, as toxic if any of them is.
+    """
     sample = labelled_sample(labels, max_labelled)
     # at most 2 * max_labelled ids: a broadcast of proven size, so texts are not shuffled
-    texts = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]), "labelled")
-    counts = texts.filter(~F.col("checks")).select("toxic", "text").mapInArrow(_count, "toxic int, first binary, second binary, n long")
-    wide = written(counts.groupBy("first", "second").agg(*(F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1))), "class-counts")
-    single, double = wide.filter("first IS NULL"), wide.filter("first IS NOT NULL")
-    sums = single.agg(F.sum("n0"), F.sum("n1")).first()
-    totals = (float(sums[0] or 0), float(sums[1] or 0))
-    words_t = _expressive(single, totals, discount, excess)
-    t = words_t.agg(F.sum("t0"), F.sum("t1")).first()
-    n, taken = [max(x, 1.0) for x in totals], [max(float(x or 0), 1.0) for x in t]
-    backoff = sum(taken)
-    unknown = float(np.log(taken[1] / n[1]) - np.log(taken[0] / n[0]))
-    prob = {}
-    for r in words_t.filter("n0 > t0 OR n1 > t1").orderBy(F.greatest("n0", "n1").desc(), "second").limit(max_entries).collect():
-        shared = max(r["t0"] + r["t1"], 1.0) / backoff
-        prob[bytes(r["second"])] = [(r[f"n{c}"] - r[f"t{c}"] + taken[c] * shared) / n[c] for c in (0, 1)]
-    # pairs: what they tell beyond their second word
-    context = single.select(F.col("second").alias("first"), F.col("n0").alias("c0"), F.col("n1").alias("c1"))
-    pairs = _expressive(double, totals, discount, excess).filter("n0 > t0 OR n1 > t1").join(context, "first").orderBy(F.greatest("n0", "n1").desc(), "first", "second").limit(max_entries).collect()
-    words = {w: i for i, w in enumerate(sorted({*prob, *(bytes(x) for r in pairs for x in (r["first"], r["second"]))}))}
-    word_ratio = np.array([np.log(prob[w][1] / prob[w][0]) if w in prob else unknown for w in words] or [0.0])
-    common = {bytes(r["second"]): [(taken[c] / n[c]) * max(r["n0"] + r["n1"], 1.0) / backoff for c in (0, 1)] for r in single.join(F.broadcast(single.sparkSession.createDataFrame([(bytearray(w),) for w in words if w not in prob] or [(bytearray(b""),)], "second binary")), "second").collect()}
-    keys, values = [], []
-    for r in pairs:
-        first, second = bytes(r["first"]), bytes(r["second"])
-        lower = prob.get(second) or common[second]
-        p = [(max(r[f"n{c}"] - r[f"t{c}"], 0.0) + max(r[f"c{c}"] - r[f"n{c}"] + r[f"t{c}"], 1.0) * lower[c]) / max(r[f"c{c}"], 1.0) for c in (0, 1)]
-        keys.append(words[first] * len(words) + words[second])
-        values.append(np.log(p[1] / p[0]) - word_ratio[words[second]])
-    order = np.argsort(np.array(keys, np.int64))
-    model = Model(words, unknown, word_ratio, np.array(keys, np.int64)[order], np.array(values, float)[order], np.zeros(3))
-    return model._replace(weights=_calibrated(model, texts.filter("checks"), labels))
-
-
-def _features(model: Model, texts: list[bytes]) -> np.ndarray:
-    """By text: 1, the mean log ratio per word, and that times the root of the length."""
-    split = [tokens(t) for t in texts]
-    lengths = np.array([len(w) for w in split], np.int64)
-    ids = np.fromiter((model.words.get(w, -1) for ws in split for w in ws), np.int64, int(lengths.sum()))
-    docs = np.repeat(np.arange(len(texts)), lengths)
-    ratio = np.where(ids >= 0, model.word_ratio[np.maximum(ids, 0)], model.unknown)
-    if len(model.pairs) and len(ids) > 1:
-        both = np.flatnonzero((ids[1:] >= 0) & (ids[:-1] >= 0) & (docs[1:] == docs[:-1]))
-        key = ids[both] * len(model.words) + ids[both + 1]
-        at = np.minimum(np.searchsorted(model.pairs, key), len(model.pairs) - 1)
-        ratio[both + 1] += np.where(model.pairs[at] == key, model.pair_ratio[at], 0.0)
-    mean = np.bincount(docs, weights=ratio, minlength=len(texts)) / np.maximum(lengths, 1)
-    return np.column_stack([np.ones(len(texts)), mean, mean * np.sqrt(lengths)])
-
-
-def _scorer(model: Model, into: str):
+    found = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    one = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"), F.max("checks").alias("checks"))
+    texts = written(one.groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("checks").alias("checks")), "toxic-labelled")
+    words = texts.filter(~F.col("checks")).select("toxic", "text").mapInArrow(_words, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    keys = [f.split()[0] for f in GRAM.split(", ")]
+    top = written(words.mapInArrow(_grams, f"{GRAM}, n0 long, n1 long").groupBy(*keys).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxic-grams")
+    entries = written(ratios(top), "toxic-ratios")
+    model = Model(entries, (0.0, 0.0, 0.0), entries.count() <= largest_sent)
+    return model._replace(weights=_calibrated(model, texts.filter("checks").select("toxic", "text"), labels))
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(batch.column(i).to_numpy()).tobytes()], pa.binary()) for i in (0, 1)], names=["key", "ratio"])
+
+
+class Table:
+    """The entries of a model, sorted by key."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+
+    def get(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(value or 0, found), by key."""
+        one, back = np.unique(asked, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, one), max(len(self.keys) - 1, 0))
+        found = self.keys[at] == one if len(self.keys) else np.zeros(len(one), bool)
+        return np.where(found, self.values[at] if len(self.keys) else 0, 0)[back], found[back]
+
+    def ratios(self, words: list[str]) -> np.ndarray:
+        """ln of the probability of each word among toxic words to that among ordinary ones."""
+        word, _, [(gram, context)] = spelled(words, (OWN,))
+        ratio, found = self.get(gram)
+        ratio[~found] = self.get(context[~found])[0]
+        return np.bincount(word, weights=ratio, minlength=len(words))
+
+
+def features(lengths: np.ndarray, ids: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(mean log ratio of the words, sum of the largest STRONGEST of different words) by text; ids are the texts' words."""
+    docs = np.repeat(np.arange(len(lengths)), lengths)
+    mean = np.bincount(docs, weights=ratio[ids], minlength=len(lengths)) / np.maximum(lengths, 1)
+    once = np.unique(docs * max(len(ratio), 1) + ids)
+    doc, r = once // max(len(ratio), 1), ratio[once % max(len(ratio), 1)] if len(ratio) else np.zeros(0)
+    order = np.lexsort((-r, doc))
+    doc, r = doc[order], r[order]
+    rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
+    return mean, np.bincount(doc[rank < STRONGEST], weights=r[rank < STRONGEST], minlength=len(lengths))
+
+
+def _split(texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(different words, number of words by text, the words of all texts as places in the first)."""
+    index: dict[str, int] = {}
+    split = [[index.setdefault(w, len(index)) for w in tokens(t)] for t in texts]
+    return list(index), np.array([len(w) for w in split], np.int64), np.fromiter((i for w in split for i in w), np.int64)
+
+
+def _featured(table: object, keep_text: bool):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = Table(*table.value)
         for batch, texts in chunks(batches):
-            score = 1 / (1 + np.exp(-np.clip(_features(model, texts) @ model.weights, -50, 50)))
-            rest = [c for i, c in enumerate(batch.columns) if batch.schema.names[i] != "text"]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(score)], names=[*(c for c in batch.schema.names if c != "text"), into])
+            words, lengths, ids = _split(texts)
+            mean, strongest = features(lengths, ids, t.ratios(words) if words else np.zeros(0))
+            n = len(batch.columns) - (not keep_text)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(mean), pa.array(strongest)], names=[*batch.schema.names[:n], "mean", "strongest"])
 
     return apply
 
 
-def _calibrated(model: Model, texts: DataFrame, labels: DataFrame) -> np.ndarray:
-    """Weights of a logistic function, by Newton steps over the checking rows; classes weigh as in all labels of the fit."""
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, found in chunks(batches):
-            x = _features(model, found)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x[:, 1]), pa.array(x[:, 2])], names=["toxic", "mean", "scaled"])
-
-    rows = texts.select("toxic", "text").mapInArrow(features, "toxic int, mean double, scaled double").collect()  # at most 2 * max_labelled rows
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, word, n, gram, context): the characters of the different words of each text; n: how often the text has the word."""
+    for batch, texts in chunks(batches):
+        for row, text in zip(batch.column(0).to_pylist(), texts, strict=True):
+            words, _, ids = _split([text])
+            if words:
+                word, _, [(gram, context)] = spelled(words, (OWN,))
+                n = np.bincount(ids, minlength=len(words))
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(word), pa.string()), *(pa.array(x) for x in (word, n[word], gram.view(np.int64), context.view(np.int64)))], names=["row", "word", "n", "gram", "ctx"])
+
+
+def _joined(rows: DataFrame, entries: DataFrame) -> DataFrame:
+    """The features by joins, where the model is too large to be sent: rows has a unique column row, and text."""
+    asked = rows.select("row", "text").mapInArrow(_asked, "row string, word long, n long, gram long, ctx long")
+    of = lambda key, name: entries.select(F.col("key").alias(key), F.col("ratio").alias(name))
+    known = asked.join(of("gram", "own"), "gram", "left").join(of("ctx", "rest"), "ctx", "left")
+    words = known.groupBy("row", "word").agg(F.max("n").alias("n"), F.sum(F.coalesce("own", "rest", F.lit(0.0)).cast("double")).alias("r"))
+    largest = F.slice(F.sort_array(F.collect_list("r"), asc=False), 1, STRONGEST)  # of one text's words
+    by_row = words.groupBy("row").agg((F.sum(F.col("n") * F.col("r")) / F.sum("n")).alias("mean"), F.aggregate(largest, F.lit(0.0), lambda a, x: a + x).alias("strongest"))
+    return rows.join(by_row, "row", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("mean", "strongest")})
+
+
+def _with_features(rows: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
+    """rows, whose last column is text, with the features mean and strongest behind it or in its place."""
+    kept = rows.schema.fields[: None if keep_text else -1]
+    if not model.small:
+        found = _joined(written(rows.withColumn("row", F.expr("uuid()")), "toxic-rows"), model.entries)
+        return found.select(*(f.name for f in kept), "mean", "strongest")
+    parts = model.entries.mapInArrow(_packed, "key binary, ratio binary").collect()
+    keys, values = (np.concatenate([np.frombuffer(p[c], kind) for p in parts] or [np.zeros(0, kind)]) for c, kind in (("key", np.uint64), ("ratio", np.float32)))
+    table = rows.sparkSession.sparkContext.broadcast((keys, values))
+    return rows.mapInArrow(_featured(table, keep_text), T.StructType([*kept, T.StructField("mean", T.DoubleType()), T.StructField("strongest", T.DoubleType())]))
+
+
+def _calibrated(model: Model, rows: DataFrame, labels: DataFrame) -> tuple[float, float, float]:
+    """Weights of a logistic function, by Newton steps over the checking rows (2 * MAX_LABELLED at most); classes weigh as
+    in all labels of the fit. Its constant is chosen so that 0.5 is where these rows have their largest F1 score."""
+    found = _with_features(rows, model).collect()
     share = labels.filter("toxic IN (0, 1)").filter(fold("doc_id") != 0).agg(F.avg("toxic")).first()[0]
-    y = np.array([r["toxic"] for r in rows], float)
     share = 0.1 if share is None else min(max(share, 1e-4), 1 - 1e-4)
-    start = np.array([np.log(share / (1 - share)), 0.0, 0.0])
+    y = np.array([r["toxic"] for r in found], float)
     if not 0 < y.sum() < len(y):
-        return start
-    x = np.array([[1.0, r["mean"], r["scaled"]] for r in rows])
+        return float(np.log(share / (1 - share))), 0.0, 0.0
+    x = np.array([[1.0, r["mean"], r["strongest"]] for r in found])
     scale = np.array([1.0, *np.maximum(x[:, 1:].std(axis=0), 1e-9)])
-    x, w, ridge = x / scale, start, np.array([1e-6, 1.0, 1.0])
+    x, w, ridge = x / scale, np.array([np.log(share / (1 - share)), 0.0, 0.0]), np.array([1e-6, 0.1, 0.1])
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
 
     def loss(w: np.ndarray) -> float:
@@ -181,16 +277,34 @@ def _calibrated(model: Model, texts: DataFrame, labels: DataFrame) -> np.ndarray
         w = w + size * step
         if np.abs(size * step).max() < 1e-8:
             break
-    return w / scale
+    w[0] -= best_cut(x @ w, y, weight)
+    return tuple(float(v) for v in w / scale)
+
+
+def best_cut(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """The middle between the two neighbouring values of z that part the classes with the largest F1 score."""
+    order = np.lexsort((y, -z))
+    z, y, weight = z[order], y[order], weight[order]
+    last = np.r_[np.diff(z) != 0, True]  # equal values are on one side
+    f1 = np.where(last, 2 * np.cumsum(weight * y) / (np.cumsum(weight) + weight @ y), -1)
+    k = int(np.argmax(f1))
+    return float((z[k] + (z[k + 1] if k + 1 < len(z) else z[k] - 1)) / 2)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
-    """docs with a column `into` (0 to 1, higher: likelier toxic) in place of the column text; the other columns stay.
-    Each text is judged alone, whole. Null and empty texts have the score of the class shares alone. A column `into` that
-    docs has already is replaced."""
-    plain = docs.drop(into) if text == "text" else docs.drop(into).withColumnRenamed(text, "text")
-    schema = T.StructType([*(f for f in plain.schema.fields if f.name != "text"), T.StructField(into, T.DoubleType())])
-    return plain.mapInArrow(_scorer(model, into), schema)
+def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score", keep_text: bool = False) -> DataFrame:
+    """docs with a column `into` (0 to 1, higher: likelier toxic) at the end, and without the column text unless keep_text.
+
+    Each text is judged alone, whole. Null and empty texts have the score of a text whose words tell nothing. A column
+    `into` that docs has already is replaced; all other columns stay, whatever their names.
+    """
+    plain = docs.drop(into) if into != text else docs
+    others = [c for c in plain.columns if c != text]
+    found = _with_features(plain.select(*others, F.col(text).cast("string")).toDF(*(f"c{i}" for i in range(len(others))), "text"), model, keep_text)
+    w = [F.lit(x) for x in model.weights]
+    z = w[0] + w[1] * F.col("mean") + w[2] * F.col("strongest")
+    named = [F.col(f"c{i}").alias(c) for i, c in enumerate(others)] + [F.col("text").alias(text)] * keep_text
+    scored = found.select(*named, (1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), z))))).alias(into))
+    return scored.select(*(c for c in plain.columns if c != text or keep_text), into)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **fit_options: object) -> DataFrame:

@@ -292,6 +292,97 @@ def test_toxicity(spark, docs, texts, labels, none):
     assert {round(r["score"], 9) for r in without} == {0.1}
 
 
+def spelled_ratios(texts):
+    """ln(P(word | toxic) / P(word | ordinary)) of any word, by the definition: texts are (words, toxic)."""
+    own, (mid, low, _) = toxicity.OWN, toxicity.SHARED
+    grams = lambda w, k: [(s[max(0, j - k) : j], s[j]) for s in ["^" + w + "$"] for j in range(1, len(s))]
+    n = [Counter(), Counter()]
+    for words, label in texts:
+        for w in words:
+            n[label].update(grams(w, own))
+    seen = set(n[0]) | set(n[1])
+    cut = lambda g, k: (g[0][-k:] if k else "", g[1])
+    shared = []
+    for k in (mid, low, 0):
+        counts = Counter(cut(g, k) for g in (shared[-1] if shared else seen))
+        shared.append(counts)
+    d = lambda c: toxicity.discount(sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values()))
+    ds, dk = [d(c) for c in shared], [d(c) for c in n]
+
+    def sums(counts):
+        total, types = Counter(), Counter()
+        for (h, _), v in counts.items():
+            total[h], types[h] = total[h] + v, types[h] + (v > 0)
+        return total, types
+
+    shared_sums, own_sums = [sums(c) for c in shared], [sums(c) for c in n]
+
+    def lower(g, level):
+        if level == 2:
+            return shared[2][g] / sum(shared[2].values())
+        total, types = (x[g[0]] for x in shared_sums[level])
+        below = lower(cut(g, (mid, low, 0)[level + 1]), level + 1)
+        return (max(shared[level][g] - ds[level], 0) + ds[level] * types * below) / total
+
+    def of(w):
+        out = 0.0
+        for g in grams(w, own):
+            weight = [dk[k] * own_sums[k][1][g[0]] / own_sums[k][0][g[0]] if own_sums[k][0][g[0]] else 1.0 for k in (0, 1)]
+            if g in seen:
+                p = [max(n[k][g] - dk[k], 0) / max(own_sums[k][0][g[0]], 1) + weight[k] * lower(cut(g, mid), 0) for k in (0, 1)]
+                out += math.log(p[1] / p[0])
+            else:
+                out += math.log(weight[1] / weight[0])
+        return out
+
+    return of
+
+
+def test_class_models_by_brute_force(spark):
+    """The ratios of all words, by broadcast and by join, and the features of texts."""
+    import numpy as np
+
+    rng = random.Random(11)
+    rows, marks = [], []
+    for i in range(150):
+        toxic = int(rng.random() < 0.3)
+        w = [rng.choice(["über", "The", "cat", "concatenation", "vilest", "vileness", "日本", "a"][: 8 - 2 * (1 - toxic)]) + rng.choice(["", "s", "ing", ",", "xyzzyxyzzy"]) for _ in range(rng.randrange(0, 25))]
+        rows.append((i, " ".join(w)))
+        marks.append((i, toxic))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    part = lambda i: zlib.crc32(str(i).encode()) % 5
+    texts = {}
+    for (i, t), (_, label) in zip(rows, marks, strict=True):
+        if part(i) != 0:
+            texts[t] = (max(label, texts.get(t, (0, 0))[0]), min(part(i) == 4, texts.get(t, (0, True))[1]))
+    of = spelled_ratios([(set(toxicity.tokens(t.encode())), label) for t, (label, checks) in texts.items() if not checks])
+    model = toxicity.fit(docs, labels)
+    table = toxicity.Table(np.array([r["key"] % 2**64 for r in model.entries.collect()], np.uint64), np.array([r["ratio"] for r in model.entries.collect()]))
+    words = sorted({w for _, t in rows for w in toxicity.tokens(t.encode())} | {"never", "cats", "vi", "x"})
+    assert np.allclose(table.ratios(words), [of(w) for w in words], atol=1e-4)
+    want = {}
+    for i, t in rows:
+        r = [of(w) for w in toxicity.tokens(t.encode())]
+        top = sorted({w: of(w) for w in toxicity.tokens(t.encode())}.values(), reverse=True)[: toxicity.STRONGEST]
+        want[i] = (sum(r) / max(len(r), 1), sum(top))
+    for m in (model, model._replace(small=False)):
+        found = toxicity._with_features(docs, m).collect()
+        assert all(np.allclose((r["mean"], r["strongest"]), want[r["doc_id"]], atol=1e-4) for r in found) and len(found) == len(rows)
+    w = model.weights
+    for r in toxicity.toxicity(docs, labels).collect():
+        assert abs(r["score"] - 1 / (1 + math.exp(-(w[0] + w[1] * want[r["doc_id"]][0] + w[2] * want[r["doc_id"]][1])))) < 1e-4
+
+
+def test_the_cut_has_the_best_f1():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    z, y = rng.integers(0, 20, 200).astype(float), rng.integers(0, 2, 200).astype(float)
+    weight = np.where(y == 1, 0.4, 1.7)
+    f1 = lambda cut: 2 * weight @ (y * (z > cut)) / (weight @ (z > cut) + weight @ y)
+    assert abs(f1(toxicity.best_cut(z, y, weight)) - max(f1(c) for c in np.arange(-1, 20, 0.5))) < 1e-12
+
+
 def test_toxic_words_are_found(spark):
     rng = random.Random(7)
     rows, marks = [], []
