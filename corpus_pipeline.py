@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, jaccard_join, mixture, pieces, toxicity
 from tessera.llm.queries import MIX_WEIGHTS, MODEL_FILE
-from tessera.llm.shared import documents, written
+from tessera.llm.shared import documents, fresh, written
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +17,8 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models reject go."""
     model = toxicity.fit(docs, _labels(spark, sf_dir))
-    scored = toxicity.score(docs.withColumn("_whole", docs["text"]), model, into="_toxicity")
-    return scored.filter("_toxicity < 0.5").withColumnRenamed("_whole", "text").select(*docs.columns)
+    toxic = fresh("toxicity", docs)
+    return toxicity.score(docs, model, into=toxic, keep_text=True).filter(F.col(toxic) < 0.5).select(*docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
