@@ -257,26 +257,92 @@ def test_language_model(docs, texts, none):
     assert mixing_lm.lm_scores(none).isEmpty()
 
 
+def lm_rows(docs):
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 1
+    return docs.select("doc_id", held.alias("held"), "text")
+
+
+@pytest.fixture(scope="module")
+def phrases(spark):
+    """Texts that share passages, so that two words often say what comes next."""
+    rng = random.Random(21)
+    words = [f"{rng.choice(['ba', 'Ke', 'zo', 'lú'])}{i}" for i in range(300)]
+    passages = [[rng.choice(words) for _ in range(40)] for _ in range(12)]
+    rows = [(i, " ".join(rng.choice(passages)[: rng.randrange(3, 40)] + [rng.choice(words) for _ in range(rng.randrange(30))])) for i in range(160)]
+    return spark.createDataFrame([*rows, (160, rows[3][1]), (None, None), (161, "")], "doc_id long, text string")
+
+
+def test_counts_of_the_model_by_brute_force(phrases):
+    c = mixing_lm.counted(lm_rows(phrases.repartition(3)))
+    texts, kinds = {r["doc_id"]: r["text"] for r in phrases.collect()}, {}
+    rows = c.ready.collect()
+    for r in rows:
+        kinds.update(dict.fromkeys(r["doc_ids"], r["kind"]))
+    tokens = {i: [*words_of(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None] for i, t in texts.items()}
+    assert set(kinds) == set(texts) and sum(k == mixing_lm.TUNING for k in kinds.values()) == c.tuning == len([i for i in texts if i is not None and zlib.crc32(str(i).encode()) % 5 != 1]) // mixing_lm.TUNING_SHARE
+    after = lambda i: zip([None, None, *tokens[i]], [None, *tokens[i]], tokens[i], strict=False)
+    count = Counter(w for i, k in kinds.items() if k != mixing_lm.HELD for w in tokens[i])
+    assert c.sums == (sum(count.values()), len(count), sum(v == 1 for v in count.values()))
+    follows = {}
+    for which, of in (("all", (mixing_lm.TRAINING, mixing_lm.TUNING)), ("base", (mixing_lm.TRAINING,))):
+        follows[which] = defaultdict(Counter)
+        for i, k in kinds.items():
+            if k in of:
+                for a, b, w in after(i):
+                    follows[which][a, b][w] += 1
+    seen = 0
+    for r in rows:
+        block = mixing_lm.Answered(r.asDict(recursive=True))
+        at = 0
+        for i in r["doc_ids"]:
+            for a, b, w in after(i):
+                n = follows["base" if r["kind"] == mixing_lm.TUNING else "all"][a, b]
+                most, known = max(n.values(), default=0), sum(n.values()) >= (2 if r["kind"] == mixing_lm.TRAINING else 1)
+                assert block.count[at] == count[w] and block.share[at] == 1 and block.known[at] == known
+                if known:
+                    assert (block.times[at], block.rest[at]) == (most, sum(n.values()) - most)
+                    assert not block.hit[at] or n[w] == most
+                    assert block.hit[at] or n[w] < most or sum(v == most for v in n.values()) > 1
+                    seen += int(block.hit[at])
+                at += 1
+        assert at == len(block.ids)
+    assert seen > 500
+    classes = mixing_lm._class_counts(c.classes)
+    assert (classes.sum(axis=(1, 2)) == sum(count.values())).all()
+
+
+def test_scores_follow_from_the_rows_alone(phrases):
+    found = [{(r["doc_id"], r["n_bytes"]): r["score"] for r in mixing_lm.lm_scores(phrases.repartition(n)).collect()} for n in (1, 3, 8)]
+    assert all(f.keys() == found[0].keys() and all(abs(f[k] - found[0][k]) < 1e-9 for k in f) for f in found)
+
+
+def test_weights_are_learned_on_a_small_table(phrases):
+    import numpy as np
+
+    new, m = mixing_lm.Mixer(), mixing_lm.Mixer.load(mixing_lm.tuned(mixing_lm.counted(lm_rows(phrases))))
+    assert np.abs(m.weights - new.weights)[:, :3].max() > 0.1 and np.abs(m.first - new.first).max() > 0.1 and m.refine.sum() > new.refine.sum()
+
+
 def test_bits_of_all_classes_add_up_to_one():
     import numpy as np
 
-    m = mixing_lm.Mixer()
     rng = np.random.default_rng(1)
-    text = rng.integers(2, 40, 5000).astype(np.int32)
-    block = lambda cls: mixing_lm.Block([1], np.zeros(1, np.uint8), np.array([len(cls)], np.int32), np.ones(1, np.int64), np.full(len(cls), 5), cls)
-    m.learn(block(text))
-    tables = m.stretched()
-    total = 0.0
-    for c in range(mixing_lm.CLASSES):
-        b = block(np.append(text[:6], c).astype(np.int32))
-        contexts = [0 if k == 0 else b.before(k) for k in mixing_lm.BACK]
-        p = 1.0
-        for level in range(mixing_lm.LEVELS):
-            x, bit, gate = m.inputs(b, tables, level, contexts)
-            one = m.refined(level, m.mixed(x, gate))[-1]
-            p *= one if bit[-1] else 1 - one
-        total += p
-    assert abs(total - 1) < 1e-6
+    counts = rng.integers(0, 3, (3, mixing_lm.CLASSES, mixing_lm.CLASSES))
+    tables, m = mixing_lm.stretched(counts), mixing_lm.Mixer()
+    n = mixing_lm.CLASSES
+
+    def tokens(cls, hit=0):
+        whole = lambda x, kind=np.int32: np.full(n * 3, x, kind)
+        seq = np.stack([np.full(n, 5), np.full(n, 9), cls], axis=1).ravel().astype(np.int32)
+        back = lambda k: np.concatenate([np.zeros((n, k), int), seq.reshape(n, 3)[:, : 3 - k]], axis=1).ravel()
+        return mixing_lm.Tokens({"cls": seq, "back1": back(1), "back2": back(2), "doc": np.repeat(np.arange(n), 3), "place": np.tile(np.arange(3), n), "known": whole(1, np.int8), "hit": np.tile([1, 1, hit], n).astype(np.int8), "times": whole(4), "rest": whole(1)})
+
+    t = tokens(np.arange(n))
+    m.learn(t, tables)
+    first, rest = m.score(t, tables)
+    assert abs(np.exp(rest[2::3]).sum() - 1) < 1e-6
+    hit, _ = m.score(tokens(np.arange(n), 1), tables)
+    assert np.allclose(np.exp(first[2::3]) + np.exp(hit[2::3]), 1)
 
 
 def test_model_beats_the_base_on_held_out_texts(spark, sf_dir):
