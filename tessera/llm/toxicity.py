@@ -35,7 +35,7 @@ class Model(NamedTuple):
 
     entries: DataFrame  # key, ratio: of an n-gram, or of a context (with key's lowest bit 1, that of n-grams is 0)
     weights: tuple[float, float, float]  # of 1, the mean and the strongest
-    small: bool
+    sent: object | None  # the broadcast entries; None where they are too many
 
 
 def tokens(text: bytes) -> list[str]:
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     keys = [f.split()[0] for f in GRAM.split(", ")]
     top = written(words.mapInArrow(_grams, f"{GRAM}, n0 long, n1 long").groupBy(*keys).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxic-grams")
     entries = written(ratios(top), "toxic-ratios")
-    model = Model(entries, (0.0, 0.0, 0.0), entries.count() <= largest_sent)
+    model = Model(entries, (0.0, 0.0, 0.0), _sent(entries) if entries.count() <= largest_sent else None)
     return model._replace(weights=_calibrated(model, texts.filter("checks").select("toxic", "text"), labels))
 
 
@@ -163,6 +163,12 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(batch.column(i).to_numpy()).tobytes()], pa.binary()) for i in (0, 1)], names=["key", "ratio"])
 
 
+def _sent(entries: DataFrame) -> object:
+    """Keys and ratios for every executor; LARGEST_SENT bounds them."""
+    parts = entries.mapInArrow(_packed, "key binary, ratio binary").toArrow()
+    return entries.sparkSession.sparkContext.broadcast(tuple(np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in parts.column(c))]) for c, kind in (("key", np.uint64), ("ratio", np.float32))))
+
+
 class Table:
     """The entries of a model, sorted by key."""
 
@@ -241,13 +247,10 @@ def _joined(rows: DataFrame, entries: DataFrame) -> DataFrame:
 def _with_features(rows: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
     """rows, whose last column is text, with the features mean and strongest behind it or in its place."""
     kept = rows.schema.fields[: None if keep_text else -1]
-    if not model.small:
+    if model.sent is None:
         found = _joined(written(rows.withColumn("row", F.expr("uuid()")), "toxic-rows"), model.entries)
         return found.select(*(f.name for f in kept), "mean", "strongest")
-    parts = model.entries.mapInArrow(_packed, "key binary, ratio binary").collect()
-    keys, values = (np.concatenate([np.frombuffer(p[c], kind) for p in parts] or [np.zeros(0, kind)]) for c, kind in (("key", np.uint64), ("ratio", np.float32)))
-    table = rows.sparkSession.sparkContext.broadcast((keys, values))
-    return rows.mapInArrow(_featured(table, keep_text), T.StructType([*kept, T.StructField("mean", T.DoubleType()), T.StructField("strongest", T.DoubleType())]))
+    return rows.mapInArrow(_featured(model.sent, keep_text), T.StructType([*kept, T.StructField("mean", T.DoubleType()), T.StructField("strongest", T.DoubleType())]))
 
 
 def _calibrated(model: Model, rows: DataFrame, labels: DataFrame) -> tuple[float, float, float]:

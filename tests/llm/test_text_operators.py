@@ -431,7 +431,7 @@ def test_class_models_by_brute_force(spark):
         r = [of(w) for w in toxicity.tokens(t.encode())]
         top = sorted({w: of(w) for w in toxicity.tokens(t.encode())}.values(), reverse=True)[: toxicity.STRONGEST]
         want[i] = (sum(r) / max(len(r), 1), sum(top))
-    for m in (model, model._replace(small=False)):
+    for m in (model, model._replace(sent=None)):
         found = toxicity._with_features(docs, m).collect()
         assert all(np.allclose((r["mean"], r["strongest"]), want[r["doc_id"]], atol=1e-4) for r in found) and len(found) == len(rows)
     w = model.weights
