@@ -27,6 +27,9 @@ MAX_FREQUENT, FREQUENT = 100_000, 32
 #: Groups of up to this many classes with a prefix token give all their pairs; larger ones give pairs with one leader first.
 GROUP = 48
 ORDERS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
+#: Columns of a sketch of the whole set: bit i says whether an odd number of tokens hash to i. The bits in which two sketches
+#: differ are at most the tokens that are in one set alone, which are a seventh of both sizes at most if the sets link.
+SKETCH = [f"s{i}" for i in range(8)]
 
 
 def shingles(text: bytes, known: WordHashes) -> np.ndarray:
@@ -97,14 +100,20 @@ def _head(tokens: np.ndarray, salt: int) -> np.ndarray:
     return np.sort((np.sort(mixed(tokens ^ np.uint64(salt)))[: prefix_size(len(tokens))] & np.uint64(0xFFFF)).astype(np.uint16))
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    bits = np.bincount((mixed(tokens) >> np.uint64(55)).astype(np.int64), minlength=64 * len(SKETCH)) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(class, tokens, prefixes in orders 2 and 3) of the texts asked for; a row of the same id with another text doesn't count."""
+    """(class, tokens, prefixes in orders 2 and 3, sketch) of the texts asked for; a row of the same id with another text doesn't count."""
     known = WordHashes()
     for batch, texts in chunks(batches):
         asked = batch.column(batch.schema.get_field_index("v")).to_pylist()
         out = [(v, s) for v, s in zip(asked, (shingles(t, known) for t in texts), strict=True) if np.uint64(class_of(s)).view(np.int64) == v]
         heads = [pa.array([_head(s, salt).tobytes() for _, s in out], pa.binary()) for salt in ORDERS]
-        yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in out], pa.int64()), pa.array([len(s) for _, s in out], pa.int64()), pa.array([s.tobytes() for _, s in out], pa.binary()), *heads], names=["v", "n", "tokens", "head2", "head3"])
+        sketches = np.array([sketch(s) for _, s in out], np.int64).reshape(-1, len(SKETCH))
+        yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in out], pa.int64()), pa.array([len(s) for _, s in out], pa.int64()), pa.array([s.tobytes() for _, s in out], pa.binary()), *heads, *(pa.array(c) for c in sketches.T)], names=["v", "n", "tokens", "head2", "head3", *SKETCH])
 
 
 def enough(shared: int, n_a: int, n_b: int) -> bool:
@@ -152,14 +161,29 @@ def _room(shared: F.Column) -> F.Column:
     return 7 * (shared + left) >= 3 * (F.col("n_a") + F.col("n_b"))
 
 
-def _pairs(postings: DataFrame, apart: str = "true") -> DataFrame:
-    """(v_a, v_b, n_a, n_b, hot_a, ..., shared): pairs of a token's group whose sizes allow the similarity, with their
+def _pairs(postings: DataFrame) -> DataFrame:
+    """(v_a, v_b, n_a, n_b, hot_a, ..., shared): pairs of a small group whose sizes allow the similarity, with their
     common tokens. Both sides are the same exchange."""
-    near = f"100 * a.n >= {PERCENT} * b.n AND 100 * b.n >= {PERCENT} * a.n AND a.v < b.v AND {apart}"
+    near = f"100 * a.n >= {PERCENT} * b.n AND 100 * b.n >= {PERCENT} * a.n AND a.v < b.v"
     keys = [F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("v", "n", "hot", "cold", "full")]
     return postings.alias("a").join(postings.alias("b"), F.expr(f"a.token = b.token AND {near}")).groupBy(*keys).agg(F.count("*").alias("shared"))
 
 
+def _across_groups(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): pairs of different components that a large group's token may link, one of them being full.
+
+    Of two sets that link, take the token that is first in order 1 among those they share: what follows it must leave room
+    for the similarity in both, so the smaller set has it in its first seventh. That and the sketches are conditions of
+    the join: of a group's pairs, those that can't link are never made.
+    """
+    rows = rows.join(sets.select("v", *SKETCH), "v")
+    smaller = f"100 * a.n >= {PERCENT} * b.n AND (a.n < b.n OR (a.n = b.n AND a.v < b.v))"
+    room = "7 * least(a.n - a.rank, b.n - b.rank) >= 3 * (a.n + b.n)"
+    differ = " + ".join(f"bit_count(a.{s} ^ b.{s})" for s in SKETCH)
+    may = F.expr(f"a.token = b.token AND a.label <> b.label AND (a.full OR b.full) AND {smaller} AND {room} AND 7 * ({differ}) <= a.n + b.n")
+    return rows.filter("7 * rank <= n").alias("a").join(rows.alias("b"), may).select(F.least("a.v", "b.v").alias("a"), F.greatest("a.v", "b.v").alias("b")).distinct()
+
+
 def _ordered(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> DataFrame:
     """(token, v, rank, n, large, hot, cold, full, before): the emitted tokens that several classes have.
 
@@ -183,10 +207,10 @@ def links(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> DataFram
     classes: v, n, key (of one document of the class). docs: key, text. Two classes that aren't full share a token of a
     group that isn't large, for their prefixes hold no others. Pairs with a full class may share tokens of large groups
     only: those groups give pairs with their leader first, and then, of the classes that aren't yet in one component, the
-    pairs with a full class.
+    pairs with a full class that _across_groups leaves.
     """
     rows = _ordered(docs, classes, frequent)
-    columns = ["token", "v", "n", "hot", "cold", "full"]
+    columns = ["token", "v", "n", "hot", "cold", "full", "rank"]
     small = rows.filter(~F.col("large") & (F.col("rank") - F.col("before") < prefix_size(F.col("n")))).select(*columns)
     large = rows.filter(F.col("large") & (F.col("rank") < prefix_size(F.col("n")))).select(*columns)
     # what a full class shares in large groups isn't known here, and counts as all that it could
@@ -198,7 +222,7 @@ def links(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> DataFram
     star = whole.join(leaders, "token").filter("v <> leader").groupBy("leader", "v").agg(F.count("*").alias("shared"), F.max("n").alias("n")).filter(10 * F.col("shared") >= prefix_size(F.col("n")))
     star = star.select(F.least("leader", "v").alias("a"), F.greatest("leader", "v").alias("b"), F.col("v").alias("of"), "shared")
     found = written(near.withColumn("of", F.col("b")).unionByName(star).groupBy("a", "b", "of").agg(F.max("shared").alias("shared")), "pairs")
-    sets = _set_table(docs, classes, found)
+    sets = _set_table(docs, classes, found.select(F.col("a").alias("v")).unionByName(found.select(F.col("b").alias("v"))).distinct())
     # each class first with the partner it shares most with; what is joined then needs no further comparison
     best = found.groupBy("of").agg(F.max_by(F.struct("a", "b"), F.struct("shared", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b").distinct()
     linked = _linked(best, sets)
@@ -209,17 +233,18 @@ def links(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> DataFram
     open_rows = written(labelled.join(mixed_groups, "token", "left_semi"), "open")
     if open_rows.isEmpty():
         return linked
-    cross = _pairs(open_rows, "a.label <> b.label AND (a.full OR b.full)").filter(_room(F.col("shared") + F.least("cold_a", "cold_b"))).select(F.col("v_a").alias("a"), F.col("v_b").alias("b"))
-    cross = written(cross.join(found.select("a", "b").distinct(), ["a", "b"], "left_anti"), "cross")
+    open_sets = _set_table(docs, classes, open_rows.select("v").distinct())
+    cross = written(_across_groups(open_rows, open_sets).join(found.select("a", "b").distinct(), ["a", "b"], "left_anti"), "cross")
     if cross.isEmpty():
         return linked
-    return linked.unionByName(_linked(cross, _set_table(docs, classes, cross)))
+    return linked.unionByName(_linked(cross, open_sets))
 
 
-def _set_table(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    asked = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct().join(classes, "v").select("v", "key")
+def _set_table(docs: DataFrame, classes: DataFrame, asked: DataFrame) -> DataFrame:
+    """The sets of the classes v asked for, each from one text of the class."""
+    asked = asked.join(classes, "v").select("v", "key")
     # texts are shuffled only where too many are asked for
-    return written(docs.join(small_or_shuffled(asked, "asked"), "key").select("v", "text").mapInArrow(_sets, "v long, n long, tokens binary, head2 binary, head3 binary").dropDuplicates(["v"]), "sets")
+    return written(docs.join(small_or_shuffled(asked, "asked"), "key").select("v", "text").mapInArrow(_sets, f"v long, n long, tokens binary, head2 binary, head3 binary, {', '.join(f'{c} long' for c in SKETCH)}").dropDuplicates(["v"]), "sets")
 
 
 def _joined(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
