@@ -1,4 +1,4 @@
-"""Annotation sets: SRC-08 to SRC-13, FIL-01, FIL-02, FIL-14, FIL-18 to FIL-22, JOIN-03, JOIN-09, JOIN-13, JOIN-14, SET-01, SET-02."""
+"""Annotation sets: SRC-08 to SRC-11, FIL-01, FIL-02, FIL-14, FIL-18 to FIL-22, JOIN-03, JOIN-09, JOIN-13, JOIN-14, SET-01, SET-02."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Landmark models built, validated and applied for all terms and images at once: FEA-17 to FEA-19, ML-19 to ML-22, JOB-08 to JOB-11.
+"""Landmark models built, validated and applied for all terms and images at once: FEA-17 to FEA-19, ML-19 to ML-22, JOB-08, JOB-09.
 
 Images are long grey pixels (image_id, x, y, v); sizes: image_id, width, height; landmarks: image_id, term_id, x, y.
 """

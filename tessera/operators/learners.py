@@ -1,4 +1,4 @@
-"""Learners: extremely randomised trees on DataFrames, nearest neighbours, and final classifiers. ML-01 to ML-18."""
+"""Learners: extremely randomised trees on DataFrames, nearest neighbours, and final classifiers. ML-01 to ML-04, ML-07 to ML-14, ML-16, ML-17."""
 
 from __future__ import annotations
 
@@ -33,10 +33,13 @@ def nearest_vote(rows: DataFrame, asked: DataFrame, k: int, block: int = 256) ->
                 a, b = np.array([list(q["embedding"]) for q in queries], float), np.array([list(r["embedding"]) for r in found], float)
                 ids, labels = np.array([r["sample_id"] for r in found]), np.array([r["label"] for r in found])
                 d = np.round(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2), 8)
-                for i, q in enumerate(queries):
-                    order = np.lexsort((ids, d[i]))
-                    order = order[ids[order] != q["sample_id"]][:k]
-                    yield pd.DataFrame({"sample_id": q["sample_id"], "t": ids[order], "label": labels[order], "d": d[i][order]})
+                asked_ids = np.array([q["sample_id"] for q in queries])
+                order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)
+                keep = ids[order] != asked_ids[:, None]
+                keep &= np.cumsum(keep, axis=1) <= k
+                which, place = np.nonzero(keep)
+                t = order[which, place]
+                yield pd.DataFrame({"sample_id": asked_ids[which], "t": ids[t], "label": labels[t], "d": d[which, t]})
 
     # a stated set of queries against all rows, in blocks
     near_rows = pieces.crossJoin(packed).select("queries", "rows").mapInPandas(near, "sample_id long, t long, label int, d double")
@@ -61,16 +64,19 @@ def fit_trees(rows: DataFrame, trees: int, k: int, classes: int | None = None, m
     only, so models of many groups are fitted together. Level by level, for all trees and nodes at once: one aggregate finds each tried feature's range, a
     hash draws a threshold in it, one aggregate adds up both sides of every test, and the test that lowers impurity most
     splits the node; one whose tried features are all constant is a leaf. Rows are joined with the table of open splits;
-    nothing goes to the driver but its size.
+    nothing goes to the driver but its size. Without rows there are no nodes.
     """
-    width = len(rows.select("features").first()[0])
+    some = rows.select("features", "label").first()
+    if some is None:
+        return rows.sparkSession.createDataFrame([], NODES)
+    width = len(some["features"])
     several = dict(rows.dtypes)["label"].startswith("array")
     one_hot = lambda v: F.array(*((v == c).cast("double") for c in range(classes)))
     if classes:
         target = F.flatten(F.transform("label", one_hot)) if several else one_hot(F.col("label"))
     else:
         target = F.transform("label", lambda v: v.cast("double"))
-    outputs = (classes or 1) * (len(rows.select("label").first()[0]) if several else 1)
+    outputs = (classes or 1) * (len(some["label"]) if several else 1)
     first = F.col("group") * trees if grouped else F.lit(0)
     state = cut(rows.select("sample_id", "features", target.alias("t"), F.explode(F.sequence(first, first + (trees - 1))).alias("tree_id")).withColumns({"tree_id": F.col("tree_id").cast("int"), "node": F.lit(1).cast("long")}))
     sums = [F.sum(F.col("t")[c]).alias(f"s{c}") for c in range(outputs)] + [F.sum(F.col("t")[c] * F.col("t")[c]).alias(f"q{c}") for c in range(outputs)]
@@ -121,6 +127,8 @@ def apply_trees(rows: DataFrame, nodes: DataFrame, depth: int = 64, grouped: int
         at = rows.select("sample_id", "features").join(trees, how="cross")
     at = at.withColumn("node", F.lit(1).cast("long"))
     done = None
+    if nodes.isEmpty():
+        return at.join(nodes, ["tree_id", "node"]).select("sample_id", "tree_id", "node", "value")
     for _ in range(depth):
         met = cut(at.join(nodes, ["tree_id", "node"]))
         ended = met.filter("leaf").select("sample_id", "tree_id", "node", "value")
@@ -157,7 +165,7 @@ def cross_validated(rows: DataFrame, folds: DataFrame, classes: int, n_folds: in
 
 
 def final_classifier(code: str, n: int, c: float = 1.0, trees: int = 1000):
-    """The estimator for leaf features: svm, lr_l1, lr_l2 or rf. ML-07 to ML-11; c is the cost of an error, over n rows."""
+    """The estimator for leaf features: svm, lr_l1, lr_l2 or rf. ML-07, ML-08, ML-09, ML-11; c is the cost of an error, over n rows."""
     if code == "svm":
         return OneVsRest(classifier=LinearSVC(regParam=1 / (c * n), maxIter=20), parallelism=4)
     if code in ("lr_l1", "lr_l2"):
@@ -168,9 +176,22 @@ def final_classifier(code: str, n: int, c: float = 1.0, trees: int = 1000):
 
 
 def classified(train: DataFrame, test: DataFrame, code: str, n: int | None = None, **options: float) -> DataFrame:
-    """(sample_id, label, pred, p): test rows by a final classifier; p is null where it has no probabilities. ML-17."""
+    """(sample_id, label, pred, p): test rows by a final classifier, with the probability of the class. ML-17.
+
+    et: extremely randomised trees that try the root of the number of features, ML-10. svm: its class, with a
+    probability by a logistic fit on the margins of the training rows, ML-07.
+    """
+    if code == "et":
+        classes = train.agg(F.max("label")).first()[0] + 1
+        k = max(1, round(len(train.select("features").first()[0]) ** 0.5))
+        nodes = fit_trees(train, **{"trees": 1000, "k": k, "classes": classes, **options})
+        return test.select("sample_id", "label").join(predict_class(apply_trees(test, nodes)), "sample_id").select("sample_id", F.col("label").cast("int").alias("label"), F.col("pred").cast("int").alias("pred"), "p")
     vectors = lambda df: df.select("sample_id", F.col("label").cast("double").alias("label"), array_to_vector(F.transform("features", lambda x: x.cast("double"))).alias("features"))
     model = final_classifier(code, n or train.count(), **options).fit(vectors(train))
     out = model.transform(vectors(test))
-    p = F.array_max(vector_to_array("probability")) if "probability" in out.columns else F.lit(None).cast("double")
+    if code == "svm":
+        margins = lambda df: df.select("sample_id", "label", F.col("rawPrediction").alias("features"), F.col("prediction").alias("pred"))
+        platt = LogisticRegression(regParam=1e-3, maxIter=50).fit(margins(model.transform(vectors(train))))
+        out = platt.transform(margins(out)).drop("prediction").withColumnRenamed("pred", "prediction")
+    p = F.element_at(vector_to_array("probability"), F.col("prediction").cast("int") + 1)
     return out.select("sample_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("pred"), p.alias("p"))

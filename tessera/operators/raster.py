@@ -65,11 +65,16 @@ def integral(pixels: DataFrame, by: Sequence[str], value: str = "v") -> DataFram
 
 
 def box_mean(pixels: DataFrame, by: Sequence[str], radius: int, value: str = "v") -> DataFrame:
-    """pixels with mean, over the square of that radius cut at the border. Two separable windows; no join."""
-    row = Window.partitionBy(*by, "y").orderBy("x").rangeBetween(-radius, radius)
-    column = Window.partitionBy(*by, "x").orderBy("y").rangeBetween(-radius, radius)
-    sums = pixels.withColumns({"_s": F.sum(value).over(row), "_n": F.count(value).over(row)})
-    return sums.withColumn("mean", F.sum("_s").over(column) / F.sum("_n").over(column)).drop("_s", "_n")
+    """pixels with mean, over the square of that radius cut at the border. Two separable passes; no join. A sum over a
+    stretch is the difference of two sums from the start, so the work of a pixel doesn't grow with the radius."""
+
+    def stretch(column: str, of: Window) -> Column:
+        upto = lambda end: F.coalesce(F.sum(column).over(of.rangeBetween(Window.unboundedPreceding, end)), F.lit(0))
+        return upto(radius) - upto(-radius - 1)
+
+    row, column = Window.partitionBy(*by, "y").orderBy("x"), Window.partitionBy(*by, "x").orderBy("y")
+    sums = pixels.withColumn("_one", F.col(value).isNotNull().cast("int")).withColumns({"_s": stretch(value, row), "_n": stretch("_one", row)})
+    return sums.withColumn("mean", stretch("_s", column) / stretch("_n", column)).drop("_s", "_n", "_one")
 
 
 def adaptive_box(pixels: DataFrame, by: Sequence[str], radius: int, constant: float) -> DataFrame:
@@ -102,32 +107,32 @@ def open_(pixels: DataFrame, by: Sequence[str], radius: int = 2, value: str = "v
 
 
 def hit_or_miss(pixels: DataFrame, by: Sequence[str], value: str = "m") -> DataFrame:
-    """A mask without the pixels that a pattern matches, pattern by pattern. RAS-09. Outside counts as unset.
+    """A mask without the pixels that a pattern matches, pattern by pattern. RAS-09. Outside counts as unset, and so do
+    pixels that a sparse mask leaves out.
 
-    A pass that looks at one row or column is a window of lag and lead; a diagonal looks along the row above after a lag
-    by column, so every pass is at most two windows and no join.
+    A neighbour is found by its coordinate: along the row, the column or the diagonal that it shares with the pixel, by a
+    frame of one place. So a pass is at most three windows and no join.
     """
-    row, column = Window.partitionBy(*by, "y").orderBy("x"), Window.partitionBy(*by, "x").orderBy("y")
-
-    def at(offset: tuple[int, int], mask: str) -> Column:
+    lines = {
+        "row": Window.partitionBy(*by, "y").orderBy("x"),
+        "column": Window.partitionBy(*by, "x").orderBy("y"),
+        "falling": Window.partitionBy(*by, F.col("x") - F.col("y")).orderBy("x"),
+        "rising": Window.partitionBy(*by, F.col("x") + F.col("y")).orderBy("x"),
+    }
+
+    def at(offset: tuple[int, int]) -> Column:
         dy, dx = offset
-        c = F.col(mask)
-        if dy and dx:
-            raise ValueError("diagonals take two steps")
-        w = column if dy else row
-        d = dy or dx
-        return F.coalesce(F.lag(c, -d).over(w) if d < 0 else F.lead(c, d).over(w), F.lit(0)) if d > 0 else F.coalesce(F.lag(c, -d).over(w), F.lit(0))
+        line, step = ("column", dy) if not dx else ("row", dx) if not dy else ("falling", dx) if dx == dy else ("rising", dx)
+        if abs(dy) not in (0, abs(step)):
+            raise ValueError("an offset must lie on a row, a column or a diagonal")
+        return F.coalesce(F.max(value).over(lines[line].rangeBetween(step, step)), F.lit(0))
 
     out = pixels
     for hit, *misses in HIT_OR_MISS:
-        if hit[0] and hit[1]:
-            out = out.withColumn("_above", at((hit[0], 0), value))
-            matched = at((0, hit[1]), "_above") == 1
-        else:
-            matched = at(hit, value) == 1
+        matched = (F.col(value) == 1) & (at(hit) == 1)
         for miss in misses:
-            matched = matched & (at(miss, value) == 0)
-        out = out.withColumn("_hit", matched & (F.col(value) == 1)).withColumn(value, F.when(F.col("_hit"), 0).otherwise(F.col(value))).drop("_hit", "_above")
+            matched = matched & (at(miss) == 0)
+        out = out.withColumn(value, F.when(matched, 0).otherwise(F.col(value)))
     return out
 
 

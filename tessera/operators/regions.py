@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -11,9 +12,6 @@ from pyspark.sql import functions as F
 
 from tessera.operators.graph import components
 
-#: Rows of runs are joined within strips of this height, so a join never meets a whole image.
-STRIP = 64
-
 
 def runs(mask: DataFrame, by: Sequence[str], value: str = "m") -> DataFrame:
     """(by, y, x0, x1): maximal horizontal stretches of set pixels. WIN-02."""
@@ -107,23 +105,44 @@ def rasterised(polygons: DataFrame, by: Sequence[str]) -> DataFrame:
     return paired.select(*by, F.col("y").cast("int").alias("y"), F.ceil(F.col("at") - 0.5).cast("int").alias("x0"), (F.ceil(F.col("to") - 0.5) - 1).cast("int").alias("x1")).filter("x0 <= x1")
 
 
+def _uncovered(x0: int, x1: int, others: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The stretches of corners along the pixels x0..x1 that no pixel of the sorted runs `others` adjoins."""
+    out, at = [], x0
+    for a, b in others[max(bisect_left(others, (x0, x0)) - 1, 0) :]:
+        if a > x1:
+            break
+        if a > at:
+            out.append((at, a))
+        at = max(at, b + 1)
+    return [*out, (at, x1 + 1)] if at <= x1 else out
+
+
+def way_to(a: tuple[int, int], b: tuple[int, int]) -> tuple[int, int]:
+    """The direction of a side from corner a to corner b."""
+    return ((b[0] > a[0]) - (b[0] < a[0]), (b[1] > a[1]) - (b[1] < a[1]))
+
+
 def contour(objects: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, object, outer, ring): the outlines of each object, as arrays of corners. RAS-12.
 
-    Sides of runs that no pixel of the object adjoins are chained per object; an object is one group, whose edges, not
-    whose pixels, meet in a task.
+    Sides of runs that no run of the object adjoins are chained per object; an object is one group, whose runs and edges,
+    not whose pixels, meet in a task.
     """
     key = [*by, "first_y", "first_x"]
     flat = objects.select(*by, F.col("object.y").alias("first_y"), F.col("object.x0").alias("first_x"), "y", "x0", "x1")
     schema = ", ".join(f"{n} {t}" for n, t in flat.select(*key).dtypes) + ", outer boolean, ring array<array<int>>"
 
     def trace(pdf: pd.DataFrame) -> pd.DataFrame:
-        cells = {(x, r.y) for r in pdf.itertuples() for x in range(r.x0, r.x1 + 1)}
+        rows = {y: sorted(zip(r["x0"], r["x1"], strict=True)) for y, r in pdf.groupby("y")}
         follow: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for x, y in cells:
-            for side, a, b in (((x, y - 1), (x, y), (x + 1, y)), ((x + 1, y), (x + 1, y), (x + 1, y + 1)), ((x, y + 1), (x + 1, y + 1), (x, y + 1)), ((x - 1, y), (x, y + 1), (x, y))):
-                if side not in cells:
-                    follow.setdefault(a, []).append(b)
+        for y, stretches in rows.items():
+            for x0, x1 in stretches:
+                follow.setdefault((x1 + 1, y), []).append((x1 + 1, y + 1))
+                follow.setdefault((x0, y + 1), []).append((x0, y))
+                for a, b in _uncovered(x0, x1, rows.get(y - 1, [])):
+                    follow.setdefault((a, y), []).append((b, y))
+                for a, b in _uncovered(x0, x1, rows.get(y + 1, [])):
+                    follow.setdefault((b, y + 1), []).append((a, y + 1))
         out = []
         while follow:
             at = start = min(follow)
@@ -131,11 +150,11 @@ def contour(objects: DataFrame, by: Sequence[str]) -> DataFrame:
             while True:
                 options = follow[at]
                 # at a corner where two outlines touch, turn towards the object's own side
-                pick = next((b for b in options if (b[0] - at[0], b[1] - at[1]) == (-way[1], way[0])), options[0])
+                pick = next((b for b in options if way_to(at, b) == (-way[1], way[0])), options[0])
                 options.remove(pick)
                 if not options:
                     del follow[at]
-                step = (pick[0] - at[0], pick[1] - at[1])
+                step = way_to(at, pick)
                 if step == way:
                     ring.pop()
                 ring.append(pick)

@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the reliable checkpoint folder (spark.checkpoint.dir; a new folder only where none is set)."""
+    """df written to the reliable checkpoint folder, spark.checkpoint.dir. A local session without one gets a new folder; a
+    cluster must name one, as its hosts share no temporary folder."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jsc.sc()
     if not jvm.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint()

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import color
-from tessera.operators import features, raster, regions
+from tessera.operators import features, landmarks, raster, regions
 from tessera.plans.registry import query
 from tessera.sources.fixtures import fixture
 
@@ -185,5 +185,5 @@ def nms_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("f1_pixels", sql="SELECT image_id, x, y, v FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY v DESC, y, x) AS r FROM f1_pixels WHERE v > 0) WHERE r <= 5")
 def topk_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("image_id").orderBy(F.desc("v"), "y", "x")
-    return fixture(spark, sf_dir, "f1_pixels").filter("v > 0").withColumn("r", F.row_number().over(w)).filter("r <= 5").select("image_id", "x", "y", "v")
+    points = fixture(spark, sf_dir, "f1_pixels").select("image_id", F.lit(0).alias("term_id"), "x", "y", F.col("v").alias("p"))
+    return landmarks.top_candidates(points, 5).select("image_id", "x", "y", F.col("p").alias("v"))

@@ -172,3 +172,69 @@ def test_merging_merged_boxes_changes_nothing(spark):
     once = spatial.merged_boxes(boxes)
     assert spatial.touching_pairs(once).isEmpty()
     assert spatial.merged_boxes(once).exceptAll(once).isEmpty()
+
+
+def test_sparse_and_dense_masks_are_cleaned_alike(spark):
+    rng = np.random.default_rng(8)
+    mask = (rng.random((14, 15)) < 0.35).astype(int)
+    rows = [(1, x, y, int(mask[y, x])) for y in range(14) for x in range(15)]
+    dense = spark.createDataFrame(rows, "image_id long, x int, y int, m int")
+    want = {(x, y) for y in range(14) for x in range(15) if mask[y, x]}
+    for hit, *misses in raster.HIT_OR_MISS:
+        on = lambda x, y, o: (x + o[1], y + o[0]) in want  # noqa: E731, B023
+        want = want - {(x, y) for x, y in want if on(x, y, hit) and not any(on(x, y, o) for o in misses)}
+    for df in (dense, dense.filter("m = 1")):
+        assert {(r["x"], r["y"]) for r in raster.hit_or_miss(df, ["image_id"]).filter("m = 1").collect()} == want
+
+
+def test_box_means_at_any_radius(spark, pixels, picture):
+    for radius in (1, 7, 40):
+        found = as_array(raster.box_mean(pixels, ["image_id"], radius), picture.shape, "mean")
+        for y, x in ((0, 0), (9, 11), (19, 23)):
+            assert abs(found[y, x] - picture[max(y - radius, 0) : y + radius + 1, max(x - radius, 0) : x + radius + 1].mean()) < 1e-9
+
+
+def test_outlines_enclose_their_pixels(spark):
+    rng = np.random.default_rng(6)
+    mask = (rng.random((12, 13)) < 0.6).astype(int)
+    df = spark.createDataFrame([(1, x, y, int(mask[y, x])) for y in range(12) for x in range(13)], "image_id long, x int, y int, v int")
+    objects = regions.labelled(regions.runs(df, ["image_id"], "v"), ["image_id"])
+    areas = {(r["first_y"], r["first_x"]): r["area"] for r in regions.areas(objects, ["image_id"]).collect()}
+    signed, sides = {}, 0
+    for r in regions.contour(objects, ["image_id"]).collect():
+        ring, key = r["ring"], (r["first_y"], r["first_x"])
+        twice = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:], strict=False))
+        assert r["outer"] == (twice > 0) and ring[0] == ring[-1]
+        signed[key] = signed.get(key, 0) + twice / 2
+        sides += sum(abs(a[0] - b[0]) + abs(a[1] - b[1]) for a, b in zip(ring, ring[1:], strict=False))
+    wide = np.pad(mask, 1)
+    assert signed == areas and sides == np.abs(np.diff(wide, axis=0)).sum() + np.abs(np.diff(wide, axis=1)).sum()
+
+
+def test_trees_without_rows(spark):
+    rows = spark.createDataFrame([], "sample_id long, label int, features array<float>")
+    nodes = learners.fit_trees(rows, 3, 2, classes=2)
+    assert nodes.isEmpty() and learners.apply_trees(rows, nodes).isEmpty()
+
+
+def test_final_classifiers_with_probabilities(spark):
+    rng = np.random.default_rng(12)
+    label = rng.integers(0, 3, 90)
+    x = np.eye(3)[label] * 2 + rng.normal(0, 0.4, (90, 3))
+    rows = spark.createDataFrame([(int(i), int(c), [float(v) for v in f]) for i, (c, f) in enumerate(zip(label, x, strict=True))], "sample_id long, label int, features array<double>")
+    train, test = rows.filter("sample_id < 60"), rows.filter("sample_id >= 60")
+    for code, options in (("svm", {}), ("et", {"trees": 5, "depth": 4})):
+        found = learners.classified(train, test, code, **options).collect()
+        assert len(found) == 30 and all(1 / 3 - 1e-9 <= r["p"] <= 1 for r in found if r["pred"] == r["label"])
+        assert sum(r["pred"] == r["label"] for r in found) >= 27
+
+
+def test_regions_of_interest_by_mask(spark):
+    """A slanted region: tiles that only its box meets go, pixels that no run covers are of class 0."""
+    runs = spark.createDataFrame([(1, i, 10 * i, 10 * i + 14) for i in range(100)] + [(1, 3, 35, 60)], "image_id long, y int, x0 int, x1 int")
+    tiles = spark.createDataFrame([(1, 10 * b + a, 100 * a, 10 * b, 100, 10) for a in range(10) for b in range(10)], "image_id long, tile_id int, x0 int, y0 int, w int, h int")
+    covered = {(x, i) for i in range(100) for x in range(10 * i, 10 * i + 15)} | {(x, 3) for x in range(35, 61)}
+    want = {r for r in ((10 * b + a) for a in range(10) for b in range(10)) if any((x, y) in covered for x in range(100 * (r % 10), 100 * (r % 10) + 100) for y in range(10 * (r // 10), 10 * (r // 10) + 10))}
+    assert {r["tile_id"] for r in spatial.tiles_over(tiles, runs).collect()} == want and len(want) < 30
+    pixels = spark.createDataFrame([(1, x, y, 7) for y in range(12) for x in range(0, 130, 3)], "image_id long, x int, y int, cls int")
+    assert all(r["cls"] == 7 * ((r["x"], r["y"]) in covered) for r in spatial.outside_zero(pixels, runs).collect())
