@@ -3,18 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. A local session without one gets a new folder; a cluster
+    must name one, as its hosts share no temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = jvm_dir.get() if jvm_dir.isDefined() else None
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="tessera-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the reliable checkpoint folder, spark.checkpoint.dir. A local session without one gets a new folder; a
-    cluster must name one, as its hosts share no temporary folder."""
+    """df written as Parquet in the shared folder and read again. Its lineage ends there, a lost executor costs nothing that
+    was computed before, and joins of later rounds are planned by its true size. The folder's owner clears it."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jsc.sc()
-    if not jvm.getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint()
+    path = f"{folder(spark)}/tessera/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,4 +1,4 @@
-"""Segment, locate, dispatch, classify; and the composite jobs: UDF-01 to UDF-06, JOB-02 to JOB-07, JOB-13."""
+"""Segment, locate, dispatch, classify; and the composite jobs: UDF-02 to UDF-04, UDF-06, JOB-02, JOB-03, JOB-01, JOB-06, JOB-07, JOB-13. JOB-04 and JOB-05: slides."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import color
 from tessera.operators import evaluation, features, learners, raster, regions, spatial
+from tessera.operators.storage import cut
 
 Segment = Callable[[DataFrame, Sequence[str]], DataFrame]
 Classify = Callable[[DataFrame], DataFrame]
@@ -96,7 +97,28 @@ def classify_windows(windows: DataFrame, nodes: DataFrame) -> DataFrame:
     return evaluation.best_class(evaluation.soft_votes(rows))
 
 
+def validated(annotations: DataFrame, pixels: DataFrame, classes: int, folds: int, n: int = 100, least: float = 0.1, most: float = 1.0, size: int = 24, space: int = 2, seed: int = 0, **options: int) -> tuple[DataFrame, DataFrame]:
+    """(predictions, rates) of annotations (annotation_id, image_id, box, class_idx) by cross-validation. JOB-01.
+
+    Each annotation's crop gives n windows; the trees of the other folds classify them, and the mean over its windows its
+    class. predictions: image_id (the annotation), label, fold, pred, p; rates as evaluation.recognition gives them.
+    """
+    crops = spatial.crops(annotations.select("annotation_id", "image_id", "x0", "y0", "w", "h"), pixels).drop("image_id").withColumnRenamed("annotation_id", "image_id")
+    images = annotations.select(F.col("annotation_id").alias("image_id"), F.col("w").alias("width"), F.col("h").alias("height"), "class_idx")
+    windows = cut(window_vectors(images, crops, n, least, most, size, space, seed))
+    dealt = cut(evaluation.stratified_folds(images.withColumn("label", F.col("class_idx")), folds, "image_id").select("image_id", "class_idx", "fold"))
+    out = None
+    for fold in range(folds):
+        train, test = dealt.filter(F.col("fold") != fold), dealt.filter(F.col("fold") == fold)
+        nodes = fit_windows(train, windows.join(train.select("image_id"), "image_id", "left_semi"), classes, **options)
+        found = classify_windows(windows.join(test.select("image_id"), "image_id", "left_semi"), nodes)
+        part = test.withColumnRenamed("class_idx", "label").join(found.withColumnRenamed("class_idx", "pred"), "image_id")
+        out = part if out is None else out.unionByName(part)
+    out = cut(out)
+    return out, evaluation.recognition(out.select("label", "pred"))
+
+
 def count_in_rois(objects: DataFrame, rois: DataFrame) -> DataFrame:
-    """Objects (image_id, first_y, first_x, box) counted per region of interest. JOB-05, AGG-15."""
+    """Objects (image_id, first_y, first_x, box) counted per region of interest. AGG-15."""
     boxes = objects.select("image_id", F.xxhash64("image_id", "first_y", "first_x").alias("annotation_id"), F.col("left").alias("x0"), F.col("top").alias("y0"), (F.col("right") - F.col("left") + 1).alias("w"), (F.col("bottom") - F.col("top") + 1).alias("h"))
     return spatial.roi_counts(boxes, rois)
