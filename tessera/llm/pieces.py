@@ -46,8 +46,8 @@ class Stretches(dict):
 class Pieces:
     """The vocabulary of a SentencePiece model, and the search over it."""
 
-    #: Entries of each cache: some 20 MB each at most, as a worker keeps them from task to task.
-    REMEMBERED = 100_000
+    #: Entries of a cache, some 40 MB; a task forgets them at its end, as its worker goes on to other work.
+    REMEMBERED = 200_000
 
     def __init__(self, model_file: str):
         import sentencepiece
@@ -70,6 +70,11 @@ class Pieces:
         self._heads: dict[str, tuple[list, list]] = {}
         self._known = Stretches(self)
 
+    def forget(self) -> None:
+        """Empty the caches."""
+        for cache in (self._beside, self._heads, self._known):
+            cache.clear()
+
     def merged(self, text: str) -> list[str]:
         """The merges in order of score, leftmost first; used for two pieces at most."""
         parts = list(text)
@@ -143,7 +148,7 @@ class Pieces:
             known = self._heads.get(head)
             if known is None:
                 self._survivors(head, last, back)
-                if len(self._heads) >= self.REMEMBERED // 2:
+                if len(self._heads) >= self.REMEMBERED // 4:
                     self._heads.clear()
                 self._heads[head] = (last, back)
             else:
@@ -259,6 +264,7 @@ def _encoder(model_file: str, keep_ids: bool):
                 same = [p.decode(x.tolist()) == t.decode() for x, t in zip(ids, texts, strict=True)]
                 digest = [hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(digest), pa.array(same)], names=["doc_id", "n_ids", "ids_sha256", "round_trip"])
+        p.forget()
 
     return apply
 

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,16 +16,19 @@ from pyspark.sql import functions as F
 #: White space of every contract here: space and \t \n \v \f \r. ``bytes.split()`` splits on the same six.
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 #: Texts are handled in groups of about this many bytes, so that a task's memory doesn't follow the batch size.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; only where that is unset, a new one is set."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a local session gets a new one; a
+    cluster must name one, as its hosts share no temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = jvm_dir.get() if jvm_dir.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -72,21 +76,21 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with about CHUNK_BYTES of text each (one text at least)."""
+    """Slices of the batches with about CHUNK_BYTES of text each (one text at least); only a slice's texts are copied."""
     for batch in batches:
-        texts = text_bytes(batch.column(batch.schema.get_field_index(text)))
-        start, size = 0, 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= CHUNK_BYTES or i == len(texts) - 1:
-                yield batch.slice(start, i + 1 - start), texts[start : i + 1]
-                start, size = i + 1, 0
+        column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary())
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < len(ends):
+            end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + CHUNK_BYTES, "right")))
+            yield batch.slice(start, end - start), text_bytes(column.slice(start, end - start))
+            start = end
 
 
 class WordHashes(dict):
     """word -> 64-bit hash, remembered up to a bounded number of words."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -84,8 +84,8 @@ GRAM = "gram long, ctx long, gram1 long, ctx1 long, gram2 long, ctx2 long, gram3
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The n-grams of words: keys at every level, with the counts of the word."""
     for batch in batches:
-        for start in range(0, batch.num_rows, 50_000):
-            part = batch.slice(start, 50_000)
+        for start in range(0, batch.num_rows, 20_000):
+            part = batch.slice(start, 20_000)
             word, _, keys = spelled(part.column(0).to_pylist(), (OWN, *SHARED))
             flat = [x.view(np.int64) for pair in keys for x in pair][:7]
             yield pa.RecordBatch.from_arrays([*map(pa.array, flat), *(pa.array(part.column(c).to_numpy()[word]) for c in (1, 2))], names=[*(f.split()[0] for f in GRAM.split(", ")), "n0", "n1"])
@@ -166,15 +166,16 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sent(entries: DataFrame) -> object:
     """Keys and ratios for every executor; LARGEST_SENT bounds them."""
     parts = entries.mapInArrow(_packed, "key binary, ratio binary").toArrow()
-    return entries.sparkSession.sparkContext.broadcast(tuple(np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in parts.column(c))]) for c, kind in (("key", np.uint64), ("ratio", np.float32))))
+    keys, values = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in parts.column(c))]) for c, kind in (("key", np.uint64), ("ratio", np.float32)))
+    order = np.argsort(keys)
+    return entries.sparkSession.sparkContext.broadcast((keys[order], values[order]))
 
 
 class Table:
     """The entries of a model, sorted by key."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order]
+        self.keys, self.values = keys, values
 
     def get(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(value or 0, found), by key."""
@@ -185,10 +186,14 @@ class Table:
 
     def ratios(self, words: list[str]) -> np.ndarray:
         """ln of the probability of each word among toxic words to that among ordinary ones."""
-        word, _, [(gram, context)] = spelled(words, (OWN,))
-        ratio, found = self.get(gram)
-        ratio[~found] = self.get(context[~found])[0]
-        return np.bincount(word, weights=ratio, minlength=len(words))
+        out = []
+        for start in range(0, len(words), 20_000):  # so that what is computed per character stays small
+            part = words[start : start + 20_000]
+            word, _, [(gram, context)] = spelled(part, (OWN,))
+            ratio, found = self.get(gram)
+            ratio[~found] = self.get(context[~found])[0]
+            out.append(np.bincount(word, weights=ratio, minlength=len(part)))
+        return np.concatenate(out)
 
 
 def features(lengths: np.ndarray, ids: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,7 +205,7 @@ def features(lengths: np.ndarray, ids: np.ndarray, ratio: np.ndarray) -> tuple[n
     order = np.lexsort((-r, doc))
     doc, r = doc[order], r[order]
     rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
-    return mean, np.bincount(doc[rank < STRONGEST], weights=r[rank < STRONGEST], minlength=len(lengths))
+    return mean, np.bincount(doc[rank < STRONGEST], weights=r[rank < STRONGEST], minlength=len(lengths)).astype(float)
 
 
 def _split(texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
