@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from tessera.llm.shared import WordHashes, chunks, rolling
 
 #: A repeat has this many words at least; an anchor has K words, so every window of REPEAT words holds REPEAT-K+1 of them.
 REPEAT, ANCHOR = 13, 6
+#: An anchor of more documents than this is hot: its windows are dealt out over as many tasks as the root of their number.
+HOT = 256
 
 
 def selected(anchors: np.ndarray, width: int) -> np.ndarray:
@@ -53,13 +56,15 @@ def _anchors(repeat: int, k: int):
 
 
 def _extensions(repeat: int, k: int):
-    """Extends each seed both ways, over all the windows that selected it: (anchor, fingerprints of those windows, place)."""
+    """Extends each seed both ways, over all the windows that selected it: (anchor, fingerprints of those windows, place).
+    salt: 0, or of hot anchors one of as many as they have been given, by document."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch, texts in chunks(batches):
-            seeds = batch.column(batch.schema.get_field_index("seeds"))
-            owner, anchor, place, sizes, prints = [], [], [], [], []
+            seeds, hot = (batch.column(batch.schema.get_field_index(c)) for c in ("seeds", "hot"))
+            numbers = [xxhash.xxh3_64_intdigest(str(x)) for x in batch.column(0).to_pylist()]
+            owner, anchor, salt, place, sizes, prints = [], [], [], [], [], []
             for i, t in enumerate(texts):
                 h = known.of(t.split())
                 a = rolling(h, k)
@@ -71,29 +76,32 @@ def _extensions(repeat: int, k: int):
                 first = np.flatnonzero(np.r_[True, (np.diff(hit) > 1) | (np.diff(at[hit]) != 0)])
                 owner.append(np.full(len(first), i))
                 anchor.append(a[at[hit[first]]])
+                salts = {np.int64(x["anchor"]).astype(np.uint64): x["salts"] for x in hot[i].as_py()}
+                salt.append(np.array([1 + numbers[i] % salts[x] if x in salts else 0 for x in anchor[-1]], np.int32) if salts else np.zeros(len(first), np.int32))
                 place.append((np.int64(zlib.crc32(t)) << 31) + hit[first])
                 sizes.append(np.diff(np.r_[first, len(hit)]))
                 prints.append(rolling(h, repeat)[hit])
             cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
             offsets = np.r_[0, np.cumsum(cat(sizes, np.int64))].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cat(anchor, np.uint64).view(np.int64)), batch.column(0).take(pa.array(cat(owner, np.int64))), pa.array(cat(place, np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(cat(prints, np.uint64).view(np.int64)))],
-                names=["anchor", "doc_id", "place", "prints"],
+                [pa.array(cat(anchor, np.uint64).view(np.int64)), pa.array(cat(salt, np.int32)), batch.column(0).take(pa.array(cat(owner, np.int64))), pa.array(cat(place, np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(cat(prints, np.uint64).view(np.int64)))],
+                names=["anchor", "salt", "doc_id", "place", "prints"],
             )
 
     return apply
 
 
 def seeds(docs: DataFrame, repeat: int = REPEAT, k: int = ANCHOR) -> DataFrame:
-    """(doc_id, seeds): the anchors of a document that another document has too.
+    """(doc_id, seeds, hot): the anchors of a document that another document has too; hot ones with their number of salts.
 
     A window aggregate finds the smallest and largest document of each anchor in one shuffle. An anchor comes once per
     document, so however common it is, it is a small part of the rows; Spark sorts and spills it, nothing is collected.
     """
     anchors = docs.select("doc_id", "text").mapInArrow(_anchors(repeat, k), "doc_id long, anchor long")
     same = Window.partitionBy("anchor")
-    shared = anchors.withColumn("first", F.min("doc_id").over(same)).withColumn("last", F.max("doc_id").over(same)).filter("first < last")
-    return shared.groupBy("doc_id").agg(F.collect_set("anchor").alias("seeds"))
+    shared = anchors.withColumns({"first": F.min("doc_id").over(same), "last": F.max("doc_id").over(same), "n": F.count("*").over(same)}).filter("first < last")
+    hot = F.when(F.col("n") > HOT, F.struct("anchor", F.ceil(F.sqrt("n")).cast("int").alias("salts")))
+    return shared.groupBy("doc_id").agg(F.collect_set("anchor").alias("seeds"), F.collect_set(hot).alias("hot"))
 
 
 def repeats(docs: DataFrame, repeat: int = REPEAT, k: int = ANCHOR) -> DataFrame:
@@ -104,12 +112,15 @@ def repeats(docs: DataFrame, repeat: int = REPEAT, k: int = ANCHOR) -> DataFrame
     repeat: a match grows through the windows of neighbouring anchors.
     """
     seeded = docs.join(seeds(docs, repeat, k), "doc_id")
-    extended = seeded.select("doc_id", "text", "seeds").mapInArrow(_extensions(repeat, k), "anchor long, doc_id long, place long, prints array<long>")
+    extended = seeded.select("doc_id", "text", "seeds", "hot").mapInArrow(_extensions(repeat, k), "anchor long, salt int, doc_id long, place long, prints array<long>")
     # dealt out by anchor as short lists of windows; what is exploded after that stays in its task
-    windows = extended.repartition("anchor").select("anchor", "doc_id", "place", F.posexplode("prints").alias("i", "print"))
-    first = F.min("doc_id").over(Window.partitionBy("anchor", "print"))
-    later = windows.withColumn("first", first).filter("doc_id > first")
-    return later.groupBy("doc_id").agg(F.collect_set(F.col("place") + F.col("i")).alias("places"))
+    windows = extended.repartition("anchor", "salt").select("anchor", "salt", "doc_id", "place", F.posexplode("prints").alias("i", "print"))
+    first = F.min("doc_id").over(Window.partitionBy("anchor", "salt", "print"))
+    placed = windows.withColumn("first", first).select("anchor", "salt", "print", "doc_id", "first", (F.col("place") + F.col("i")).alias("at"))
+    # of a hot anchor's windows, those that are first under their salt meet once more (the exchange is read again)
+    winners = placed.filter("salt > 0 AND doc_id = first").drop("first").withColumn("first", F.min("doc_id").over(Window.partitionBy("anchor", "print")))
+    later = placed.filter("doc_id > first").select("doc_id", "at").unionByName(winners.filter("doc_id > first").select("doc_id", "at"))
+    return later.groupBy("doc_id").agg(F.collect_set("at").alias("places"))
 
 
 def _kept(repeat: int, keep_text: bool):
