@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import WHITE_SPACE
+from tessera.llm.shared import WHITE_SPACE, written
 
 #: A run of this many lines that comes again later goes; every such run holds a fingerprint.
 RUN = 3
@@ -49,17 +49,18 @@ def repeated_runs(docs: DataFrame, run: int = RUN, long_words: int | None = LONG
     1. Winnowing: the fingerprints of a document are the minima of its windows. Those of one document only are dropped
        after one shuffle of (document, fingerprint, place).
     2. Extend: around a fingerprint that is found again, the windows that selected it say how far the match goes to both
-       sides. Their contents are compared, and the first place of each is the one that stays.
+       sides. Their contents are compared, by 96 bits of hashes, and the first place of each is the one that stays.
     Windows of different numbers of lines are not compared.
     """
-    windows = _window_rows(docs, run, long_words)
+    windows = written(_window_rows(docs, run, long_words), "line-windows")
     place, order = F.struct("doc_id", "copy", "at"), F.struct("doc_id", "copy", "start")
-    marks = Window.partitionBy("mark", "size")
-    seeds = windows.withColumn("first", F.min(place).over(marks)).withColumn("last", F.max(place).over(marks)).filter("first < last").drop("first", "last", "at")
-    same = Window.partitionBy("mark", "size", "content_a", "content_b")
-    placed = seeds.withColumn("first", F.min(order).over(same))
+    # minima and maxima are combined before the shuffle, however common a line is; joins may be split by their left side
+    mark, content = ["mark", "size"], ["mark", "size", "content_a", "content_b"]
+    found = windows.groupBy(*mark).agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select(*mark)
+    seeds = windows.join(found, mark).select("doc_id", "copy", "start", *content)
+    same = seeds.groupBy(*content).agg(F.min(order).alias("first"), F.max(order).alias("last")).filter("first < last").drop("last")
     apart = (F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.copy") != F.col("copy")) | (F.col("start") - F.col("first.start") >= F.col("size"))
-    return placed.filter(apart).groupBy("doc_id", "copy").agg(F.collect_set(F.struct("start", "size")).alias("starts"))
+    return seeds.join(same, content).filter(apart).groupBy("doc_id", "copy").agg(F.collect_set(F.struct("start", "size")).alias("starts"))
 
 
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN, long_words: int | None = LONG_WORDS, keep_text: bool = False) -> DataFrame:
