@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import WHITE_SPACE, written
+from tessera.llm.shared import WHITE_SPACE, fresh, written
 
 #: A hot text meets in this many groups before the last, so no task sees more than its share of a group of copies.
 SALTS = 16
@@ -56,10 +56,11 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     Rows that repeat the id that stays, with the same text, are reduced to one; rows whose id is null stay only if no
     row with an id has their text, and then one of them does.
     """
-    groups = exact_groups(docs, doc_id, text).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_digest")).distinct()
-    digest = F.sha2(normalised(F.col(text)), 256)
-    kept = docs.withColumn("_digest", digest).join(groups, F.col("_digest").eqNullSafe(F.col("_kept_digest")) & F.col(doc_id).eqNullSafe(F.col("_kept_id")), "left_semi")
-    again = kept.groupBy(doc_id, "_digest").agg(F.count("*").alias("n")).filter("n > 1")
+    digest, kept_id, kept_digest = (fresh(c, docs) for c in ("digest", "kept_id", "kept_digest"))
+    groups = exact_groups(docs, doc_id, text).filter("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_digest)).distinct()
+    same = F.col(digest).eqNullSafe(F.col(kept_digest)) & F.col(doc_id).eqNullSafe(F.col(kept_id))
+    kept = docs.withColumn(digest, F.sha2(normalised(F.col(text)), 256)).join(groups, same, "left_semi")
+    again = kept.groupBy(doc_id, digest).agg(F.count("*").alias(kept_id)).filter(F.col(kept_id) > 1)
     if again.isEmpty():
-        return kept.drop("_digest")
-    return kept.dropDuplicates([doc_id, "_digest"]).drop("_digest")
+        return kept.drop(digest)
+    return kept.dropDuplicates([doc_id, digest]).drop(digest)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
-from tessera.llm.shared import WordHashes, chunks, mixed, rolling, small_or_shuffled, written
+from tessera.llm.shared import WordHashes, chunks, fresh, mixed, rolling, small_or_shuffled, written
 
 SHINGLE = 5
 #: 100 * intersection >= 75 * union, that is, 7 * intersection >= 3 * (sum of both sizes).
@@ -304,6 +304,7 @@ def one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     Rows without words and rows without an id all stay: they are nobody's copy.
     """
+    name = fresh("dropped", docs)
     found = components(docs, doc_id, text)
-    dropped = found.filter("doc_id IS NOT NULL AND n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(small_or_shuffled(dropped, "dropped"), F.col(doc_id) == F.col("_dropped"), "left_anti")
+    dropped = found.filter("doc_id IS NOT NULL AND n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(small_or_shuffled(dropped, "dropped"), F.col(doc_id) == F.col(name), "left_anti")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
+from typing import NamedTuple
+
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -9,11 +12,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import written
+from tessera.llm.shared import fresh, written
 
 #: The domain classifier is fitted on at most this many labelled rows; a hash of doc_id decides which.
 MAX_LABELLED = 20_000
-STEPS, TOLERANCE = 40, 1e-6
+STEPS, TOLERANCE, GAIN = 40, 1e-6, 1e-2
+LENGTHS = (1.0, 0.3, 0.05)
 FEATURES = ("f_words", "f_word_length", "f_symbols", "f_digits", "f_stops", "f_lines", "f_distinct_lines")
 
 
@@ -67,55 +71,86 @@ def _rate(steps: list[np.ndarray], least: float) -> Column:
     rate = F.lit(1.0)
     if not steps:
         return rate
-    table = F.array(*(F.array(*(F.lit(float(x)) for x in s)) for s in steps))
+    table = F.expr(f"array({', '.join(f'array({", ".join(f"{float(x)!r}D" for x in step)})' for step in steps)})")
     dot = lambda s: F.aggregate(F.zip_with(F.col("p"), s, lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
     return F.aggregate(table, rate, lambda r, s: F.greatest(F.lit(float(least)), r + dot(s)))
 
 
-def solve_rates(scored: DataFrame, targets: np.ndarray, least: float = 0.0, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[Column, np.ndarray]:
-    """(rate, reached totals): rates of `least` or more whose expected domain totals come nearest to targets.
+class Solved(NamedTuple):
+    rate: Column  # of a row with p
+    totals: np.ndarray  # expected domain totals at these rates
+    converged: bool
+    steps: int
+
+
+def solve_rates(scored: DataFrame, targets: np.ndarray, least: float = 0.0, steps: int = STEPS, tolerance: float = TOLERANCE) -> Solved:
+    """Rates of `least` or more whose expected domain totals come nearest to targets.
 
     It minimises the squares of total(k) - target(k), total(k) being the sum over documents of rate * n_tokens * p(k), by
-    projected gradients. Tokens are the metric, so a document moves by p . step; a step is the residual times the inverse
-    of the matrix of the documents that are free to move, which makes a few steps enough. Each step is one aggregate over
-    all documents. The driver holds K totals and K * K sums per step, and a document's rate is a function of its p alone.
+    projected gradients. Tokens are the metric, so a document moves by p . step, then to `least` if it is below. A step goes
+    along the residual, or along it times the inverse of the matrix of the documents (all, those free to move, or half of the
+    others too), as far as lowers the squares most: LENGTHS are tried. Each step is one aggregate over all documents; the driver holds K totals and K * K sums of
+    each length, and a document's rate is a function of its p alone. It has converged where the residual is within
+    tolerance of the targets, or where no step lowers the squares by the share GAIN, as where the targets are out of reach.
     """
     k = len(targets)
     taken: list[np.ndarray] = []
-    for _ in range(steps):
+    scale = max(float(np.abs(targets).max()), 1.0)
+
+    moved = lambda step: " + ".join(["rate", *(f"({x!r}D) * p[{j}]" for j, x in enumerate(map(float, step)))])
+
+    def sums(candidates: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The totals, and the matrix of the documents above the bound, after each of these steps."""
         rated = scored.select("n_tokens", "p", _rate(taken, least).alias("rate"))
-        free = F.when(F.col("rate") > least, F.col("n_tokens")).otherwise(F.lit(0.0)) if least > 0 or taken else F.col("n_tokens")
-        sums = [F.sum(F.col("rate") * F.col("n_tokens") * F.col("p")[i]) for i in range(k)]
-        sums += [F.sum(free * F.col("p")[i] * F.col("p")[j]) for i in range(k) for j in range(k)]
-        sums += [F.sum(F.col("n_tokens") * F.col("p")[i] * F.col("p")[j]) for i in range(k) for j in range(k)]
-        found = np.array([float(x or 0) for x in rated.agg(*(s.alias(f"s{i}") for i, s in enumerate(sums))).first()])
-        total, movable, every = found[:k], found[k : k + k * k].reshape(k, k), found[k + k * k :].reshape(k, k)
+        rated = rated.selectExpr("n_tokens", "p", *(f"greatest({float(least)!r}D, {moved(c)}) AS r{i}" for i, c in enumerate(candidates)))
+        each = []
+        for i in range(len(candidates)):
+            each += [f"sum(r{i} * n_tokens * p[{j}])" for j in range(k)]
+            each += [f"sum(CASE WHEN r{i} > {float(least)!r}D THEN n_tokens ELSE 0 END * p[{j}] * p[{m}])" for j in range(k) for m in range(k)]
+        found = np.array([float(x or 0) for x in rated.agg(*(F.expr(x).alias(f"s{i}") for i, x in enumerate(each))).first()]).reshape(len(candidates), -1)
+        return [(row[:k], row[k:].reshape(k, k)) for row in found]
+
+    squares = lambda x: float(((targets - x) ** 2).sum())
+    every = np.array([float(x or 0) for x in scored.agg(*(F.sum(F.col("n_tokens") * F.col("p")[j] * F.col("p")[m]).alias(f"m{j}_{m}") for j in range(k) for m in range(k))).first()]).reshape(k, k)
+    bound, ridge = max(float(np.linalg.eigvalsh(every)[-1]), 1e-12), np.eye(k) * 1e-9 * max(np.trace(every), 1.0)
+    total, free = sums([np.zeros(k)])[0]
+    for n in range(steps + 1):
         residual = targets - total
-        scale = max(float(np.abs(targets).max()), 1.0)
         if np.abs(residual).max() <= tolerance * scale:
+            return Solved(_rate(taken, least), total, True, n)
+        if n == steps:
             break
-        # documents at the bound move only upwards; all are counted where the residual asks for more
-        matrix = movable if (residual <= 0).all() else np.maximum(movable, 0) + 0.5 * (every - movable)
-        step = np.linalg.solve(matrix + np.eye(k) * 1e-9 * max(np.trace(every), 1.0), residual)
-        if np.abs(step).max() < 1e-9:
-            break
-        taken.append(step)
-    return _rate(taken, least), total
-
-
-def mix(docs: DataFrame, labels: DataFrame, weights: dict, domain: str = "quality", budget: float | None = None, least: float = 0.0, seed: int = 0, doc_id: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED, keep_text: bool = False) -> DataFrame:
-    """docs with n_tokens, p (posteriors, in the order of the sorted domains), rate and copies.
+        # plain gradients always descend; scaled ones get there in a few steps
+        scaled = [np.linalg.solve(m + ridge, residual) for m in (free, every, (free + every) / 2)]
+        tried = [length * d for d in scaled for length in LENGTHS] + [length * residual / bound for length in (1.0, 10.0)]
+        found = sums(tried)
+        best = min(range(len(tried)), key=lambda i: squares(found[i][0]))
+        if squares(found[best][0]) >= squares(total) * (1 - GAIN):
+            return Solved(_rate(taken, least), total, True, n)
+        taken, (total, free) = [*taken, tried[best]], found[best]
+    return Solved(_rate(taken, least), total, False, steps)
+
+
+def mix(
+    docs: DataFrame, labels: DataFrame, weights: dict, domain: str = "quality", budget: float | None = None, least: float = 0.0, seed: int = 0, doc_id: str = "doc_id",
+    text: str = "text", max_labelled: int = MAX_LABELLED, keep_text: bool = False, names: tuple[str, str, str, str] = ("n_tokens", "p", "rate", "copies"),
+) -> DataFrame:
+    """docs with n_tokens, p (posteriors, in the order of the sorted domains), rate and copies, or as `names` calls them.
 
     weights: target share of tokens by domain, over the domains of the labels (0 if not named). budget: tokens to reach;
     by default the smallest with which no domain must give tokens away. copies is the rate rounded up or down by a hash
     of doc_id, so that its mean is the rate. Rates are exact for the soft membership: the sum over documents of
-    rate * n_tokens * p meets weights * budget as nearly as rates of `least` or more allow.
+    rate * n_tokens * p meets weights * budget as nearly as rates of `least` or more allow; a warning says where STEPS steps
+    were not enough for that.
 
     Null and empty texts have no tokens; their rate is that of their posteriors. Null ids share one hash. Repeated rows
     get equal rates. Without labels all documents are one domain with rate 1. An empty table gives an empty result.
-    Columns of docs named n_tokens, p, rate or copies would clash and are replaced. The text itself stays with keep_text.
+    Columns of docs with one of the names are replaced; all others stay, whatever their names. The text itself stays with
+    keep_text.
     """
-    plain = docs.drop("n_tokens", "p", "rate", "copies").withColumnsRenamed({} if (doc_id, text) == ("doc_id", "text") else {doc_id: "doc_id", text: "text"})
+    others = [c for c in docs.columns if c not in (*names, doc_id, text)]
+    # columns under names of their own, so none of docs meets one of the classifier
+    plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(others)))
     domains, scored = posteriors(plain, labels, domain, max_labelled)
     scored = written(scored if keep_text else scored.drop("text"), "mix-scored")
     k = len(domains)
@@ -123,12 +158,17 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict, domain: str = "qualit
     w = np.array([float(weights.get(d, 0.0)) for d in domains]) if k > 1 else np.ones(k)
     w = w / w.sum() if w.sum() > 0 else np.full(k, 1 / k)
     want = float(np.max(have[w > 0] / w[w > 0])) if budget is None else float(budget)
-    rate, _ = solve_rates(scored, w * want, least) if have.sum() > 0 else (F.lit(1.0), have)
+    solved = solve_rates(scored, w * want, least) if have.sum() > 0 else Solved(F.lit(1.0), have, True, 0)
+    if not solved.converged:
+        warnings.warn(f"rates not converged after {solved.steps} steps: totals {solved.totals.tolist()} for {(w * want).tolist()}", stacklevel=2)
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    rated = scored.withColumn("rate", rate)
-    return rated.withColumn("copies", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
+    rated = scored.withColumn("rate", solved.rate)
+    rated = rated.withColumn("copies", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
+    of = {doc_id: F.col("doc_id"), **({text: F.col("text")} if keep_text else {}), **{c: F.col(f"c{i}") for i, c in enumerate(others)}}
+    return rated.select(*(of[c].alias(c) for c in docs.columns if c in of), *(F.col(c).alias(name) for c, name in zip(("n_tokens", "p", "rate", "copies"), names, strict=True)))
 
 
-def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
+def repeated(mixed: DataFrame, columns: list[str], copies: str = "copies") -> DataFrame:
     """Each row of mixed as often as its copies say, with these columns."""
-    return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*columns)
+    number = fresh("number", mixed)
+    return mixed.filter(F.col(copies) > 0).withColumn(number, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*columns)

@@ -115,6 +115,15 @@ def test_substrings(docs, texts, none):
     assert substring_dedup.substring_dedup(none).isEmpty()
 
 
+def test_hot_passages_are_dealt_out(spark):
+    """More documents than HOT with one passage: the first keeps it, whatever the salts."""
+    rng = random.Random(13)
+    passage = [f"p{i}" for i in range(20)]
+    rows = [(i, " ".join([*passage, *(f"o{rng.randrange(10**6)}" for _ in range(15))] if i % 2 else [f"x{i}", *passage])) for i in range(3, 3 + 2 * substring_dedup.HOT)]
+    found = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in found} == {i: 0 if i == 3 else 20 for i, _ in rows}
+
+
 def test_every_window_selects_an_anchor_by_content():
     import numpy as np
 
@@ -213,6 +222,33 @@ def test_lines(docs, texts, none):
     assert line_dedup.line_dedup(none).isEmpty()
 
 
+@pytest.mark.parametrize("long_words", [None, 6])
+def test_lines_by_brute_force(spark, long_words):
+    rng = random.Random(17)
+    pool = [f"  line {c} " + "w " * rng.randrange(6) for c in "abcdefgh"]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(9)))) for i in range(60)] + [(61, None), (62, ""), (7, "line a\n\nline b\nline c"), (None, pool[0] * 3)]
+    lines = {(i, t): [x for x in (y.strip(" \t\n\v\f\r") for y in (t or "").split("\n")) if x] for i, t in rows if i is not None}
+    first, all_windows = {}, []
+    for (i, t), x in sorted(lines.items(), key=lambda kv: kv[0][0]):
+        for k in range(1, 4):
+            for s in range(len(x) - k + 1):
+                if k == 3 or (long_words and len(" ".join(x[s : s + k]).split()) >= long_words):
+                    all_windows.append((i, t, s, k, tuple(x[s : s + k])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    copies = {(r["doc_id"], r["text"]): r["copy"] for r in docs.withColumn("copy", F.xxhash64("text")).collect()}
+    for i, t, s, k, c in all_windows:
+        first[k, c] = min(first.get((k, c), (i, copies[i, t], s)), (i, copies[i, t], s))
+    gone = defaultdict(set)
+    for i, t, s, k, c in all_windows:
+        f = first[k, c]
+        if f[:2] != (i, copies[i, t]) or s - f[2] >= k:
+            gone[i, t].update(range(s, s + k))
+    want = Counter((i, len(lines.get((i, t), [0])), len(gone[i, t]), "\n".join(y for p, y in enumerate(lines.get((i, t), [(t or "").strip()])) if p not in gone[i, t])) for i, t in rows)
+    found = line_dedup.line_dedup(docs, long_words=long_words, keep_text=True)
+    assert Counter((r["doc_id"], r["n_lines"], r["n_removed"], r["kept_text"]) for r in found.collect()) == want
+    assert sum(map(len, gone.values())) > 20
+
+
 def test_long_lines_that_come_again_go(spark):
     long, half = " ".join(f"a{i}" for i in range(60)), [" ".join(f"{c}{i}" for i in range(30)) for c in "bc"]
     rows = [(1, f"first\n{long}\n" + "\n".join(half) + "\nshort line"), (2, long), (3, f"x\n{half[0]}\n\n {half[1]} \ny"), (4, f"{half[1]}\n{half[0]}\nshort line"), (5, f"new\n{long} more\n{long} more")]
@@ -423,7 +459,8 @@ def test_class_models_by_brute_force(spark):
             texts[t] = (max(label, texts.get(t, (0, 0))[0]), min(part(i) == 4, texts.get(t, (0, True))[1]))
     of = spelled_ratios([(set(toxicity.tokens(t.encode())), label) for t, (label, checks) in texts.items() if not checks])
     model = toxicity.fit(docs, labels)
-    table = toxicity.Table(np.array([r["key"] % 2**64 for r in model.entries.collect()], np.uint64), np.array([r["ratio"] for r in model.entries.collect()]))
+    table = toxicity.Table(*model.sent.value)
+    assert len(table.keys) == model.entries.count() and (table.keys[1:] > table.keys[:-1]).all()
     words = sorted({w for _, t in rows for w in toxicity.tokens(t.encode())} | {"never", "cats", "vi", "x"})
     assert np.allclose(table.ratios(words), [of(w) for w in words], atol=1e-4)
     want = {}
@@ -481,6 +518,61 @@ def test_toxic_words_are_found_in_a_balanced_sample(spark):
     assert sum(r["predicted"] == int(r["doc_id"] % 3 == 0) for r in held) >= 0.97 * len(held)
 
 
+CLASHES = [
+    "features", "raw", "prediction", "probability", "rawPrediction", "f_words", "p", "rate", "n_tokens", "label", "domain", "_digest", "digest", "kept_id", "kept_digest", "_kept_id", "keep_id", "kept", "dropped", "_dropped", "number",
+    "_copy", "mean", "strongest", "row", "score", "toxicity", "_toxicity", "_whole", "whole", "c0", "c1", "v", "key", "a", "b", "ids", "block", "slice", "held", "kind", "place", "lines", "starts", "gone", "seeds", "anchor", "first", "salt", "body", "n",
+]
+
+
+def test_columns_with_names_of_temporaries_stay(spark, texts, labels):
+    """Every operator on a table that has all its temporary names as columns; those that return the table return it whole."""
+    import corpus_pipeline
+
+    rows = [(i, t, "en", "s", 0) for i, t in texts if t is None or len(t) < 9000]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = plain.select("*", *(F.lit(f"own {c}").alias(c) for c in CLASHES))
+    same = lambda df: [f"own {c}" for c in CLASHES] == [df.first()[c] for c in CLASHES]
+    folder = written_labels(spark, labels)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns and same(out), name
+        assert Counter(map(tuple, out.select(*plain.columns).collect())) == Counter(map(tuple, stage(spark, plain, folder).collect())), name
+    assert corpus_pipeline.encoded(spark, docs, folder).count() == len(rows)
+    kept = [c for c in CLASHES if c not in ("n_tokens", "p", "rate", "copies")]
+    assert mixture.mix(docs, labels, {0: 0.5, 1: 0.5}).filter(" OR ".join(f"`{c}` <> 'own {c}'" for c in kept)).isEmpty()
+    for f in (substring_dedup.substring_dedup, mixing_lm.lm_scores, jaccard_join.components, quality.quality, lambda d: sharding.shards(d, 6), exact_dedup.exact_groups, lambda d: toxicity.toxicity(d, labels), line_dedup.line_dedup):
+        assert f(docs).count() == len(rows)
+
+
+def written_labels(spark, labels):
+    from tessera.llm.shared import shared_folder
+
+    folder = f"{shared_folder(spark)}/clash-labels"
+    labels.write.mode("overwrite").parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+def test_rates_are_the_least_squares(spark):
+    """Against projected gradients over all documents in memory, at both bounds and where the targets can't be met."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet([0.6, 0.6, 0.6], 300)
+    n = rng.integers(0, 400, 300).astype(float)
+    scored = spark.createDataFrame([(int(x), [float(y) for y in q]) for x, q in zip(n, p, strict=True)], "n_tokens long, p array<double>")
+    have = n @ p
+    gram = (p * n[:, None]).T @ p
+    for least, targets, slack in ((1.0, (n * (1 + rng.exponential(1.0, 300))) @ p, 1e-9), (0.0, np.array([have.sum(), 0.0, 0.0]), 0.02)):
+        solved = mixture.solve_rates(scored, targets, least)
+        rates = np.ones(300)
+        for _ in range(5_000):
+            rates = np.maximum(least, rates + p @ ((targets - (rates * n) @ p) / np.linalg.eigvalsh(gram)[-1]))
+        best = ((targets - (rates * n) @ p) ** 2).sum()
+        assert (solved.converged or least == 0) and ((targets - solved.totals) ** 2).sum() <= best + slack * (targets**2).sum()
+        found = scored.select("p", (F.col("n_tokens") * solved.rate).alias("x"), solved.rate.alias("rate")).collect()
+        assert np.allclose(sum(np.array(r["p"]) * r["x"] for r in found), solved.totals, rtol=1e-6) and min(r["rate"] for r in found) >= least
+
+
 def test_mixture(docs, texts, labels, none):
     out = mixture.mix(docs, labels, {0: 0.4, 1: 0.6})
     r = out.agg(*(F.sum(F.expr(f"rate * n_tokens * p[{i}]")).alias(f"t{i}") for i in (0, 1)), F.min("rate").alias("least"), F.count("*").alias("n")).first()
