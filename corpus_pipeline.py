@@ -33,8 +33,9 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def weighted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents come as often as their rate says; rates are 1 or more, so no document is lost."""
-    mixed = mixture.mix(docs, _labels(spark, sf_dir), MIX_WEIGHTS, least=1.0, keep_text=True)
-    return mixture.repeated(mixed, docs.columns)
+    names = tuple(fresh(c, docs) for c in ("n_tokens", "p", "rate", "copies"))
+    mixed = mixture.mix(docs, _labels(spark, sf_dir), MIX_WEIGHTS, least=1.0, keep_text=True, names=names)
+    return mixture.repeated(mixed, docs.columns, names[-1])
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
