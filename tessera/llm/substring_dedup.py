@@ -117,8 +117,9 @@ def repeats(docs: DataFrame, repeat: int = REPEAT, k: int = ANCHOR) -> DataFrame
     windows = extended.repartition("anchor", "salt").select("anchor", "salt", "doc_id", "place", F.posexplode("prints").alias("i", "print"))
     first = F.min("doc_id").over(Window.partitionBy("anchor", "salt", "print"))
     placed = windows.withColumn("first", first).select("anchor", "salt", "print", "doc_id", "first", (F.col("place") + F.col("i")).alias("at"))
-    # of a hot anchor's windows, those that are first under their salt meet once more (the exchange is read again)
-    winners = placed.filter("salt > 0 AND doc_id = first").drop("first").withColumn("first", F.min("doc_id").over(Window.partitionBy("anchor", "print")))
+    # of a hot anchor's windows, those that are first under their salt meet once more; the condition is one that can't be
+    # tested before the window, so both branches read the same exchange
+    winners = placed.filter("CASE WHEN doc_id = first THEN salt ELSE 0 END > 0").drop("first").withColumn("first", F.min("doc_id").over(Window.partitionBy("anchor", "print")))
     later = placed.filter("doc_id > first").select("doc_id", "at").unionByName(winners.filter("doc_id > first").select("doc_id", "at"))
     return later.groupBy("doc_id").agg(F.collect_set("at").alias("places"))
 
