@@ -1,12 +1,20 @@
-"""Operators on long pixel tables (key columns, x, y, v): RAS, WIN-01, WIN-02, FIL-08, AGG-10, AGG-20."""
+"""Operators on long pixel tables (key columns, x, y, v): RAS, WIN-01, WIN-02, FUN-23, FIL-08, AGG-10, AGG-20."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import blocks
+
+#: Weights of small Gaussian kernels, by size.
+SMALL_GAUSSIAN = {3: (0.25, 0.5, 0.25), 5: (0.0625, 0.25, 0.375, 0.25, 0.0625), 7: (0.03125, 0.109375, 0.21875, 0.28125, 0.21875, 0.109375, 0.03125)}
+
 #: Patterns of the clean-up, in the order they are applied: (offset that is set, two offsets that are unset), as (row, column).
 HIT_OR_MISS = (
     ((-1, 1), (-1, 0), (0, 1)),
@@ -77,8 +85,45 @@ def box_mean(pixels: DataFrame, by: Sequence[str], radius: int, value: str = "v"
     return sums.withColumn("mean", stretch("_s", column) / stretch("_n", column)).drop("_s", "_n", "_one")
 
 
+def gaussian_kernel(size: int) -> np.ndarray:
+    """Weights of an odd number of places, with the deviation that goes with the size; the sizes 3, 5 and 7 have fixed ones."""
+    if size % 2 == 0 or size < 3:
+        raise ValueError("a block has an odd size of 3 or more")
+    if size in SMALL_GAUSSIAN:
+        return np.array(SMALL_GAUSSIAN[size])
+    sigma = 0.3 * ((size - 1) * 0.5 - 1) + 0.8
+    w = np.exp(-((np.arange(size) - (size - 1) / 2) ** 2) / (2 * sigma * sigma))
+    return w / w.sum()
+
+
+def adaptive_gaussian(pixels: DataFrame, by: Sequence[str], size: int, constant: float, value: str = "v", side: int | None = None) -> DataFrame:
+    """(by, x, y, v, m): 255 where v is above the weighted mean of its block of size x size less a constant. RAS-04.
+
+    The mean is rounded (halves to even) and the constant rounded up, as for 8-bit images; beyond the border the nearest
+    pixel of the image counts. Images are rectangles; a pixel missing inside one counts as 0, a null as 0.
+    Rows and then columns are weighted in blocks with a halo of half a size.
+    """
+    kernel, reach = gaussian_kernel(size), size // 2
+    side = side or max(blocks.SIDE, size)
+
+    def weigh(block: blocks.Block) -> pa.Table:
+        rows, columns = np.flatnonzero(block.present.any(axis=1)), np.flatnonzero(block.present.any(axis=0))
+        top, left, bottom, right = rows[0], columns[0], rows[-1] + 1, columns[-1] + 1
+        inner = block.values[value][top:bottom, left:right].astype(float)
+        wide = np.pad(inner, reach, mode="edge")
+        h, w = inner.shape
+        across = sum(k * wide[:, i : i + w] for i, k in enumerate(kernel))
+        mean = np.zeros(block.present.shape)
+        mean[top:bottom, left:right] = sum(k * across[i : i + h] for i, k in enumerate(kernel))
+        mean = np.rint(np.round(block.own(mean), 6))
+        v = block.own(block.values[value])
+        return block.rows({value: v, "m": np.where(v - mean > -np.ceil(constant), 255, 0).astype(np.int32)})
+
+    return blocks.each(pixels, by, [value], reach, weigh, f"`{value}` {dict(pixels.dtypes)[value]}, m int", side)
+
+
 def adaptive_box(pixels: DataFrame, by: Sequence[str], radius: int, constant: float) -> DataFrame:
-    """pixels with m: 255 where v is above the local mean less a constant. RAS-03, RAS-04 (box in place of a Gaussian)."""
+    """pixels with m: 255 where v is above the local mean less a constant. RAS-03."""
     return box_mean(pixels, by, radius).withColumn("m", F.when(F.col("v") > F.col("mean") - constant, 255).otherwise(0)).drop("mean")
 
 
@@ -106,34 +151,29 @@ def open_(pixels: DataFrame, by: Sequence[str], radius: int = 2, value: str = "v
     return dilate(erode(pixels, by, radius, value=value), by, radius, value=value)
 
 
-def hit_or_miss(pixels: DataFrame, by: Sequence[str], value: str = "m") -> DataFrame:
+def hit_or_miss(pixels: DataFrame, by: Sequence[str], value: str = "m", side: int = blocks.SIDE) -> DataFrame:
     """A mask without the pixels that a pattern matches, pattern by pattern. RAS-09. Outside counts as unset, and so do
-    pixels that a sparse mask leaves out.
+    pixels that a sparse mask leaves out. Columns: by, x, y and the mask, null as 0; a repeated pixel counts once.
 
-    A neighbour is found by its coordinate: along the row, the column or the diagonal that it shares with the pixel, by a
-    frame of one place. So a pass is at most three windows and no join.
+    The patterns are applied one after another to blocks whose halo is what they reach together, a pixel each: one shuffle.
     """
-    lines = {
-        "row": Window.partitionBy(*by, "y").orderBy("x"),
-        "column": Window.partitionBy(*by, "x").orderBy("y"),
-        "falling": Window.partitionBy(*by, F.col("x") - F.col("y")).orderBy("x"),
-        "rising": Window.partitionBy(*by, F.col("x") + F.col("y")).orderBy("x"),
-    }
-
-    def at(offset: tuple[int, int]) -> Column:
-        dy, dx = offset
-        line, step = ("column", dy) if not dx else ("row", dx) if not dy else ("falling", dx) if dx == dy else ("rising", dx)
-        if abs(dy) not in (0, abs(step)):
-            raise ValueError("an offset must lie on a row, a column or a diagonal")
-        return F.coalesce(F.max(value).over(lines[line].rangeBetween(step, step)), F.lit(0))
-
-    out = pixels
-    for hit, *misses in HIT_OR_MISS:
-        matched = (F.col(value) == 1) & (at(hit) == 1)
-        for miss in misses:
-            matched = matched & (at(miss) == 0)
-        out = out.withColumn(value, F.when(matched, 0).otherwise(F.col(value)))
-    return out
+    if any(max(abs(d) for d in offset) > 1 for offset in sum(HIT_OR_MISS, ())):
+        raise ValueError("patterns reach one pixel")
+
+    def clean(block: blocks.Block) -> pa.Table:
+        mask = block.values[value]
+
+        def at(offset: tuple[int, int]) -> np.ndarray:
+            return np.pad(mask, 1)[1 + offset[0] : 1 + offset[0] + len(mask), 1 + offset[1] : 1 + offset[1] + len(mask)]
+
+        for hit, *misses in HIT_OR_MISS:
+            matched = (mask == 1) & (at(hit) == 1)
+            for miss in misses:
+                matched &= at(miss) == 0
+            mask = np.where(matched, 0, mask)
+        return block.rows({value: block.own(mask)})
+
+    return blocks.each(pixels, by, [value], len(HIT_OR_MISS), clean, f"`{value}` {dict(pixels.dtypes)[value]}", side)
 
 
 def padded(pixels: DataFrame, by: Sequence[str], sizes: DataFrame, margin: int, value: int) -> DataFrame:
@@ -164,6 +204,57 @@ def nearest(pixels: DataFrame, by: Sequence[str], ratio: float) -> DataFrame:
     return pixels.groupBy(*by, F.floor(F.col("x") * ratio).cast("int").alias("nx"), F.floor(F.col("y") * ratio).cast("int").alias("ny")).agg(F.min_by("v", F.struct("y", "x")).alias("v")).withColumnsRenamed({"nx": "x", "ny": "y"})
 
 
+def _sinc(t: Column) -> Column:
+    return F.when(t == 0, F.lit(1.0)).otherwise(F.sin(math.pi * t) / (math.pi * t))
+
+
+def _cubic(t: Column) -> Column:
+    a = -0.5
+    return F.when(t < 1, ((a + 2) * t - (a + 3)) * t * t + 1).when(t < 2, (((t - 5) * t + 8) * t - 4) * a).otherwise(0.0)
+
+
+#: Kernel -> (reach, weight at a distance). Area weights are the shares of pixels that the target pixel covers.
+KERNELS = {
+    "bilinear": (1.0, lambda t: F.greatest(F.lit(0.0), 1 - t)),
+    "cubic": (2.0, _cubic),
+    "lanczos": (3.0, lambda t: F.when(t < 3, _sinc(t) * _sinc(t / 3)).otherwise(0.0)),
+    "area": (1.0, None),
+}
+
+
+def resampled(pixels: DataFrame, by: Sequence[str], sizes: DataFrame, tw: int, th: int, kernel: str = "bilinear", antialias: bool = True, values: Sequence[str] = ("v",)) -> DataFrame:
+    """(by, x, y, values as double): images at a target size, by weighted sums along rows and then columns. FUN-23.
+
+    sizes: by, width, height. Target centres lie at (i + 0.5) * size / target. antialias widens the kernel by the ratio where
+    an image is reduced; without it, and where it grows, a target pixel sees the kernel's own reach. Weights are those of the
+    pixels that exist, scaled to a sum of 1; a target pixel without any has no row. Nulls have no part. area: the mean of
+    what a target pixel covers.
+
+    A pixel is sent to the few target columns (then rows) that its kernel reaches; both passes add up before the shuffle.
+    """
+    reach, weight = KERNELS[kernel]
+
+    def along(table: DataFrame, axis: str, size: str, target: int, keep: Sequence[str]) -> DataFrame:
+        scale = F.col(size) / target
+        wide = F.greatest(scale, F.lit(1.0)) if antialias else F.lit(1.0)
+        if kernel == "area":
+            low, high = F.floor(F.col(axis) / scale), F.ceil((F.col(axis) + 1) / scale) - 1
+        else:
+            low, high = F.ceil((F.col(axis) + 0.5 - reach * wide) / scale - 0.5), F.floor((F.col(axis) + 0.5 + reach * wide) / scale - 0.5)
+        low, high = F.greatest(low, F.lit(0)), F.least(high, F.lit(target - 1))
+        sent = table.withColumns({"_low": low, "_high": high, "_scale": scale, "_wide": wide}).filter("_low <= _high").withColumn("_i", F.explode(F.sequence("_low", "_high")))
+        if kernel == "area":
+            w = F.least(F.col(axis) + 1, (F.col("_i") + 1) * F.col("_scale")) - F.greatest(F.col(axis).cast("double"), F.col("_i") * F.col("_scale"))
+        else:
+            w = weight(F.abs(F.col(axis) + 0.5 - (F.col("_i") + 0.5) * F.col("_scale")) / F.col("_wide"))
+        sums = [(F.sum(F.col("_w") * F.col(v)) / F.sum(F.when(F.col(v).isNotNull(), F.col("_w")))).alias(v) for v in values]
+        weighed = sent.withColumn("_w", w).filter(F.abs("_w") > 1e-12)
+        return weighed.groupBy(*by, F.col("_i").cast("int").alias(axis), *keep).agg(*sums)
+
+    each = pixels.select(*by, "x", "y", *(F.col(v).cast("double").alias(v) for v in values)).join(sizes.select(*by, "width", "height"), list(by))
+    return along(along(each, "x", "width", tw, ["y", "height"]), "y", "height", th, ["x"]).select(*by, "x", "y", *values)
+
+
 def tile_stats(pixels: DataFrame, by: Sequence[str], channels: Sequence[str]) -> DataFrame:
     """Mean and population deviation of each channel of a tile. AGG-10."""
     return pixels.groupBy(*by).agg(*(f(c).alias(f"{n}_{c}") for c in channels for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))))
@@ -190,5 +281,6 @@ def tiles(images: DataFrame, size: int, overlap: int = 0, start: tuple[int, int]
 FILTERS = {
     "binary": lambda pixels, by, threshold=128: binary(pixels, F.lit(threshold)),
     "otsu": lambda pixels, by: binary(pixels.join(otsu(pixels, by), list(by)), F.col("threshold")).drop("threshold"),
+    "gaussian": lambda pixels, by, size=11, constant=0.0: adaptive_gaussian(pixels, by, size, constant).withColumn("v", F.col("m")).drop("m"),
     "adaptive": lambda pixels, by, radius=5, constant=0.0: adaptive_box(pixels, by, radius, constant).withColumn("v", F.col("m")).drop("m"),
 }

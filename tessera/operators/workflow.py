@@ -63,9 +63,9 @@ def find_objects(pixels: DataFrame, by: Sequence[str], filter_name: str = "otsu"
 
 
 def detect_samples(thumbnails: DataFrame, sizes: DataFrame, by: Sequence[str], radius: int = 275, constant: float = 5, erosions: int = 3, dilations: int = 3, least: float = 4e6, most: float = 1e18) -> DataFrame:
-    """Tissue on thumbnails: local threshold, clean-up, the objects but the largest, in slide coordinates. JOB-07.
+    """Tissue on thumbnails: local Gaussian threshold, clean-up, the objects but the largest, in slide coordinates. JOB-07.
     sizes: by, full_width, thumb_width."""
-    mask = raster.adaptive_box(thumbnails, by, radius, constant).withColumn("m", (F.col("m") == 0).cast("int")).drop("v")
+    mask = raster.adaptive_gaussian(thumbnails, by, 2 * radius + 1, constant).withColumn("m", (F.col("m") == 0).cast("int")).drop("v")
     mask = raster.dilate(raster.erode(mask, by, 2, erosions, "m"), by, 2, dilations, "m")
     objects = regions.without_largest(regions.areas(regions.labelled(regions.runs(mask, by), by), by), by).join(sizes, list(by))
     scale = F.col("full_width") / F.col("thumb_width")

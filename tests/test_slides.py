@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import slides, workflow
+from tessera.operators import blocks, raster, slides, workflow
 
 SIZE = 6
 
@@ -49,6 +49,51 @@ def test_squares_are_segmented(spark, table):
     assert {r["roi_id"]: r["annotations"] for r in counts} == {7: 2, 8: 0}
 
 
+def test_both_ways_through_a_forest_agree(spark, table, monkeypatch):
+    nodes = [(t, 1, 3 + t, 90.0, False, [0.0] * 72, 9) for t in range(2)] + [(t, 2 + s, None, None, True, [p for i in range(36) for p in (1 - (s + 1) / 3 - i / 400, (s + 1) / 3 + i / 400)], 4) for t in range(2) for s in range(2)]
+    forest = spark.createDataFrame(nodes, "tree_id int, node long, feature int, threshold double, leaf boolean, value array<double>, n long")
+    holes = table.filter("NOT (x BETWEEN 20 AND 22 AND y BETWEEN 30 AND 31)").unionByName(table.limit(5))
+    images = spark.createDataFrame([(1, 50, 48), (2, 50, 48), (3, 50, 48)], "image_id long, width int, height int")
+    rois = spark.createDataFrame([(2, y, 5, 44) for y in range(3, 30)] + [(3, 1, 0, 9)], "image_id long, y int, x0 int, x1 int")
+    for options in ({"step": 3, "tile": 14, "min_dev": 40}, {"step": 6, "tile": 16, "min_dev": 2, "rois": rois}):
+        found = slides.segmented(images, holes, forest, ["v"], size=SIZE, clean=False, **options)
+        dense = {(r["image_id"], r["x"], r["y"]) for r in found.filter("m = 1").collect()}
+        assert found.count() == found.select("image_id", "x", "y").distinct().count()
+        with monkeypatch.context() as m:
+            m.setattr(slides, "FOREST_BYTES", 0)
+            joined = slides.segmented(images, holes.distinct(), forest, ["v"], size=SIZE, clean=False, **options)
+            assert dense == {(r["image_id"], r["x"], r["y"]) for r in joined.filter("m = 1").collect()} and dense
+    assert slides.segmented(images, table.limit(0), forest, ["v"], size=SIZE, step=2).isEmpty()
+    with pytest.raises(ValueError):
+        slides.segmented(images, table, forest, ["v"], size=SIZE, tile=5)
+
+
+def test_blocks_give_what_one_array_gives(spark, table):
+    v, _ = picture(2)
+    other = table.filter("image_id = 2").withColumn("v", F.when(F.col("v") > 50, 1).otherwise(0))
+    whole = {(r["x"], r["y"]): r["v"] for r in raster.hit_or_miss(other, ["image_id"], "v").collect()}
+    small = {(r["x"], r["y"]): r["v"] for r in raster.hit_or_miss(other, ["image_id"], "v", side=7).collect()}
+    assert whole == small and len(whole) == v.size
+    for size in (3, 11):
+        ways = [raster.adaptive_gaussian(table, ["image_id"], size, 3, side=side).filter("image_id = 2").collect() for side in (13, 64)]
+        assert {tuple(r) for r in ways[0]} == {tuple(r) for r in ways[1]} and len(ways[0]) == v.size
+    shifted = table.withColumns({"x": F.col("x") - 17, "y": F.col("y") - 100})
+    back = blocks.each(shifted, ["image_id"], ["v"], 3, lambda b: b.rows({"v": b.own(b.values["v"])}), "v int", side=10)
+    assert sorted(map(tuple, back.collect())) == sorted((r["image_id"], r["x"] - 17, r["y"] - 100, r["v"]) for r in table.collect())
+    assert blocks.each(table.limit(0), ["image_id"], ["v"], 3, lambda b: b.rows({}), "v int").isEmpty()
+
+
+def test_resampling(spark, table):
+    v, _ = picture(1)
+    sizes = spark.createDataFrame([(1, 50, 48)], "image_id long, width int, height int")
+    same = raster.resampled(table.filter("image_id = 1"), ["image_id"], sizes, 50, 48, "cubic").collect()
+    assert all(r["v"] == pytest.approx(v[r["y"], r["x"]]) for r in same) and len(same) == v.size
+    half = {(r["x"], r["y"]): r["v"] for r in raster.resampled(table, ["image_id"], sizes, 25, 24, "area").collect()}
+    assert all(half[x, y] == pytest.approx(v[2 * y : 2 * y + 2, 2 * x : 2 * x + 2].mean()) for x in range(25) for y in range(24))
+    large = {(r["x"], r["y"]): r["v"] for r in raster.resampled(table, ["image_id"], sizes, 100, 96, "bilinear").collect()}
+    assert len(large) == 9600 and large[3, 0] == pytest.approx(0.75 * v[0, 1] + 0.25 * v[0, 2]) and large[0, 0] == v[0, 0]
+
+
 def test_classes_are_validated(spark, table):
     colours = table.withColumns({"r": F.col("v"), "g": F.col("v"), "b": F.col("v")}).drop("v")
     boxes = [(i, image, x, y, 10, 9, c) for i, (image, x, y, c) in enumerate([(1, 6, 7, 1), (1, 31, 5, 1), (2, 19, 29, 1), (2, 6, 7, 1), (1, 36, 30, 0), (1, 2, 34, 0), (2, 36, 30, 0), (2, 2, 34, 0)])]
