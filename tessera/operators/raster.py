@@ -183,13 +183,56 @@ def padded(pixels: DataFrame, by: Sequence[str], sizes: DataFrame, margin: int,
     return grid.join(shifted, [*by, "x", "y"], "left").select(*by, "x", "y", F.coalesce("v", F.lit(value)).alias("v"))
 
 
-def suppressed(pixels: DataFrame, by: Sequence[str], radius: int, skip_axes: bool = False) -> DataFrame:
-    """The pixels that no other within the disc exceeds. RAS-13. skip_axes leaves the neighbours on both axes out."""
-    steps = [(dx, dy) for dx in range(-radius, radius + 1) for dy in range(-radius, radius + 1) if 0 < dx * dx + dy * dy <= radius * radius and not (skip_axes and not dx * dy)]
-    offsets = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in steps))
-    around = pixels.select(*by, "v", "x", "y", F.explode(offsets).alias("d")).select(*by, (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y"), F.col("v").alias("other"))
-    largest = around.groupBy(*by, "x", "y").agg(F.max("other").alias("other"))
-    return pixels.join(largest, [*by, "x", "y"], "left").filter(F.col("other").isNull() | (F.col("v") >= F.col("other"))).drop("other")
+def _sliding(array: np.ndarray, reach: int) -> np.ndarray:
+    """The largest of the 2 * reach + 1 entries around each one along the rows; the work doesn't grow with the reach.
+
+    Rows are cut into stretches of that length; a window is the end of one stretch and the start of the next, so running
+    maxima from both sides of each stretch are enough.
+    """
+    size = 2 * reach + 1
+    low = np.array(-np.inf if array.dtype.kind == "f" else np.iinfo(array.dtype).min, array.dtype)
+    n = -(-(array.shape[1] + 2 * reach) // size) * size
+    wide = np.full((array.shape[0], n), low)
+    wide[:, reach : reach + array.shape[1]] = array
+    parts = wide.reshape(len(wide), -1, size)
+    ahead = np.maximum.accumulate(parts, axis=2).reshape(len(wide), n)
+    back = np.maximum.accumulate(parts[:, :, ::-1], axis=2)[:, :, ::-1].reshape(len(wide), n)
+    return np.maximum(back[:, : array.shape[1]], ahead[:, size - 1 : size - 1 + array.shape[1]])
+
+
+def suppressed(pixels: DataFrame, by: Sequence[str], radius: int, skip_axes: bool = False, side: int | None = None) -> DataFrame:
+    """(by, x, y, v): the pixels that no other within the disc exceeds. RAS-13. skip_axes leaves the neighbours on both axes
+    out. Nulls are left out; a repeated pixel counts once.
+
+    A disc is chords: for each row of it, the largest value of a stretch, found for all pixels of a block at once. So a
+    block takes 2 * radius + 1 passes, and pixels are shuffled once, with a halo of the radius.
+    """
+    kind = dict(pixels.dtypes)["v"]
+
+    def suppress(block: blocks.Block) -> pa.Table:
+        v = block.values["v"]
+        low = np.array(-np.inf if v.dtype.kind == "f" else np.iinfo(v.dtype).min, v.dtype)
+        v = np.where(block.present, v, low)
+        n, h = block.side, block.halo
+        around = np.full((n, n), low)
+        for dy in range(-radius, radius + 1):
+            reach = math.isqrt(radius * radius - dy * dy)
+            rows = v[h + dy : h + dy + n]
+            if dy and not skip_axes:
+                np.maximum(around, _sliding(rows, reach)[:, h : h + n], out=around)
+            elif reach and not (skip_axes and not dy):
+                # the chord without its middle: a stretch on either side
+                half = -(-reach // 2)
+                both = _sliding(np.pad(rows, ((0, 0), (half, half)), constant_values=low), (reach - 1) // 2)
+                for at in ((reach + 1) // 2, -(reach + 1) // 2 if reach % 2 else -(reach // 2)):
+                    start = half + h + at
+                    np.maximum(around, both[:, start : start + n], out=around)
+                if reach % 2 == 0:
+                    for at in (reach, -reach):
+                        np.maximum(around, rows[:, h + at : h + at + n], out=around)
+        return block.rows({"v": block.own(v)}, block.own(block.present) & (block.own(v) >= around))
+
+    return blocks.each(pixels.filter("v IS NOT NULL"), by, ["v"], radius, suppress, f"v {kind}", side or max(blocks.SIDE, radius))
 
 
 def pyramid(pixels: DataFrame, by: Sequence[str], levels: int) -> DataFrame:

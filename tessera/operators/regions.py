@@ -7,10 +7,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import components
+from tessera.operators.graph import components, smallest
+from tessera.operators.storage import cut
 
 
 def runs(mask: DataFrame, by: Sequence[str], value: str = "m") -> DataFrame:
@@ -59,14 +61,58 @@ def shrunk(regions: DataFrame, by: Sequence[str], radius: int) -> DataFrame:
     return merged(cover.filter((F.col("_c") == n) & F.col("_to").isNotNull()).select(*by, "y", F.col("x").alias("x0"), (F.col("_to") - 1).alias("x1")), by)
 
 
-def labelled(regions: DataFrame, by: Sequence[str], diagonal: bool = False) -> DataFrame:
-    """Runs with object: the key of the first run of their connected object. RAS-11, ITR-01."""
+#: Side of the cells in which objects are found before cells are joined.
+SIDE = 256
+
+
+def _place(y: Column, x: Column) -> Column:
+    """One number for a place, in order of y and then x."""
+    return F.shiftleft(y.cast("long"), 32) + x.cast("long") + 2**31
+
+
+def labelled(regions: DataFrame, by: Sequence[str], diagonal: bool = False, side: int = SIDE) -> DataFrame:
+    """Runs with object: the key (by, y, x0) of the first run of their connected object. RAS-11, ITR-01.
+
+    Runs are cut at the borders of cells. A cell is one group of at most side * side / 2 pieces, whose objects are found in
+    one pass; only the graph of objects that meet across borders is labelled between cells. Runs of a row don't overlap.
+    """
     reach = 1 if diagonal else 0
-    keyed = regions.withColumn("run", F.struct(*by, "y", "x0"))
-    below = keyed.select(*by, (F.col("y") - 1).alias("y"), F.col("x0").alias("p"), F.col("x1").alias("q"), F.col("run").alias("b"))
-    touching = keyed.join(below, [*by, "y"]).filter((F.col("x0") <= F.col("q") + reach) & (F.col("p") <= F.col("x1") + reach))
-    labels = components(keyed.select(F.col("run").alias("v")), touching.select(F.col("run").alias("a"), "b"))
-    return keyed.join(labels.withColumnsRenamed({"v": "run", "label": "object"}), "run").drop("run")
+    columns = [c for c in regions.columns if c not in (*by, "y", "x0", "x1")]
+    band = F.explode(F.sequence(F.floor(F.col("x0") / side), F.floor(F.col("x1") / side)))
+    pieces = regions.select(*by, F.col("y").cast("int").alias("y"), F.col("x0").cast("int").alias("x0"), F.col("x1").cast("int").alias("x1"), *columns).withColumn("_cx", band)
+    pieces = pieces.withColumns({"_cy": F.floor(F.col("y") / side), "_p": F.greatest(F.col("x0"), F.col("_cx") * side).cast("int"), "_q": F.least(F.col("x1"), F.col("_cx") * side + (side - 1)).cast("int")})
+
+    def of_cell(table: pa.Table) -> pa.Table:
+        y, p, q = (table.column(c).to_numpy().astype(np.int64) for c in ("y", "_p", "_q"))
+        order = np.lexsort((p, y))
+        wide, top = 4 * side, y.min()
+        row, left, right = (y[order] - top + 1) * wide, p[order] - p.min() + 1, q[order] - p.min() + 1
+        # pieces of the next row that meet a piece are next to each other
+        low = np.searchsorted(row + right, row + wide + left - reach, "left")
+        high = np.searchsorted(row + left, row + wide + right + reach, "right")
+        many = np.maximum(high - low, 0)
+        b = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        first = order[smallest(len(y), np.repeat(np.arange(len(y)), many), b)]
+        out = np.empty(len(y), np.int64)
+        out[order] = (y[first] << 32) + p[first] + 2**31
+        return table.append_column("_local", pa.array(out))
+
+    types = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes)
+    local = cut(pieces.groupBy(*by, "_cx", "_cy").applyInArrow(of_cell, f"{types}, _local long"))
+    ends = local.select(*by, "y", "_cx", "_cy", "_p", "_q", "_local")
+    # from the last row of a cell to the first of the one below, by the columns that both have
+    beside = F.explode(F.expr(f"filter(array(_cx - 1, _cx, _cx + 1), c -> c = _cx OR {reach} = 1 AND (c < _cx AND _p = _cx * {side} OR c > _cx AND _q = _cx * {side} + {side - 1}))"))
+    low = ends.filter(f"y = _cy * {side} + {side - 1}").select(*by, (F.col("_cy") + 1).alias("_cy"), beside.alias("_cx"), F.col("_p").alias("_p2"), F.col("_q").alias("_q2"), F.col("_local").alias("a"))
+    down = low.join(ends.filter(f"y = _cy * {side}"), [*by, "_cx", "_cy"]).filter((F.col("_p") <= F.col("_q2") + reach) & (F.col("_p2") <= F.col("_q") + reach)).select(*by, "a", F.col("_local").alias("b"))
+    # from the last column of a cell to the first of the next one
+    rows = F.explode(F.array(*(F.col("y") + d for d in range(-reach, reach + 1))))
+    right = ends.filter(f"_q = _cx * {side} + {side - 1}").select(*by, rows.alias("y"), (F.col("_cx") + 1).alias("_cx"), F.col("_local").alias("a"))
+    across = right.join(ends.filter(f"_p = _cx * {side}"), [*by, "_cx", "y"]).select(*by, "a", F.col("_local").alias("b"))
+    edges = down.unionByName(across)
+    labels = components(edges.select(*by, F.col("a").alias("v")).unionByName(edges.select(*by, F.col("b").alias("v"))), edges, by)
+    found = local.filter("_p = x0").join(labels.withColumnRenamed("v", "_local"), [*by, "_local"], "left").withColumn("_first", F.coalesce("label", "_local"))
+    first = F.struct(*by, F.shiftright("_first", 32).cast("int").alias("y"), (F.col("_first").bitwiseAND(0xFFFFFFFF) - 2**31).cast("int").alias("x0"))
+    return found.select(*by, "y", "x0", "x1", *columns, first.alias("object"))
 
 
 def areas(objects: DataFrame, by: Sequence[str]) -> DataFrame:
