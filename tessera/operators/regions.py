@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -151,67 +150,126 @@ def rasterised(polygons: DataFrame, by: Sequence[str]) -> DataFrame:
     return paired.select(*by, F.col("y").cast("int").alias("y"), F.ceil(F.col("at") - 0.5).cast("int").alias("x0"), (F.ceil(F.col("to") - 0.5) - 1).cast("int").alias("x1")).filter("x0 <= x1")
 
 
-def _uncovered(x0: int, x1: int, others: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The stretches of corners along the pixels x0..x1 that no pixel of the sorted runs `others` adjoins."""
-    out, at = [], x0
-    for a, b in others[max(bisect_left(others, (x0, x0)) - 1, 0) :]:
-        if a > x1:
+#: Directions of a side, clockwise: right, down, left, up; the object lies on its right hand.
+RIGHT, DOWN, LEFT, UP = range(4)
+
+
+def _sides(objects: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(key, sx, sy, ex, ey, way): the sides of runs that no run of the object adjoins, from corner to corner, clockwise."""
+    side = lambda *of: F.struct(*(c.cast("int").alias(n) for c, n in zip(of, ("sx", "sy", "ex", "ey"), strict=False)), F.lit(of[4]).alias("way"))
+    x0, x1, y = F.col("x0"), F.col("x1") + 1, F.col("y")
+    upright = objects.select(*key, F.explode(F.array(side(x1, y, x1, y + 1, DOWN), side(x0, y + 1, x0, y, UP))).alias("s")).select(*key, "s.*")
+    # along a line between two rows, where the row below (a) or above (b) starts and ends
+    event = lambda line, x, a, b: F.struct(line.cast("int").alias("line"), x.cast("int").alias("x"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+    events = objects.select(*key, F.explode(F.array(event(y, x0, 1, 0), event(y, x1, -1, 0), event(y + 1, x0, 0, 1), event(y + 1, x1, 0, -1))).alias("e"))
+    turns = events.select(*key, "e.*").groupBy(*key, "line", "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).filter("a <> 0 OR b <> 0")
+    w = Window.partitionBy(*key, "line").orderBy("x")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    level = turns.select(*key, "line", "x", F.lead("x").over(w).alias("to"), F.sum("a").over(upto).alias("a"), F.sum("b").over(upto).alias("b")).filter("(a > 0) <> (b > 0)")
+    x, to, line = F.col("x"), F.col("to"), F.col("line")
+    flat = level.select(*key, F.when(F.col("a") > 0, side(x, line, to, line, RIGHT)).otherwise(side(to, line, x, line, LEFT)).alias("s")).select(*key, "s.*")
+    return upright.unionByName(flat)
+
+
+def _ranked(by: Sequence[str], side: int):
+    """Links (by, cell, id, next) of a cell -> each with the chain that it belongs to within the cell: head, offset from it, and
+    for the head `tail`, the link that follows the chain (null: the chain is closed), its length and least id."""
+
+    def jump(step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The last link that step leads to, and how many steps that takes; -1 ends. Within a cycle neither means anything."""
+        at, far = np.where(step < 0, np.arange(len(step)), step), (step >= 0).astype(np.int64)
+        for _ in range(max(int(len(step)).bit_length(), 1)):
+            far, at = far + far[at], at[at]
+        return at, far
+
+    def apply(table: pa.Table) -> pa.Table:
+        ids, follow = table.column("id").to_numpy(), table.column("next").to_numpy()
+        order = np.argsort(ids)
+        place = np.searchsorted(ids[order], follow)
+        inside = ids[order][np.minimum(place, len(ids) - 1)] == follow
+        step = np.where(inside, order[np.minimum(place, len(ids) - 1)], -1)
+        back = np.full(len(ids), -1)
+        back[step[inside]] = np.flatnonzero(inside)
+        linked = np.flatnonzero(inside)
+        ring = smallest(len(ids), np.argsort(order)[linked], np.argsort(order)[step[linked]])[np.argsort(order)]  # by order of id
+        least = order[ring]
+        # a closed chain is opened before its least link
+        opened = np.bincount(ring, weights=(step < 0), minlength=len(ids))[ring] == 0
+        cut_at = opened & (least == np.arange(len(ids)))
+        step[back[cut_at]] = -1
+        back[cut_at] = -1
+        head, offset = jump(back)
+        last, _ = jump(step)
+        n = np.bincount(head, minlength=len(ids))
+        is_head = head == np.arange(len(ids))
+        out = {
+            "head": pa.array(ids[head]), "offset": pa.array(offset), "tail": pa.array(follow[last], mask=~is_head | opened),
+            "length": pa.array(n, mask=~is_head), "least": pa.array(ids[least], mask=~is_head), "closed": pa.array(opened),
+        }
+        for name, column in out.items():
+            table = table.append_column(name, column)
+        return table
+
+    return apply
+
+
+def _rings(links: DataFrame, by: Sequence[str], side: int) -> DataFrame:
+    """links (by, cx, cy, id, next, ...) in cycles, with ring, the least id of its cycle, and rank, how far it is from there.
+
+    List ranking on two levels: chains are followed within cells by one pass, then chains that leave their cell jump along
+    each other, twice as far in each round. Rounds follow the logarithm of the number of cells that a ring passes.
+    """
+    types = ", ".join(f"`{c}` {t}" for c, t in links.dtypes)
+    local = cut(links.groupBy(*by, "cx", "cy").applyInArrow(_ranked(by, side), f"{types}, head long, offset long, tail long, length long, least long, closed boolean"))
+    chains = local.filter("head = id AND NOT closed").select(*by, "head", "tail", "length", "least")
+    if chains.isEmpty():
+        return local.select(*links.columns, F.col("head").alias("ring"), F.col("offset").alias("rank"))
+    # the least id of each ring
+    now = cut(chains.select(*by, "head", F.col("tail").alias("to"), "least"))
+    while True:
+        there = now.select(*by, F.col("head").alias("to"), F.col("to").alias("farther"), F.col("least").alias("theirs"))
+        now = cut(now.join(there, [*by, "to"]).select(*by, "head", F.col("farther").alias("to"), F.least("least", "theirs").alias("least"), (F.col("theirs") < F.col("least")).alias("lower")))
+        if now.filter("lower").isEmpty():
             break
-        if a > at:
-            out.append((at, a))
-        at = max(at, b + 1)
-    return [*out, (at, x1 + 1)] if at <= x1 else out
-
-
-def way_to(a: tuple[int, int], b: tuple[int, int]) -> tuple[int, int]:
-    """The direction of a side from corner a to corner b."""
-    return ((b[0] > a[0]) - (b[0] < a[0]), (b[1] > a[1]) - (b[1] < a[1]))
+    rings = now.select(*by, "head", F.col("least").alias("ring"))
+    # how many links from a chain to the start of the ring's first chain, which holds the least id
+    first = local.join(rings.select(*by, F.col("ring").alias("id"), "ring").distinct(), [*by, "id"]).select(*by, "ring", F.col("head").alias("first"), F.col("offset").alias("shift"))
+    named = cut(chains.join(rings, [*by, "head"]).join(first, [*by, "ring"]).select(*by, "head", "ring", "first", "shift", "length", F.when(F.col("tail") != F.col("first"), F.col("tail")).alias("to"), F.col("length").alias("left")))
+    while True:
+        there = named.select(*by, F.col("head").alias("to"), F.col("to").alias("farther"), F.col("left").alias("more"))
+        named = cut(named.join(there, [*by, "to"], "left").select(*by, "head", "ring", "first", "shift", F.col("farther").alias("to"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")))
+        if named.filter("to IS NOT NULL").isEmpty():
+            break
+    total = named.filter("head = first").select(*by, "ring", F.col("left").alias("total"))
+    start = named.join(total, [*by, "ring"]).select(*by, "head", "ring", (F.col("total") - F.col("left") - F.col("shift")).alias("start"), "total")
+    found = local.join(start, [*by, "head"], "left")
+    rank = F.when(F.col("closed"), F.col("offset")).otherwise(F.pmod(F.col("start") + F.col("offset"), F.col("total")))
+    return found.select(*links.columns, F.coalesce("ring", "head").alias("ring"), rank.alias("rank"))
 
 
-def contour(objects: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, object, outer, ring): the outlines of each object, as arrays of corners. RAS-12.
+def contour(objects: DataFrame, by: Sequence[str], side: int = SIDE) -> DataFrame:
+    """(by, first_y, first_x, outer, ring): the outlines of each object, as arrays of corners that start and end with the
+    leftmost and then topmost one; outer ones clockwise, those of holes the other way. RAS-12.
 
-    Sides of runs that no run of the object adjoins are chained per object; an object is one group, whose runs and edges,
-    not whose pixels, meet in a task.
+    objects: runs with their object, no two of a row adjoining. Sides of runs are rows, each pointing at the one that goes on
+    from its end (where two outlines touch in a corner, towards the object's own side), and rings are ranked lists of sides. No
+    object meets in one task; a ring does as it becomes one row.
     """
     key = [*by, "first_y", "first_x"]
     flat = objects.select(*by, F.col("object.y").alias("first_y"), F.col("object.x0").alias("first_x"), "y", "x0", "x1")
-    schema = ", ".join(f"{n} {t}" for n, t in flat.select(*key).dtypes) + ", outer boolean, ring array<array<int>>"
-
-    def trace(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = {y: sorted(zip(r["x0"], r["x1"], strict=True)) for y, r in pdf.groupby("y")}
-        follow: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for y, stretches in rows.items():
-            for x0, x1 in stretches:
-                follow.setdefault((x1 + 1, y), []).append((x1 + 1, y + 1))
-                follow.setdefault((x0, y + 1), []).append((x0, y))
-                for a, b in _uncovered(x0, x1, rows.get(y - 1, [])):
-                    follow.setdefault((a, y), []).append((b, y))
-                for a, b in _uncovered(x0, x1, rows.get(y + 1, [])):
-                    follow.setdefault((b, y + 1), []).append((a, y + 1))
-        out = []
-        while follow:
-            at = start = min(follow)
-            ring, way = [at], (0, 0)
-            while True:
-                options = follow[at]
-                # at a corner where two outlines touch, turn towards the object's own side
-                pick = next((b for b in options if way_to(at, b) == (-way[1], way[0])), options[0])
-                options.remove(pick)
-                if not options:
-                    del follow[at]
-                step = way_to(at, pick)
-                if step == way:
-                    ring.pop()
-                ring.append(pick)
-                at, way = pick, step
-                if at == start:
-                    break
-            signed = sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:], strict=False))
-            out.append({**{k: pdf[k].iloc[0] for k in key}, "outer": signed > 0, "ring": [list(map(int, p)) for p in ring]})
-        return pd.DataFrame(out)
-
-    return flat.groupBy(*key).applyInPandas(trace, schema)
+    number = lambda x, y, way: F.shiftleft(x.cast("long") + 2**29, 32) + F.shiftleft(y.cast("long") + 2**29, 2) + way
+    sides = cut(_sides(flat, key).withColumn("id", number(F.col("sx"), F.col("sy"), F.col("way"))))
+    on = sides.select(*key, F.col("sx").alias("ex"), F.col("sy").alias("ey"), F.col("id").alias("_id"), F.col("way").alias("_way"))
+    turn = F.pmod(F.col("_way") - F.col("way") + 1, F.lit(4))  # a turn to the right first, then straight on
+    met = sides.join(on, [*key, "ex", "ey"])
+    best = met.groupBy(*key, "sx", "sy", "ex", "ey", "id", "way").agg(F.min_by(F.struct("_id", "_way"), F.struct((turn != 2).alias("_t"), "_id")).alias("n"))
+    links = best.select(*key, "sx", "sy", "ex", "ey", "id", F.col("n._id").alias("next"), (F.col("n._way") != F.col("way")).alias("turn"), F.floor(F.col("sx") / side).alias("cx"), F.floor(F.col("sy") / side).alias("cy"))
+    ranked = _rings(links, by, side)
+    corner = F.struct("rank", F.array("ex", "ey").alias("at"))
+    area = F.sum(F.col("sx").cast("long") * F.col("ey") - F.col("ex").cast("long") * F.col("sy"))
+    rings = ranked.groupBy(*key, "ring").agg(F.sort_array(F.collect_list(F.when(F.col("turn"), corner))).alias("c"), area.alias("a"))
+    start = F.array((F.shiftright("ring", 32) - 2**29).cast("int"), (F.shiftright(F.col("ring").bitwiseAND(0xFFFFFFFF), 2) - 2**29).cast("int"))
+    return rings.select(*key, (F.col("a") > 0).alias("outer"), F.concat(F.array(start), F.transform("c", lambda c: c["at"])).alias("ring"))
 
 
 def simplified(outlines: DataFrame, column: str, least: int, most: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import raster, slides
+from tessera.operators import raster, regions, slides
 from tessera.plans.registry import query
 from tessera.sources.fixtures import fixture
 
@@ -85,3 +85,20 @@ def _resampled(name: str, kernel: str, antialias: bool, wide: str) -> None:
 for _kernel in _WEIGHTS:
     _resampled(f"resample_{_kernel}", _kernel, True, "greatest(n / {0}.0, 1.0)")
 _resampled("resample_bilinear_plain", "bilinear", False, "1.0")
+
+
+@query("f1_slide", sql="""
+WITH p AS (SELECT slide_id, x, y FROM f1_slide WHERE m = 1),
+n AS (SELECT slide_id, count(*) AS area FROM p GROUP BY 1),
+t AS (SELECT slide_id, count(*) AS touching FROM (SELECT a.slide_id FROM p a JOIN p b ON b.slide_id = a.slide_id AND b.y = a.y AND b.x = a.x + 1 UNION ALL SELECT a.slide_id FROM p a JOIN p b ON b.slide_id = a.slide_id AND b.x = a.x AND b.y = a.y + 1) GROUP BY 1),
+q AS (SELECT slide_id, x + i AS cx, y + j AS cy, count(*) AS k, sum((i + j) % 2) AS odd FROM p, range(2) a(i), range(2) b(j) GROUP BY 1, 2, 3),
+c AS (SELECT slide_id, sum(CASE WHEN k IN (1, 3) THEN 1 WHEN k = 2 AND odd IN (0, 2) THEN 2 ELSE 0 END) AS corners FROM q GROUP BY 1)
+SELECT slide_id, area, 4 * area - 2 * coalesce(touching, 0) AS perimeter, CAST(corners AS BIGINT) AS corners FROM n LEFT JOIN t USING (slide_id) JOIN c USING (slide_id)""")
+def outline_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area, perimeter and corners of the outlines of all objects, holes taken off."""
+    runs = regions.runs(fixture(spark, sf_dir, "f1_slide"), SLIDE)
+    rings = regions.contour(regions.labelled(runs, SLIDE), SLIDE).withColumn("n", F.size("ring"))
+    sides = F.zip_with(F.slice("ring", 1, F.col("n") - 1), F.slice("ring", 2, F.col("n") - 1), lambda p, q: F.struct((p[0] * q[1] - q[0] * p[1]).alias("a"), (F.abs(p[0] - q[0]) + F.abs(p[1] - q[1])).alias("l")))
+    total = lambda c: F.aggregate("s", F.lit(0).cast("long"), lambda t, x: t + x[c])
+    each = rings.withColumn("s", sides).select("slide_id", total("a").alias("a"), total("l").alias("l"), (F.col("n") - 1).alias("n"))
+    return each.groupBy("slide_id").agg((F.sum("a") / 2).cast("long").alias("area"), F.sum("l").alias("perimeter"), F.sum("n").cast("long").alias("corners"))

@@ -90,3 +90,50 @@ def test_suppression(spark, radius, skip_axes):
             want.add((x, y, v[y, x]))
     found = raster.suppressed(table, ["image_id"], radius, skip_axes)
     assert {(r["x"], r["y"], r["v"]) for r in found.collect()} == want
+
+
+def traced(pixels):
+    """{(outer, ring)} of one object's pixels (y, x), by walking from corner to corner."""
+    follow = defaultdict(list)
+    for y, x in pixels:
+        for gone, a, b in (((y - 1, x), (x, y), (x + 1, y)), ((y, x + 1), (x + 1, y), (x + 1, y + 1)), ((y + 1, x), (x + 1, y + 1), (x, y + 1)), ((y, x - 1), (x, y + 1), (x, y))):
+            if gone not in pixels:
+                follow[a].append(b)
+    out = set()
+    while follow:
+        at = start = min(follow)
+        ring, way = [at], None
+        while True:
+            to = next((b for b in follow[at] if way and (b[0] - at[0], b[1] - at[1]) == (-way[1], way[0])), follow[at][0])
+            follow[at].remove(to)
+            if not follow[at]:
+                del follow[at]
+            step = (to[0] - at[0], to[1] - at[1])
+            if step == way:
+                ring.pop()
+            ring.append(to)
+            at, way = to, step
+            if at == start:
+                break
+        out.add((sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:], strict=False)) > 0, tuple(ring)))
+    return out
+
+
+@pytest.mark.parametrize("diagonal", [False, True])
+def test_outlines(spark, diagonal):
+    rng = np.random.default_rng(5)
+    masks = {1: rng.random((30, 28)) < 0.6, 2: np.ones((21, 40), bool), 3: rng.random((12, 60)) < 0.45, 4: np.zeros((24, 24), bool)}
+    masks[2][1:-1:2, 1:-1:2] = False
+    for i in range(0, 24, 4):  # a comb whose outline passes many cells
+        masks[4][i : i + 2] = True
+    masks[4][:, 0] = True
+    rows = [(i, int(x) - 5, int(y) - 7, 1) for i, m in masks.items() for y, x in zip(*np.nonzero(m), strict=True)]
+    objects = regions.labelled(regions.runs(spark.createDataFrame(rows, "image_id long, x int, y int, m int"), ["image_id"]), ["image_id"], diagonal)
+    own = defaultdict(set)
+    for r in objects.collect():
+        own[r["image_id"], r["object"]["y"], r["object"]["x0"]].update((r["y"], x) for x in range(r["x0"], r["x1"] + 1))
+    want = {(*k, outer, ring) for k, pixels in own.items() for outer, ring in traced(pixels)}
+    for side in (4, 256):
+        found = [(r["image_id"], r["first_y"], r["first_x"], r["outer"], tuple(map(tuple, r["ring"]))) for r in regions.contour(objects, ["image_id"], side).collect()]
+        assert set(found) == want and len(found) == len(want)
+    assert regions.contour(objects.limit(0), ["image_id"]).isEmpty()
