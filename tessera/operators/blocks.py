@@ -7,10 +7,11 @@ group of bounded size; what it returns for its own pixels is exact if the work r
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,3 +77,42 @@ def grouped(rows: DataFrame, by: Sequence[str], values: Sequence[str], halo: int
         return apply(Block(key, table, names, wanted, wide, reach))
 
     return rows.groupBy(*by, "_bx", "_by").applyInArrow(of_block, schema)
+
+
+def at_points(pixels: DataFrame, points: DataFrame, by: Sequence[str], value: str, halo: int, see: Callable[[np.ndarray, np.ndarray, np.ndarray, dict], dict], columns: str, wide: int, side: int = SIDE) -> DataFrame:
+    """points (by, x, y and more) with `columns`, from what lies around them: see(plane, rows, columns, the points' other
+    values) gets the block with its halo as an array of doubles, NaN where there is no pixel, and the points' places in it.
+
+    Only blocks with points are sent, pixels once per block that they reach. What comes back is `wide` bytes a point, made a
+    slice at a time, so a task holds one block and some points.
+    """
+    side = max(side, halo)
+    names, own, keys = list(by), [c for c in points.columns if c not in by], [*by, "_bx", "_by"]
+    asked = points.withColumns({"_bx": F.floor(F.col("x") / side), "_by": F.floor(F.col("y") / side)})
+    near = dealt(pixels.select(*by, "x", "y", F.col(value).cast("double").alias("_v")), by, ["_v"], halo, side).join(asked.select(*keys).distinct(), keys, "left_semi")
+    none = [F.lit(None).cast(t).alias(c) for c, t in points.dtypes if c in own and c not in ("x", "y")]
+    both = near.select(*keys, F.lit(True).alias("_pixel"), "_v", F.col("x").cast(dict(points.dtypes)["x"]).alias("x"), F.col("y").cast(dict(points.dtypes)["y"]).alias("y"), *none)
+    rest = [c for c in own if c not in ("x", "y")]
+    rows = both.unionByName(asked.select(*keys, F.lit(False).alias("_pixel"), F.lit(None).cast("double").alias("_v"), "x", "y", *rest))
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in points.dtypes), columns])
+    order, step = points.columns, max((32 << 20) // wide, 1)
+
+    def of_block(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x0, y0 = key[len(names)].as_py() * side - halo, key[len(names) + 1].as_py() * side - halo
+        plane = np.full((side + 2 * halo, side + 2 * halo), np.nan)
+        held = []
+        for batch in batches:
+            is_pixel = batch.column("_pixel")
+            seen, others = batch.filter(is_pixel), batch.filter(pa.compute.invert(is_pixel))
+            plane[seen.column("y").to_numpy() - y0, seen.column("x").to_numpy() - x0] = seen.column("_v").fill_null(np.nan).to_numpy()
+            if others.num_rows:
+                held.append(others)
+        for others in held:
+            for start in range(0, others.num_rows, step):
+                part = others.slice(start, step)
+                made = see(plane, part.column("y").to_numpy() - y0, part.column("x").to_numpy() - x0, {c: part.column(c).to_numpy(zero_copy_only=False) for c in rest} | {"x0": x0, "y0": y0})
+                kept = made.pop("kept", None)
+                out = pa.RecordBatch.from_arrays([*(part.column(c) for c in order), *made.values()], names=[*order, *made])
+                yield out if kept is None else out.filter(pa.array(kept))
+
+    return rows.groupBy(*keys).applyInArrow(of_block, schema)

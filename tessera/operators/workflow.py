@@ -1,4 +1,4 @@
-"""Segment, locate, dispatch, classify; and the composite jobs: UDF-02 to UDF-04, UDF-06, JOB-02, JOB-03, JOB-01, JOB-06, JOB-07, JOB-13. JOB-04 and JOB-05: slides."""
+"""Segment, locate, dispatch, classify; and the composite jobs: UDF-02 to UDF-04, UDF-06, JOB-02, JOB-03, JOB-01, JOB-06, JOB-07, JOB-12, JOB-13. JOB-04 and JOB-05: slides."""
 
 from __future__ import annotations
 
@@ -8,9 +8,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import color
+from tessera.functions import color, geometry
+from tessera.operators import annotations as marks
 from tessera.operators import evaluation, features, learners, raster, regions, spatial
 from tessera.operators.storage import cut
+from tessera.sources import sinks
 
 Segment = Callable[[DataFrame, Sequence[str]], DataFrame]
 Classify = Callable[[DataFrame], DataFrame]
@@ -122,3 +124,24 @@ def count_in_rois(objects: DataFrame, rois: DataFrame) -> DataFrame:
     """Objects (image_id, first_y, first_x, box) counted per region of interest. AGG-15."""
     boxes = objects.select("image_id", F.xxhash64("image_id", "first_y", "first_x").alias("annotation_id"), F.col("left").alias("x0"), F.col("top").alias("y0"), (F.col("right") - F.col("left") + 1).alias("w"), (F.col("bottom") - F.col("top") + 1).alias("h"))
     return spatial.roi_counts(boxes, rois)
+
+
+def landmark_positions(annotations: DataFrame, images: DataFrame) -> DataFrame:
+    """(image_id, term_id, x, y) of annotations (annotation_id, image_id, terms, wkt): the point, or the centroid of the
+    polygon's outer ring, in whole numbers and from the top. Of several for a term of an image the one of the largest id
+    counts; those without a term, or of an image that isn't listed, have no row. FIL-18, FUN-07, FUN-08.
+    images: image_id, height."""
+    one = marks.first_term(annotations).join(images.select("image_id", "height"), "image_id")
+    found = geometry.numbers(F.col("wkt"))
+    cx, cy = geometry.centroid(geometry.rings(F.col("wkt"))[0])
+    point = F.col("wkt").startswith("POINT")
+    at = one.select("image_id", "term_id", "annotation_id", F.when(point, F.element_at(found, 1).cast("int")).otherwise(cx).alias("x"), geometry.flipped(F.when(point, F.element_at(found, 2).cast("int")).otherwise(cy), F.col("height")).alias("y"))
+    return at.groupBy("image_id", "term_id").agg(F.max_by(F.struct("x", "y"), "annotation_id").alias("p")).select("image_id", "term_id", "p.x", "p.y")
+
+
+def export_landmarks(annotations: DataFrame, images: DataFrame, terms: DataFrame, path: str) -> None:
+    """Reviewed landmarks of a project as one CSV line per image, with the names of the terms that occur, in order of their
+    ids. JOB-12. images: image_id, height; terms: term_id, name (an ontology: its names go through the driver)."""
+    found = landmark_positions(marks.select(annotations, reviewed_only=True).join(images.select("image_id"), "image_id", "left_semi"), images)
+    used = terms.join(found.select("term_id").distinct(), "term_id", "left_semi").orderBy("term_id").collect()
+    sinks.landmark_csv(found, {r["term_id"]: r["name"] for r in used}, path, images)

@@ -114,7 +114,7 @@ WITH o AS (SELECT * FROM (VALUES (0, 1, 2), (1, -3, 0), (2, 0, -2), (3, 4, 4)) t
 SELECT a.image_id, a.x, a.y, f, a.v - b.v AS d FROM f1_pixels a CROSS JOIN o JOIN f1_pixels b ON b.image_id = a.image_id
  AND b.x = greatest(0, least(7, a.x + dx)) AND b.y = greatest(0, least(7, a.y + dy))""")
 def gaussian_offset_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.offset_differences(fixture(spark, sf_dir, "f1_pixels").drop("label"), [(1, 2), (-3, 0), (0, -2), (4, 4)], F.lit(8), F.lit(8))
+    return features.offset_differences(fixture(spark, sf_dir, "f1_pixels").drop("label"), [(1, 2), (-3, 0), (0, -2), (4, 4)], 8, 8)
 
 
 @query("f1_pixels", sql="""

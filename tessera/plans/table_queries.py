@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry
-from tessera.operators import annotations, evaluation, landmarks, learners, regions, spatial
+from tessera.operators import annotations, evaluation, landmarks, learners, regions, spatial, workflow
 from tessera.plans.registry import query
 from tessera.sources.fixtures import fixture
 
@@ -253,3 +253,15 @@ def knn_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row whose id is divisible by 20 asks all rows."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("sample_id"), "label", "embedding")
     return learners.nearest_vote(rows, rows.filter("sample_id % 20 = 0").select("sample_id", "embedding"), 10)
+
+
+@query("f2_images", "f3_boxes", sql="""
+SELECT image_id, term1 AS term_id, CAST(trunc(arg_max(x0 + w / 2.0, annotation_id)) AS INT) AS x, CAST(arg_max(height - CAST(trunc(y0 + h / 2.0) AS INT), annotation_id) AS INT) AS y
+FROM f3_boxes JOIN f2_images USING (image_id) WHERE reviewed GROUP BY 1, 2""")
+def landmark_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each term lies in each image: centroids of reviewed polygons, from the top."""
+    x0, y0 = F.col("x0"), F.col("y0")
+    x1, y1 = x0 + F.col("w"), y0 + F.col("h")
+    text = F.format_string("POLYGON((%d %d, %d %d, %d %d, %d %d, %d %d))", x0, y0, x1, y0, x1, y1, x0, y1, x0, y0)
+    reviewed = annotations.select(_boxes(spark, sf_dir).withColumn("wkt", text), reviewed_only=True)
+    return workflow.landmark_positions(reviewed, fixture(spark, sf_dir, "f2_images").select("image_id", "height"))

@@ -1,10 +1,12 @@
-"""Images and landmark files as tables: SRC-01 to SRC-07, SRC-17 to SRC-19."""
+"""Images, landmark files and metadata as tables: SRC-01 to SRC-07, SRC-12, SRC-13, SRC-17 to SRC-19, UDF-07."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+IMAGES = "image_id long, project_id long, width int, height int, resolution double, magnification int, filename string"
+TERMS = "term_id long, project_id long, name string"
 LANDMARKS = "term_id int, x int, y int, xr double, yr double"
 
 
@@ -54,3 +56,44 @@ def checked_tiles(tiles: DataFrame) -> tuple[DataFrame, DataFrame]:
 def once(crops: DataFrame) -> DataFrame:
     """Each crop once, by image, place, size and mask. SRC-19."""
     return crops.dropDuplicates([c for c in ("image_id", "x0", "y0", "w", "h", "alpha") if c in crops.columns])
+
+
+def _records(spark: SparkSession, path: str, schema: str, project: int | None, kind: str, **options: str) -> DataFrame:
+    table = spark.read.schema(schema).options(**options).format(kind).load(path)
+    return table if project is None else table.filter(F.col("project_id") == project)
+
+
+def image_metadata(spark: SparkSession, path: str, project: int | None = None, kind: str = "parquet", **options: str) -> DataFrame:
+    """Images of a project with the columns of IMAGES, from Parquet, CSV or JSON; what a file lacks is null. SRC-12."""
+    return _records(spark, path, IMAGES, project, kind, **options)
+
+
+def ontology(spark: SparkSession, path: str, project: int | None = None, kind: str = "parquet", **options: str) -> DataFrame:
+    """Terms of a project with the columns of TERMS, in order of their ids. SRC-13, SRT-03."""
+    return _records(spark, path, TERMS, project, kind, **options).orderBy("term_id")
+
+
+def crops_and_failures(spark: SparkSession, folder: str, sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(crops: path, name, width, height, channels, data; failures: path, name, bytes, reason) of all files of a folder. UDF-07.
+
+    Files are listed as binary, of which the bytes aren't read, and decoded by the image source, which keeps what it can't
+    decode. Each file is in one of the tables; reasons are: not an image, and with sizes (name, w, h: the crops that were
+    asked for) another size, or missing. Spark doesn't list files without bytes, so they are missing too. Names that
+    sizes doesn't list may have any size.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(_place(F.col("path")).alias("_at"), "path", F.col("length").alias("bytes"))
+    image = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(folder)
+    decoded = image.select(_place(F.try_url_decode(F.replace("image.origin", F.lit("+"), F.lit("%2B")))).alias("_at"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
+    both = files.join(decoded, "_at", "left").withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1))
+    odd = F.lit(False)
+    if sizes is not None:
+        both = both.join(sizes.select("name", "w", "h"), "name", "full")
+        odd = (F.col("w") != F.col("width")) | (F.col("h") != F.col("height"))
+    reason = F.when(F.col("path").isNull(), "missing").when(F.coalesce(F.col("height"), F.lit(-1)) < 1, "not an image").when(odd, F.concat(F.lit("size "), F.concat_ws("x", "width", "height")))
+    told = both.withColumn("reason", reason)
+    return told.filter("reason IS NULL").select("path", "name", "width", "height", "channels", "data"), told.filter("reason IS NOT NULL").select("path", "name", "bytes", "reason")
+
+
+def _place(path: Column) -> Column:
+    """A file's path without its scheme, which the two sources write differently; the image source also escapes it."""
+    return F.regexp_replace(path, r"^[a-z0-9]+:/*", "/")

@@ -24,14 +24,23 @@ def landmark_text(landmarks: DataFrame, path: str) -> None:
     landmarks.select("image_id", line.alias("value")).repartition("image_id").sortWithinPartitions("image_id", "value").write.partitionBy("image_id").text(path)
 
 
-def landmark_csv(landmarks: DataFrame, names: dict[int, str], path: str) -> None:
-    """One line per image, `name_x;name_y` per term, -1 where there is none. SNK-06, JOIN-14."""
+def landmark_csv(landmarks: DataFrame, names: dict[int, str], path: str, images: DataFrame | None = None) -> None:
+    """One line per image, `name_x;name_y` per term, -1 where there is none. SNK-06, JOIN-14. images: those without any
+    landmark have a line too."""
     table = wide(landmarks, sorted(names))
+    if images is not None:
+        table = images.select("image_id").join(table, "image_id", "left")
     cell = lambda c: F.when(F.col(c).isNull(), "-1").otherwise(F.format_string("%3.3f", F.col(c).cast("double")))
     columns = [cell(f"{t}_{c}").alias(f"{names[t]}_{c}") for t in sorted(names) for c in "xy"]
     table.select(F.col("image_id").alias("ID_IMAGE"), *columns).write.option("sep", ";").option("header", True).csv(path)
 
 
+def crops(found: DataFrame, failures: DataFrame, path: str) -> None:
+    """Both tables of `images.crops_and_failures`, under crops and failures. UDF-07."""
+    found.write.parquet(f"{path}/crops")
+    failures.write.parquet(f"{path}/failures")
+
+
 def error_csv(predictions: DataFrame, terms: list[int], path: str) -> None:
     """Errors by image and term, averages at the end of lines and in a last line. SNK-07."""
     cells = error_matrix(predictions).select(F.coalesce(F.col("image_id").cast("string"), F.lit("term_avg")).alias("image"), F.coalesce(F.col("term_id").cast("string"), F.lit("img_avg")).alias("term"), "err")

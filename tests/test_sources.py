@@ -83,3 +83,36 @@ def test_tile_feed_matches_batch(spark):
     images_ = spark.createDataFrame([(1, 100, 70)], "image_id long, width int, height int")
     t = raster.tiles(images_, 32, 2)
     assert t.filter("x0 + w > 100 OR y0 + h > 70").isEmpty() and t.count() == 12
+
+
+def test_failed_crops_are_rows(spark, tmp_path):
+    folder = tmp_path / "crops"
+    (folder / "sub").mkdir(parents=True)
+    rgb = np.random.default_rng(1).integers(0, 256, (3, 4, 3))
+    (folder / "a.bmp").write_bytes(bmp(rgb))
+    (folder / "sub" / "b 1.bmp").write_bytes(bmp(rgb[:2]))
+    (folder / "broken.bmp").write_bytes(bmp(rgb)[:40])
+    (folder / "text.png").write_text("no image")
+    (folder / "empty.bmp").write_bytes(b"")
+    found, failed = images.crops_and_failures(spark, str(folder))
+    assert {(r["name"], r["width"], r["height"]) for r in found.collect()} == {("a.bmp", 4, 3), ("b 1.bmp", 4, 2)}
+    assert {(r["name"], r["reason"]) for r in failed.collect()} == {("broken.bmp", "not an image"), ("text.png", "not an image")}
+    sizes = spark.createDataFrame([("a.bmp", 4, 3), ("b 1.bmp", 4, 3), ("empty.bmp", 4, 3)], "name string, w int, h int")
+    found, failed = images.crops_and_failures(spark, str(folder), sizes)
+    sinks.crops(found, failed, str(tmp_path / "out"))
+    assert [r["name"] for r in spark.read.parquet(str(tmp_path / "out" / "crops")).collect()] == ["a.bmp"]
+    reasons = {r["name"]: r["reason"] for r in spark.read.parquet(str(tmp_path / "out" / "failures")).collect()}
+    assert reasons["b 1.bmp"] == "size 4x2" and reasons["empty.bmp"] == "missing" and len(reasons) == 4
+
+
+def test_landmark_export(spark, tmp_path):
+    (tmp_path / "images.csv").write_text("1,9,100,50,0.5,20,a.svs\n2,9,100,60,,,b.svs\n3,8,10,10,,,c.svs\n")
+    (tmp_path / "terms.json").write_text('{"term_id": 7, "project_id": 9, "name": "tip"}\n{"term_id": 5, "project_id": 9, "name": "eye"}\n{"term_id": 6, "project_id": 9, "name": "unused"}\n')
+    table = images.image_metadata(spark, str(tmp_path / "images.csv"), 9, "csv")
+    terms = images.ontology(spark, str(tmp_path / "terms.json"), 9, "json")
+    assert [r["height"] for r in table.orderBy("image_id").collect()] == [50, 60] and [r["term_id"] for r in terms.collect()] == [5, 6, 7]
+    rows = [(1, 1, [7, 5], True, "POINT(10.9 20.2)"), (2, 1, [5], True, "POLYGON((0 0, 10 0, 10 10, 0 10, 0 0))"), (3, 1, [7], True, "POINT (11 21)"), (4, 2, [7], False, "POINT(1 1)"), (5, 2, [], True, "POINT(1 1)"), (6, 3, [5], True, "POINT(1 1)")]
+    annotations = spark.createDataFrame(rows, "annotation_id long, image_id long, terms array<long>, reviewed boolean, wkt string")
+    workflow.export_landmarks(annotations, table, terms, str(tmp_path / "csv"))
+    lines = {x for p in (tmp_path / "csv").glob("part*") for x in p.read_text().split()}
+    assert lines == {"ID_IMAGE;eye_x;eye_y;tip_x;tip_y", "1;5.000;45.000;11.000;29.000", "2;-1;-1;-1;-1"}
