@@ -16,8 +16,9 @@ from tessera.llm.shared import fresh, written
 
 #: The domain classifier is fitted on at most this many labelled rows; a hash of doc_id decides which.
 MAX_LABELLED = 20_000
-STEPS, TOLERANCE, GAIN = 40, 1e-6, 1e-2
-LENGTHS = (1.0, 0.3, 0.05)
+#: Of the targets, by how much totals may be off, and the projected gradient from nothing; of the squares, how near to the least.
+TOLERANCE, NEAR = 1e-6, 1e-7
+LENGTHS = (1.0, 0.5, 0.2, 0.05, 0.01)
 FEATURES = ("f_words", "f_word_length", "f_symbols", "f_digits", "f_stops", "f_lines", "f_distinct_lines")
 
 
@@ -66,14 +67,13 @@ def posteriors(docs: DataFrame, labels: DataFrame, domain: str = "quality", max_
     return domains, scored.withColumn("p", vector_to_array("probability")).drop(*FEATURES, "raw", "features", "rawPrediction", "probability", "prediction")
 
 
-def _rate(steps: list[np.ndarray], least: float) -> Column:
-    """The rate of a document after these steps: each adds p . step, then projects on rates of `least` or more."""
-    rate = F.lit(1.0)
-    if not steps:
-        return rate
-    table = F.expr(f"array({', '.join(f'array({", ".join(f"{float(x)!r}D" for x in step)})' for step in steps)})")
-    dot = lambda s: F.aggregate(F.zip_with(F.col("p"), s, lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
-    return F.aggregate(table, rate, lambda r, s: F.greatest(F.lit(float(least)), r + dot(s)))
+def _dot(vector: np.ndarray) -> str:
+    return " + ".join(f"({float(x)!r}D) * p[{j}]" for j, x in enumerate(vector))
+
+
+def _rate(moved: np.ndarray, least: float) -> str:
+    """The rate of a document: 1, moved by p . moved, then projected on rates of `least` or more."""
+    return f"greatest({float(least)!r}D, 1 + {_dot(moved)})"
 
 
 class Solved(NamedTuple):
@@ -83,52 +83,69 @@ class Solved(NamedTuple):
     steps: int
 
 
-def solve_rates(scored: DataFrame, targets: np.ndarray, least: float = 0.0, steps: int = STEPS, tolerance: float = TOLERANCE) -> Solved:
+def solve_rates(scored: DataFrame, targets: np.ndarray, least: float = 0.0, tolerance: float = TOLERANCE) -> Solved:
     """Rates of `least` or more whose expected domain totals come nearest to targets.
 
     It minimises the squares of total(k) - target(k), total(k) being the sum over documents of rate * n_tokens * p(k), by
-    projected gradients. Tokens are the metric, so a document moves by p . step, then to `least` if it is below. A step goes
-    along the residual, or along it times the inverse of the matrix of the documents (all, those free to move, or half of the
-    others too), as far as lowers the squares most: LENGTHS are tried. Each step is one aggregate over all documents; the driver holds K totals and K * K sums of
-    each length, and a document's rate is a function of its p alone. It has converged where the residual is within
-    tolerance of the targets, or where no step lowers the squares by the share GAIN, as where the targets are out of reach.
+    projected gradients that are projected lazily: steps add up in one vector, a document moves from rate 1 by p . vector,
+    and to `least` if it is below. So a rate is a function of p whatever the number of steps. A step goes along the gradient
+    scaled by the inverse matrix of the documents that are free to move; of several lengths the best is taken.
+
+    A small pull towards rate 1 makes the rates unique; it is lowered until it costs less than NEAR of the squares. The rates
+    have converged where the totals are within tolerance of the targets, or else where the projected gradient, as the
+    tokens that one more plain step would move, is within tolerance of them. Each step is one aggregate over all documents;
+    the driver holds K totals, K * K sums and the value of each length.
     """
-    k = len(targets)
-    taken: list[np.ndarray] = []
+    k, low = len(targets), f"{float(least)!r}D"
     scale = max(float(np.abs(targets).max()), 1.0)
 
-    moved = lambda step: " + ".join(["rate", *(f"({x!r}D) * p[{j}]" for j, x in enumerate(map(float, step)))])
-
-    def sums(candidates: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """The totals, and the matrix of the documents above the bound, after each of these steps."""
-        rated = scored.select("n_tokens", "p", _rate(taken, least).alias("rate"))
-        rated = rated.selectExpr("n_tokens", "p", *(f"greatest({float(least)!r}D, {moved(c)}) AS r{i}" for i, c in enumerate(candidates)))
-        each = []
-        for i in range(len(candidates)):
+    def sums(vectors: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float, float]]:
+        """At each vector: the totals, the matrix of the free documents, the sum of what the lazily projected steps minimise, and
+        how far rates are from 1 in all."""
+        rows, each = scored.select("n_tokens", "p"), []
+        rows = rows.selectExpr("n_tokens", "p", *(f"{_dot(v)} AS z{i}" for i, v in enumerate(vectors)))
+        rows = rows.selectExpr("*", *(f"greatest({low}, 1 + z{i}) AS r{i}" for i in range(len(vectors))))
+        for i in range(len(vectors)):
             each += [f"sum(r{i} * n_tokens * p[{j}])" for j in range(k)]
-            each += [f"sum(CASE WHEN r{i} > {float(least)!r}D THEN n_tokens ELSE 0 END * p[{j}] * p[{m}])" for j in range(k) for m in range(k)]
-        found = np.array([float(x or 0) for x in rated.agg(*(F.expr(x).alias(f"s{i}") for i, x in enumerate(each))).first()]).reshape(len(candidates), -1)
-        return [(row[:k], row[k:].reshape(k, k)) for row in found]
-
-    squares = lambda x: float(((targets - x) ** 2).sum())
-    every = np.array([float(x or 0) for x in scored.agg(*(F.sum(F.col("n_tokens") * F.col("p")[j] * F.col("p")[m]).alias(f"m{j}_{m}") for j in range(k) for m in range(k))).first()]).reshape(k, k)
-    bound, ridge = max(float(np.linalg.eigvalsh(every)[-1]), 1e-12), np.eye(k) * 1e-9 * max(np.trace(every), 1.0)
-    total, free = sums([np.zeros(k)])[0]
-    for n in range(steps + 1):
-        residual = targets - total
-        if np.abs(residual).max() <= tolerance * scale:
-            return Solved(_rate(taken, least), total, True, n)
-        if n == steps:
-            break
-        # plain gradients always descend; scaled ones get there in a few steps
-        scaled = [np.linalg.solve(m + ridge, residual) for m in (free, every, (free + every) / 2)]
-        tried = [length * d for d in scaled for length in LENGTHS] + [length * residual / bound for length in (1.0, 10.0)]
-        found = sums(tried)
-        best = min(range(len(tried)), key=lambda i: squares(found[i][0]))
-        if squares(found[best][0]) >= squares(total) * (1 - GAIN):
-            return Solved(_rate(taken, least), total, True, n)
-        taken, (total, free) = [*taken, tried[best]], found[best]
-    return Solved(_rate(taken, least), total, False, steps)
+            each += [f"sum(CASE WHEN r{i} > {low} THEN n_tokens ELSE 0 END * p[{j}] * p[{m}])" for j in range(k) for m in range(k)]
+            each += [f"sum(n_tokens * CASE WHEN 1 + z{i} > {low} THEN z{i} + z{i} * z{i} / 2 ELSE {low} * z{i} - ({low} - 1) * ({low} - 1) / 2 END)"]
+            each += [f"sum(n_tokens * (r{i} - 1) * (r{i} - 1))"]
+        found = np.array([float(x or 0) for x in rows.agg(*(F.expr(x).alias(f"s{i}") for i, x in enumerate(each))).first()]).reshape(len(vectors), -1)
+        return [(row[:k], row[k:-2].reshape(k, k), row[-2], row[-1]) for row in found]
+
+    def left(vector: np.ndarray, off: np.ndarray, bound: float) -> float:
+        """The norm of what one more projected step along the plain gradient would change, in tokens."""
+        rate = _rate(vector, least)
+        change = f"({rate} - greatest({low}, {rate} - ({_dot(off / bound)})))"
+        moved = scored.agg(F.expr(f"sum(n_tokens * {change} * {change})").alias("s")).first()[0]
+        return float(np.sqrt(bound * float(moved or 0)))
+
+    vector = np.zeros(k)
+    total, free, value, away = sums([vector])[0]
+    bound, steps = max(float(total.sum()) / max(1.0, float(least)), 1e-12), 0  # all tokens: p adds up to 1, so no gradient is steeper
+    pull = bound * 1e-2
+    while True:
+        while True:
+            off = total + pull * vector - targets
+            if np.abs(off).max() <= tolerance * scale * 1e-2:
+                break
+            # scaled gradients get there in a few steps, plain ones always descend
+            step = -np.linalg.solve(free + pull * np.eye(k), off)
+            tried = [vector + length * step for length in LENGTHS] + [vector - length * off / bound for length in (1.0, 10.0)]
+            found = sums(tried)
+            worth = lambda v, at: v + pull * float(at @ at) / 2 - float(targets @ at)  # noqa: B023, E731
+            best = min(range(len(tried)), key=lambda i: worth(found[i][2], tried[i]))
+            steps += 1
+            if not worth(found[best][2], tried[best]) < worth(value, vector):
+                break
+            vector, (total, free, value, away) = tried[best], found[best]
+        squares = float(((total - targets) ** 2).sum())
+        if np.abs(total - targets).max() <= tolerance * scale:
+            return Solved(F.expr(_rate(vector, least)), total, True, steps)
+        if pull * away <= NEAR * squares or pull < bound * 1e-13:
+            converged = left(vector, total - targets, bound) <= tolerance * max(scale, float(np.sqrt(squares)))
+            return Solved(F.expr(_rate(vector, least)), total, converged, steps)
+        pull /= 100
 
 
 def mix(
@@ -140,8 +157,8 @@ def mix(
     weights: target share of tokens by domain, over the domains of the labels (0 if not named). budget: tokens to reach;
     by default the smallest with which no domain must give tokens away. copies is the rate rounded up or down by a hash
     of doc_id, so that its mean is the rate. Rates are exact for the soft membership: the sum over documents of
-    rate * n_tokens * p meets weights * budget as nearly as rates of `least` or more allow; a warning says where STEPS steps
-    were not enough for that.
+    rate * n_tokens * p meets weights * budget as nearly as rates of `least` or more allow; a warning says where the solver
+    could not tell.
 
     Null and empty texts have no tokens; their rate is that of their posteriors. Null ids share one hash. Repeated rows
     get equal rates. Without labels all documents are one domain with rate 1. An empty table gives an empty result.
@@ -158,7 +175,7 @@ def mix(
     w = np.array([float(weights.get(d, 0.0)) for d in domains]) if k > 1 else np.ones(k)
     w = w / w.sum() if w.sum() > 0 else np.full(k, 1 / k)
     want = float(np.max(have[w > 0] / w[w > 0])) if budget is None else float(budget)
-    solved = solve_rates(scored, w * want, least) if have.sum() > 0 else Solved(F.lit(1.0), have, True, 0)
+    solved = solve_rates(scored, w * want, least) if have.sum() > 0 else Solved(F.lit(max(1.0, float(least))), have, True, 0)
     if not solved.converged:
         warnings.warn(f"rates not converged after {solved.steps} steps: totals {solved.totals.tolist()} for {(w * want).tolist()}", stacklevel=2)
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
