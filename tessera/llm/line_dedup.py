@@ -83,7 +83,9 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run:
     marked = marked.unionByName(rows.filter(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast(found.schema["starts"].dataType).alias("starts")))
     lines = marked.select("doc_id", _content(F.col("text")).alias("lines"), "starts")
     gone = F.array_distinct(F.flatten(F.transform("starts", lambda w: F.sequence(w["start"], w["start"] + w["size"] - 1))))
-    keep = F.when(F.col("starts").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda _, i: ~F.array_contains("gone", i + 1)))
+    # the places that stay, by a hash of those that go: linear in the lines
+    places = F.array_except(F.sequence(F.lit(1), F.size("lines")), "gone")
+    keep = F.when(F.col("starts").isNull(), F.col("lines")).otherwise(F.transform(places, lambda i: F.element_at("lines", i)))
     kept = lines.withColumn("gone", gone).withColumn("kept", keep)
     joined = F.array_join("kept", "\n")
     return kept.select(

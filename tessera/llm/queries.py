@@ -58,12 +58,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(documents(spark, sf_dir), long_words=None).drop("kept_text")
+    return line_dedup.line_dedup(documents(spark, sf_dir)).drop("kept_text")
 
 
-def op10_line_dedup_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With runs of one or two long lines, which op10_line_dedup leaves, as its SQL does."""
-    return line_dedup.line_dedup(documents(spark, sf_dir)).drop("kept_text")
+def op10_line_dedup_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only runs of three lines go, whatever their length: shorter repeats of long lines stay."""
+    return line_dedup.line_dedup(documents(spark, sf_dir), long_words=None).drop("kept_text")
 
 
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
-    "op10_line_dedup_long": op10_line_dedup_long,
+    "op10_line_dedup_runs": op10_line_dedup_runs,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_alignment": op12_alignment,
     "op13_chat_format": op13_chat_format,
@@ -112,7 +112,7 @@ runs AS (SELECT doc_id, sum(CASE WHEN before IS NULL OR s - before > 13 THEN 1 E
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed, CAST(coalesce(r, 0) AS BIGINT) AS n_repeats,
  sha256(array_to_string(list_filter(w, lambda x, i: g IS NULL OR NOT list_contains(g, i)), ' ')) AS kept_sha256
 FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN runs USING (doc_id)""",
-    "op10_line_dedup": r"""
+    "op10_line_dedup_runs": r"""
 WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)),
   lambda x: regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')), lambda x: x <> '') AS l FROM documents),
 s AS (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS s FROM d),
@@ -123,7 +123,7 @@ gone AS (SELECT doc_id, list(DISTINCT p) AS g FROM (SELECT doc_id, unnest(range(
 SELECT d.doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed,
  sha256(array_to_string(list_filter(l, lambda x, i: g IS NULL OR NOT list_contains(g, i)), chr(10))) AS kept_sha256
 FROM d LEFT JOIN gone USING (doc_id)""",
-    "op10_line_dedup_long": r"""
+    "op10_line_dedup": r"""
 WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)),
   lambda x: regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')), lambda x: x <> '') AS l FROM documents),
 s AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS s FROM d),
