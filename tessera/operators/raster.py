@@ -200,6 +200,45 @@ def _sliding(array: np.ndarray, reach: int) -> np.ndarray:
     return np.maximum(back[:, : array.shape[1]], ahead[:, size - 1 : size - 1 + array.shape[1]])
 
 
+def ellipse(radius: int) -> list[int]:
+    """How far an elliptical window of 2 * radius + 1 pixels reaches along its middle row, the next one, and so on."""
+    return [round(math.sqrt(radius * radius - d * d)) for d in range(radius + 1)]
+
+
+def _largest_in(v: np.ndarray, reaches: Sequence[int]) -> np.ndarray:
+    """The largest entry of a window around each one; the window's row d above or below the middle reaches reaches[d]."""
+    n = len(v)
+    rows = {r: _sliding(v, r) for r in set(reaches)}
+    out = rows[reaches[0]].copy()
+    for d, reach in enumerate(reaches[1:], 1):
+        if d < n:
+            np.maximum(out[: n - d], rows[reach][d:], out=out[: n - d])
+            np.maximum(out[d:], rows[reach][: n - d], out=out[d:])
+    return out
+
+
+def elliptical(pixels: DataFrame, by: Sequence[str], radius: int, steps: Sequence[str], value: str = "v", side: int | None = None) -> DataFrame:
+    """(by, x, y, value): value dilated and eroded by an elliptical window, in the order of steps. RAS-05, RAS-07.
+
+    Pixels that don't exist take no part, so windows are cut at the border. Nulls count as 0; a repeated pixel counts once.
+    All steps are done on blocks whose halo is what they reach together: one shuffle, and two passes for each row of the
+    window whatever its width.
+    """
+    signs = [{"dilate": 1, "erode": -1}[s] for s in steps]
+    reaches, kind = ellipse(radius), dict(pixels.dtypes)[value]
+
+    def stretch(block: blocks.Block) -> pa.Table:
+        v = block.values[value]
+        wide = v.astype(np.float64 if v.dtype.kind == "f" else np.int64)
+        low = -np.inf if v.dtype.kind == "f" else np.iinfo(np.int64).min + 1
+        for sign in signs:
+            wide = sign * _largest_in(np.where(block.present, sign * wide, low), reaches)
+        return block.rows({value: block.own(wide).astype(v.dtype)})
+
+    halo = radius * len(signs)
+    return blocks.each(pixels, by, [value], halo, stretch, f"`{value}` {kind}", side or max(blocks.SIDE, halo))
+
+
 def suppressed(pixels: DataFrame, by: Sequence[str], radius: int, skip_axes: bool = False, side: int | None = None) -> DataFrame:
     """(by, x, y, v): the pixels that no other within the disc exceeds. RAS-13. skip_axes leaves the neighbours on both axes
     out. Nulls are left out; a repeated pixel counts once.

@@ -238,3 +238,18 @@ def test_regions_of_interest_by_mask(spark):
     assert {r["tile_id"] for r in spatial.tiles_over(tiles, runs).collect()} == want and len(want) < 30
     pixels = spark.createDataFrame([(1, x, y, 7) for y in range(12) for x in range(0, 130, 3)], "image_id long, x int, y int, cls int")
     assert all(r["cls"] == 7 * ((r["x"], r["y"]) in covered) for r in spatial.outside_zero(pixels, runs).collect())
+
+
+def test_elliptical_windows_by_brute_force(spark):
+    rng = np.random.default_rng(4)
+    assert raster.ellipse(3) == [3, 3, 2, 0]
+    cells = {(i, int(x), int(y)): int(rng.integers(-50, 50)) for i in (1, 2) for x in range(-3, 30) for y in range(25) if rng.random() < 0.7}
+    found = raster.elliptical(spark.createDataFrame([(*k, v) for k, v in cells.items()], "image_id long, x int, y int, v int"), ["image_id"], 2, ("dilate", "erode", "erode"), side=8)
+    window = [(dx, dy) for dy in range(-2, 3) for dx in range(-2, 3) if abs(dx) <= (2, 2, 0)[abs(dy)]]
+    want = cells
+    for pick in (max, min, min):
+        want = {(i, x, y): pick(want[i, x + dx, y + dy] for dx, dy in window if (i, x + dx, y + dy) in want) for i, x, y in want}
+    assert {(r["image_id"], r["x"], r["y"]): r["v"] for r in found.collect()} == want
+    halves = spark.createDataFrame([(1, 0, 0, 0.5), (1, 1, 0, None), (1, 5, 0, -1.5), (1, 5, 0, -1.5)], "image_id long, x int, y int, v double")
+    assert sorted((r["x"], r["v"]) for r in raster.elliptical(halves, ["image_id"], 1, ["dilate"]).collect()) == [(0, 0.5), (1, 0.5), (5, -1.5)]
+    assert raster.elliptical(halves.limit(0), ["image_id"], 1, ["erode"]).isEmpty()
