@@ -14,6 +14,8 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 50, 50, 3
 #: A repeated substring counts from this many words; it may cover this fraction of the words, and be this long.
 MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 8, 0.30, 100
+#: So many doublings are kept for the common prefixes, enough for repeats of under 4,096 words.
+LEVELS_KEPT = 13
 
 RESULT = pa.schema([
     ("doc_id", pa.int64()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()),
@@ -26,38 +28,64 @@ def _ranks(keys: np.ndarray) -> np.ndarray:
     return np.unique(keys, return_inverse=True)[1].astype(np.int64)
 
 
-def repeat_lengths(words: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _common_by_levels(levels: list[np.ndarray], order: np.ndarray) -> np.ndarray:
+    """Common prefixes of neighbours in order, by trying the doublings from the largest down."""
+    n = len(order)
+    a, b = order[:-1].copy(), order[1:].copy()
+    common = np.zeros(n - 1, np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        inside = (a < n) & (b < n)
+        same = np.zeros(n - 1, bool)
+        same[inside] = levels[k][a[inside]] == levels[k][b[inside]]
+        # a rank of level k at the end of the whole array stands for fewer words than 2**k, and then it is unique
+        a, b, common = a + (same << k), b + (same << k), common + (same << k)
+    return common
+
+
+def _common_by_place(keys: np.ndarray, rank: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The same in the order of the text, where a common prefix is at least the one before less one word (Kasai)."""
+    n, h, common = len(order), 0, np.zeros(len(order) - 1, np.int64)
+    word, place, suffix, out = memoryview(keys), memoryview(rank), memoryview(order), memoryview(common)
+    for i in range(n):
+        if place[i] == n - 1:
+            h = 0
+            continue
+        j = suffix[place[i] + 1]
+        most = n - max(i, j)
+        while h < most and word[i + h] == word[j + h]:
+            h += 1
+        out[place[i]] = h
+        h -= h > 0
+    return common
+
+
+def repeat_lengths(words: np.ndarray, docs: np.ndarray, levels_kept: int = LEVELS_KEPT) -> tuple[np.ndarray, np.ndarray]:
     """For every position the length of the longest word sequence from there that its own document has elsewhere too,
     and whether its REPEAT_WINDOW-word window is found twice or more.
 
     Prefix doubling ranks the suffixes by their first 1, 2, 4, ... words, until all ranks differ; ranks start from
-    (document, word), so suffixes of two documents never share a prefix. The last order is the suffix array; the common
-    prefix of neighbours in it is found by trying the doublings from the largest down. Both neighbours of a suffix bound
-    an interval, and the longer of the two common prefixes is the longest repeat that starts there.
+    (document, word), so suffixes of two documents never share a prefix. The last order is the suffix array. The common
+    prefixes of neighbours come from the doublings while there are few, and in one pass over the text where a repeat is so
+    long that there are more than levels_kept: then earlier doublings are not kept, so memory is linear in the words. Both
+    neighbours of a suffix bound an interval, and the longer of the two common prefixes is the longest repeat from there.
     """
     n = len(words)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, bool)
-    levels = [_ranks(docs * (words.max() + 1) + words)]
+    keys = docs * (words.max() + 1) + words
+    rank = _ranks(keys)
+    levels = [rank.astype(np.int32)]
     h = 1
-    while levels[-1].max() < n - 1:
-        rank = levels[-1]
-        later = np.full(n, -1, np.int64)
-        later[: n - h] = rank[h:]
-        grown = _ranks(rank * np.int64(n + 1) + later + 1)
-        levels.append(grown)
+    while rank.max() < n - 1:
+        later = np.zeros(n, np.int64)
+        later[: n - h] = rank[h:] + 1
+        rank = _ranks(rank * np.int64(n + 1) + later)
         h *= 2
+        levels = [*levels, rank.astype(np.int32)] if levels and len(levels) < levels_kept else []
         if h > n:
             break
-    order = np.argsort(levels[-1], kind="stable")
-    a, b = order[:-1].copy(), order[1:].copy()
-    common = np.zeros(n - 1, np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        inside = (a < n) & (b < n)
-        same = np.zeros(n - 1, bool)
-        same[inside] = levels[k][a[inside]] == levels[k][b[inside]]
-        # a rank of level k at the end of the whole array stands for fewer words than 2**k, and then it is unique
-        a, b, common = a + (same << k), b + (same << k), common + (same << k)
+    order = np.argsort(rank, kind="stable")
+    common = _common_by_levels(levels, order) if levels else _common_by_place(keys, rank, order)
     longest = np.zeros(n, np.int64)
     longest[order[:-1]] = common
     longest[order[1:]] = np.maximum(longest[order[1:]], common)
