@@ -23,8 +23,10 @@ from tessera.llm.shared import chunks, fold, mixed, written
 MAX_LABELLED = 10_000
 #: Characters of context: of the counts that each class has for itself, and of those that both share.
 OWN, SHARED = 9, (4, 1, 0)
-#: The features of a text: the mean log ratio of its words, and the sum of the largest ones of so many different words.
+#: The features of a text: the mean log ratio of its words; the mean of the largest ones of so many different words; and
+#: the logarithm of how many different words it has, as the largest of more words is larger by chance alone.
 STRONGEST = 3
+FEATURES = ("mean", "strongest", "size")
 #: A model of up to so many entries (12 bytes each) is sent to the executors; texts are joined with a larger one.
 LARGEST_SENT = 6_000_000
 BASE = 0x9E3779B97F4A7C15
@@ -34,7 +36,7 @@ class Model(NamedTuple):
     """Log ratios toxic : ordinary of n-grams, and of contexts for the characters that aren't known after them."""
 
     entries: DataFrame  # key, ratio: of an n-gram, or of a context (with key's lowest bit 1, that of n-grams is 0)
-    weights: tuple[float, float, float]  # of 1, the mean and the strongest
+    weights: tuple[float, float, float, float]  # of 1 and FEATURES
     sent: object | None  # the broadcast entries; None where they are too many
 
 
@@ -154,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     keys = [f.split()[0] for f in GRAM.split(", ")]
     top = written(words.mapInArrow(_grams, f"{GRAM}, n0 long, n1 long").groupBy(*keys).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxic-grams")
     entries = written(ratios(top), "toxic-ratios")
-    model = Model(entries, (0.0, 0.0, 0.0), _sent(entries) if entries.count() <= largest_sent else None)
+    model = Model(entries, (0.0,) * 4, _sent(entries) if entries.count() <= largest_sent else None)
     return model._replace(weights=_calibrated(model, texts.filter("checks").select("toxic", "text"), labels))
 
 
@@ -196,8 +198,9 @@ class Table:
         return np.concatenate(out)
 
 
-def features(lengths: np.ndarray, ids: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(mean log ratio of the words, sum of the largest STRONGEST of different words) by text; ids are the texts' words."""
+def features(lengths: np.ndarray, ids: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean log ratio of the words, mean of the largest STRONGEST of different words, ln(1 + different words)) by text; ids
+    are the texts' words. With fewer words than STRONGEST the mean is of those; without any all three are 0."""
     docs = np.repeat(np.arange(len(lengths)), lengths)
     mean = np.bincount(docs, weights=ratio[ids], minlength=len(lengths)) / np.maximum(lengths, 1)
     once = np.unique(docs * max(len(ratio), 1) + ids)
@@ -205,7 +208,9 @@ def features(lengths: np.ndarray, ids: np.ndarray, ratio: np.ndarray) -> tuple[n
     order = np.lexsort((-r, doc))
     doc, r = doc[order], r[order]
     rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
-    return mean, np.bincount(doc[rank < STRONGEST], weights=r[rank < STRONGEST], minlength=len(lengths)).astype(float)
+    different = np.bincount(doc, minlength=len(lengths))
+    strongest = np.bincount(doc[rank < STRONGEST], weights=r[rank < STRONGEST], minlength=len(lengths)) / np.clip(different, 1, STRONGEST)
+    return mean, strongest, np.log1p(different)
 
 
 def _split(texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -220,9 +225,9 @@ def _featured(table: object, keep_text: bool):
         t = Table(*table.value)
         for batch, texts in chunks(batches):
             words, lengths, ids = _split(texts)
-            mean, strongest = features(lengths, ids, t.ratios(words) if words else np.zeros(0))
+            found = features(lengths, ids, t.ratios(words) if words else np.zeros(0))
             n = len(batch.columns) - (not keep_text)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(mean), pa.array(strongest)], names=[*batch.schema.names[:n], "mean", "strongest"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *map(pa.array, found)], names=[*batch.schema.names[:n], *FEATURES])
 
     return apply
 
@@ -245,20 +250,21 @@ def _joined(rows: DataFrame, entries: DataFrame) -> DataFrame:
     known = asked.join(of("gram", "own"), "gram", "left").join(of("ctx", "rest"), "ctx", "left")
     words = known.groupBy("row", "word").agg(F.max("n").alias("n"), F.sum(F.coalesce("own", "rest", F.lit(0.0)).cast("double")).alias("r"))
     largest = F.slice(F.sort_array(F.collect_list("r"), asc=False), 1, STRONGEST)  # of one text's words
-    by_row = words.groupBy("row").agg((F.sum(F.col("n") * F.col("r")) / F.sum("n")).alias("mean"), F.aggregate(largest, F.lit(0.0), lambda a, x: a + x).alias("strongest"))
-    return rows.join(by_row, "row", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("mean", "strongest")})
+    strongest = F.aggregate(largest, F.lit(0.0), lambda a, x: a + x) / F.least(F.count("*"), F.lit(STRONGEST))
+    by_row = words.groupBy("row").agg((F.sum(F.col("n") * F.col("r")) / F.sum("n")).alias("mean"), strongest.alias("strongest"), F.log1p(F.count("*")).alias("size"))
+    return rows.join(by_row, "row", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in FEATURES})
 
 
 def _with_features(rows: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
-    """rows, whose last column is text, with the features mean and strongest behind it or in its place."""
+    """rows, whose last column is text, with FEATURES behind it or in its place."""
     kept = rows.schema.fields[: None if keep_text else -1]
     if model.sent is None:
         found = _joined(written(rows.withColumn("row", F.expr("uuid()")), "toxic-rows"), model.entries)
-        return found.select(*(f.name for f in kept), "mean", "strongest")
-    return rows.mapInArrow(_featured(model.sent, keep_text), T.StructType([*kept, T.StructField("mean", T.DoubleType()), T.StructField("strongest", T.DoubleType())]))
+        return found.select(*(f.name for f in kept), *FEATURES)
+    return rows.mapInArrow(_featured(model.sent, keep_text), T.StructType([*kept, *(T.StructField(c, T.DoubleType()) for c in FEATURES)]))
 
 
-def _calibrated(model: Model, rows: DataFrame, labels: DataFrame) -> tuple[float, float, float]:
+def _calibrated(model: Model, rows: DataFrame, labels: DataFrame) -> tuple[float, float, float, float]:
     """Weights of a logistic function, by Newton steps over the checking rows (2 * MAX_LABELLED at most); classes weigh as
     in all labels of the fit. Its constant is chosen so that 0.5 is where these rows have their largest F1 score."""
     found = _with_features(rows, model).collect()
@@ -266,10 +272,10 @@ def _calibrated(model: Model, rows: DataFrame, labels: DataFrame) -> tuple[float
     share = 0.1 if share is None else min(max(share, 1e-4), 1 - 1e-4)
     y = np.array([r["toxic"] for r in found], float)
     if not 0 < y.sum() < len(y):
-        return float(np.log(share / (1 - share))), 0.0, 0.0
-    x = np.array([[1.0, r["mean"], r["strongest"]] for r in found])
+        return float(np.log(share / (1 - share))), 0.0, 0.0, 0.0
+    x = np.array([[1.0, *(r[c] for c in FEATURES)] for r in found])
     scale = np.array([1.0, *np.maximum(x[:, 1:].std(axis=0), 1e-9)])
-    x, w, ridge = x / scale, np.array([np.log(share / (1 - share)), 0.0, 0.0]), np.array([1e-6, 0.1, 0.1])
+    x, w, ridge = x / scale, np.array([np.log(share / (1 - share)), 0.0, 0.0, 0.0]), np.array([1e-6, 0.1, 0.1, 0.1])
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
 
     def loss(w: np.ndarray) -> float:
@@ -302,14 +308,14 @@ def best_cut(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score", keep_text: bool = False) -> DataFrame:
     """docs with a column `into` (0 to 1, higher: likelier toxic) at the end, and without the column text unless keep_text.
 
-    Each text is judged alone, whole. Null and empty texts have the score of a text whose words tell nothing. A column
+    Each text is judged alone, whole, so repeated rows score alike; an empty table gives an empty result. Null and empty texts have the score of a text whose words tell nothing. A column
     `into` that docs has already is replaced; all other columns stay, whatever their names.
     """
     plain = docs.drop(into) if into != text else docs
     others = [c for c in plain.columns if c != text]
     found = _with_features(plain.select(*others, F.col(text).cast("string")).toDF(*(f"c{i}" for i in range(len(others))), "text"), model, keep_text)
     w = [F.lit(x) for x in model.weights]
-    z = w[0] + w[1] * F.col("mean") + w[2] * F.col("strongest")
+    z = sum((w[1 + i] * F.col(c) for i, c in enumerate(FEATURES)), w[0])
     named = [F.col(f"c{i}").alias(c) for i, c in enumerate(others)] + [F.col("text").alias(text)] * keep_text
     scored = found.select(*named, (1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), z))))).alias(into))
     return scored.select(*(c for c in plain.columns if c != text or keep_text), into)

@@ -214,6 +214,24 @@ def test_quality_by_brute_force(docs, texts, none):
     assert quality.quality(none).isEmpty() and quality.quality(docs).count() == len(texts)
 
 
+def test_repeats_by_levels_and_by_place():
+    """Both ways to common prefixes, over documents that share words, against all pairs; and one very long repeat."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for _ in range(150):
+        n = int(rng.integers(1, 50))
+        words, docs = rng.integers(0, rng.integers(1, 5), n), np.sort(rng.integers(0, rng.integers(1, 4), n))
+        pairs = list(zip(docs.tolist(), words.tolist(), strict=True))
+        same = lambda i, j: next((k for k in range(n - max(i, j)) if pairs[i + k] != pairs[j + k]), n - max(i, j))
+        want = [max((same(i, j) for j in range(n) if j != i), default=0) for i in range(n)]
+        for kept in (0, 1, 2, 50):
+            longest, again = quality.repeat_lengths(words, docs, kept)
+            assert longest.tolist() == want and again.tolist() == [x >= quality.REPEAT_WINDOW for x in want]
+    longest, _ = quality.repeat_lengths(np.zeros(100_000, np.int64), np.zeros(100_000, np.int64))
+    assert longest.tolist() == [99_999, *range(99_999, 0, -1)]  # the nearest other copy starts one word before, or after
+
+
 def test_lines(docs, texts, none):
     out = line_dedup.line_dedup(docs, keep_text=True).collect()
     assert len(out) == len(texts)
@@ -468,13 +486,13 @@ def test_class_models_by_brute_force(spark):
     for i, t in rows:
         r = [of(w) for w in toxicity.tokens(t.encode())]
         top = sorted({w: of(w) for w in toxicity.tokens(t.encode())}.values(), reverse=True)[: toxicity.STRONGEST]
-        want[i] = (sum(r) / max(len(r), 1), sum(top))
+        want[i] = (sum(r) / max(len(r), 1), sum(top) / max(len(top), 1), math.log(1 + len(set(toxicity.tokens(t.encode())))))
     for m in (model, model._replace(sent=None)):
         found = toxicity._with_features(docs, m).collect()
-        assert all(np.allclose((r["mean"], r["strongest"]), want[r["doc_id"]], atol=1e-4) for r in found) and len(found) == len(rows)
+        assert all(np.allclose([r[c] for c in toxicity.FEATURES], want[r["doc_id"]], atol=1e-4) for r in found) and len(found) == len(rows)
     w = model.weights
     for r in toxicity.toxicity(docs, labels).collect():
-        assert abs(r["score"] - 1 / (1 + math.exp(-(w[0] + w[1] * want[r["doc_id"]][0] + w[2] * want[r["doc_id"]][1])))) < 1e-4
+        assert abs(r["score"] - 1 / (1 + math.exp(-(w[0] + sum(a * b for a, b in zip(w[1:], want[r["doc_id"]], strict=True)))))) < 1e-4
 
 
 def test_the_cut_has_the_best_f1():
@@ -487,6 +505,23 @@ def test_the_cut_has_the_best_f1():
     assert abs(f1(toxicity.best_cut(z, y, weight)) - max(f1(c) for c in np.arange(-1, 20, 0.5))) < 1e-12
 
 
+def test_long_texts_are_not_toxic_by_length(spark):
+    """Ordinary texts of two to 2,000 words: the largest ratios of a long one are larger by chance."""
+    rng = random.Random(17)
+    rows, marks = [], []
+    for i in range(700):
+        bad = i % 5 == 0
+        w = ["".join(rng.choice(["ka", "lo", "mi", "tu", "re"]) for _ in range(rng.randrange(1, 6))) for _ in range(rng.choice([2, 40, 100]) if bad else rng.choice([2, 40, 400, 2000]))]
+        for _ in range(2 * bad):
+            w.insert(rng.randrange(len(w)), rng.choice(["vile", "nasty", "rotten"]))
+        rows.append((i, " ".join(w)))
+        marks.append((i, int(bad)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    held = toxicity.toxicity(docs, labels).filter("held_out").collect()
+    assert all(r["predicted"] == 0 for r in held if len(rows[r["doc_id"]][1].split()) >= 400)
+    assert sum(r["predicted"] == int(r["doc_id"] % 5 == 0) for r in held) >= 0.95 * len(held)
+
+
 def test_toxic_words_are_found(spark):
     rng = random.Random(7)
     rows, marks = [], []
