@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import blocks
-from tessera.operators.raster import integral
+from tessera.operators.raster import integral, resampled
 
 
 def uniform(seed: int, *keys: Column | str) -> Column:
@@ -58,17 +58,41 @@ def too_small(images: DataFrame, least: float, tw: int, th: int) -> DataFrame:
     return images.filter(_small(least, tw, th, False))
 
 
-def resized(boxes: DataFrame, pixels: DataFrame, tw: int, th: int, channels: Sequence[str], turn: bool = False, seed: int = 0) -> DataFrame:
-    """(image_id, sw, y, x, channels): each window at the target size, nearest pixel. FEA-03. turn: one of five right-angle
-    turns and mirrors for five windows in six. FEA-04.
+def crops(boxes: DataFrame, pixels: DataFrame, channels: Sequence[str], cell: int = 32) -> DataFrame:
+    """(image_id, sw, x, y, channels): the pixels of each window, counted from its corner. Windows meet the pixels of the
+    cells that they touch, so a join key holds at most cell * cell pixels. Windows without width or height have no rows."""
+    span = lambda c, d: F.sequence(F.floor(F.col(c) / cell), F.floor((F.col(c) + F.col(d) - 1) / cell))
+    touched = boxes.filter("w > 0 AND h > 0").select("image_id", "sw", "x0", "y0", "w", "h").withColumn("cx", F.explode(span("x0", "w"))).withColumn("cy", F.explode(span("y0", "h")))
+    seen = pixels.select("image_id", F.col("x").alias("px"), F.col("y").alias("py"), F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"), *(F.col(c).alias(f"of_{c}") for c in channels))
+    inside = (F.col("px") >= F.col("x0")) & (F.col("px") < F.col("x0") + F.col("w")) & (F.col("py") >= F.col("y0")) & (F.col("py") < F.col("y0") + F.col("h"))
+    found = touched.join(seen, ["image_id", "cx", "cy"]).filter(inside)
+    return found.select("image_id", "sw", (F.col("px") - F.col("x0")).cast("int").alias("x"), (F.col("py") - F.col("y0")).cast("int").alias("y"), *(F.col(f"of_{c}").alias(c) for c in channels))
 
-    A target pixel asks for one source pixel: an equi join on (image_id, x, y), whose rows are windows * tw * th.
+
+def resized(boxes: DataFrame, pixels: DataFrame, tw: int, th: int, channels: Sequence[str], turn: bool = False, seed: int = 0, kernel: str | None = None, antialias: bool = True) -> DataFrame:
+    """(image_id, sw, y, x, channels): each window at the target size. FEA-03. turn: one of five right-angle turns and
+    mirrors for five windows in six. FEA-04.
+
+    Without kernel the nearest pixel: a target pixel asks for one source pixel by an equi join on (image_id, x, y), whose
+    rows are windows * tw * th. With one of `raster.KERNELS` the channels are doubles, weighted sums over the window's own
+    pixels: its rows are the pixels of all windows, added up along rows and then columns. Pixels that are missing have no
+    part in a sum, and a target pixel without any has no row.
     """
+    if kernel:
+        sizes = boxes.select("image_id", "sw", F.col("w").alias("width"), F.col("h").alias("height"))
+        found = resampled(crops(boxes, pixels, channels), ["image_id", "sw"], sizes, tw, th, kernel, antialias, channels)
+    else:
+        found = _nearest(boxes, pixels, tw, th, channels)
+    return _turned(found, tw, th, seed) if turn else found
+
+
+def _nearest(boxes: DataFrame, pixels: DataFrame, tw: int, th: int, channels: Sequence[str]) -> DataFrame:
     grid = boxes.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(tw - 1)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(th - 1))))
     asked = grid.select("image_id", "sw", "x", "y", (F.col("x0") + F.floor(F.col("x") * F.col("w") / tw)).cast("int").alias("px"), (F.col("y0") + F.floor(F.col("y") * F.col("h") / th)).cast("int").alias("py"))
-    found = asked.join(pixels.select("image_id", F.col("x").alias("px"), F.col("y").alias("py"), *channels), ["image_id", "px", "py"]).drop("px", "py")
-    if not turn:
-        return found
+    return asked.join(pixels.select("image_id", F.col("x").alias("px"), F.col("y").alias("py"), *channels), ["image_id", "px", "py"]).drop("px", "py")
+
+
+def _turned(found: DataFrame, tw: int, th: int, seed: int) -> DataFrame:
     if tw != th:
         raise ValueError("only square windows can be turned")
     way = F.floor(uniform(seed, "image_id", "sw", F.lit(9)) * 6)

@@ -80,10 +80,14 @@ def detect_samples(thumbnails: DataFrame, sizes: DataFrame, by: Sequence[str], r
     return scaled.filter(regions.within(F.col("area"), least, most, strict=True)).drop("full_width", "thumb_width")
 
 
-def window_vectors(images: DataFrame, pixels: DataFrame, n: int, least: float, most: float, size: int, space: int = 2, seed: int = 0) -> DataFrame:
-    """(image_id, sw, features) of random windows in a colour space. FEA-01 to FEA-05."""
+def window_vectors(images: DataFrame, pixels: DataFrame, n: int, least: float, most: float, size: int, space: int = 2, seed: int = 0, kernel: str | None = None) -> DataFrame:
+    """(image_id, sw, features) of random windows in a colour space. FEA-01 to FEA-05. kernel: how windows are brought to
+    their size, one of `raster.KERNELS` with values rounded to 0..255, or the nearest pixel."""
     boxes = features.window_boxes(images, n, least, most, size, size, seed)
-    cells = color.converted(features.resized(boxes, pixels, size, size, ["r", "g", "b"]), space, ["image_id", "sw"])
+    cells = features.resized(boxes, pixels, size, size, ["r", "g", "b"], kernel=kernel)
+    if kernel:
+        cells = cells.withColumns({c: F.greatest(F.lit(0), F.least(F.lit(255), F.round(c).cast("int"))) for c in ("r", "g", "b")})
+    cells = color.converted(cells, space, ["image_id", "sw"])
     return features.vectors(cells, [c for c in cells.columns if c.startswith("c")])
 
 

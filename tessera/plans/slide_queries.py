@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import raster, regions, slides
+from tessera.operators import features, raster, regions, slides
 from tessera.plans.registry import query
 from tessera.sources.fixtures import fixture
 
@@ -86,6 +86,37 @@ for _kernel in _WEIGHTS:
     _resampled(f"resample_{_kernel}", _kernel, True, "greatest(n / {0}.0, 1.0)")
 _resampled("resample_bilinear_plain", "bilinear", False, "1.0")
 
+#: Windows on a grid over each slide: their sides, the step, and the sizes that they are brought to.
+_CROP, _STEP = (12, 9), 8
+
+
+def _resized_sql(kernel: str, tw: int, th: int) -> str:
+    axis = lambda n, target: f"(SELECT p, i, {_WEIGHTS[kernel].format(target)} AS w FROM (SELECT n, p, i, {_DISTANCE.format(target, f'greatest(n / {target}.0, 1.0)')} AS d FROM (SELECT {n} AS n), range({n}) a(p), range({target}) b(i)))"
+    w, h = _CROP
+    return f"""WITH s AS (SELECT slide_id, max(x) + 1 AS width, max(y) + 1 AS height FROM f1_slide GROUP BY 1),
+c AS (SELECT slide_id, {_STEP} * i AS wx, {_STEP} * j AS wy FROM s, range(100) a(i), range(100) b(j) WHERE {_STEP} * i + {w} <= width AND {_STEP} * j + {h} <= height),
+r AS (SELECT c.slide_id, wx, wy, k.i AS tx, y - wy AS py, sum(k.w * v) / sum(k.w) AS v FROM c JOIN f1_slide f ON f.slide_id = c.slide_id AND x >= wx AND x < wx + {w} AND y >= wy AND y < wy + {h} JOIN {axis(w, tw)} k ON k.p = x - wx AND abs(k.w) > 1e-12 GROUP BY 1, 2, 3, 4, 5)
+SELECT slide_id AS image_id, wy * 100000 + wx AS sw, CAST(tx AS INT) AS x, CAST(k.i AS INT) AS y, round(sum(k.w * v) / sum(k.w), 6) AS v FROM r JOIN {axis(h, th)} k ON k.p = py AND abs(k.w) > 1e-12 GROUP BY 1, 2, 3, 4"""
+
+
+def _resized(name: str, kernel: str, tw: int, th: int) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Every window of a grid over all slides at another size, by a kernel. FEA-03, FEA-06, FUN-23."""
+        pixels = fixture(spark, sf_dir, "f1_slide").withColumnRenamed("slide_id", "image_id")
+        at = lambda size, n: F.explode(F.sequence(F.lit(0), F.col(size) - n, F.lit(_STEP)))
+        fits = _sizes(pixels, "image_id").filter((F.col("width") >= _CROP[0]) & (F.col("height") >= _CROP[1]))
+        corners = fits.withColumn("x0", at("width", _CROP[0])).withColumn("y0", at("height", _CROP[1]))
+        boxes = corners.select("image_id", (F.col("y0").cast("long") * 100000 + F.col("x0")).alias("sw"), "x0", "y0", F.lit(_CROP[0]).alias("w"), F.lit(_CROP[1]).alias("h"))
+        return features.resized(boxes, pixels, tw, th, ["v"], kernel=kernel).withColumn("v", F.round("v", 6))
+
+    run.__name__ = name
+    query("f1_slide", sql=_resized_sql(kernel, tw, th))(run)
+
+
+_resized("window_reduced_bilinear", "bilinear", 5, 4)
+_resized("window_reduced_area", "area", 5, 4)
+_resized("window_enlarged_cubic", "cubic", 16, 10)
+
 
 @query("f1_slide", sql="""
 WITH p AS (SELECT slide_id, x, y FROM f1_slide WHERE m = 1),

@@ -101,3 +101,43 @@ def test_classes_are_validated(spark, table):
     predictions, rates = workflow.validated(annotations, colours, classes=2, folds=2, n=4, least=0.5, size=4, trees=2, k=6, depth=3)
     assert sorted((r["image_id"], r["label"], r["pred"]) for r in predictions.collect()) == [(i, b[-1], b[-1]) for i, b in enumerate(boxes)]
     assert {r["label"]: r["rate"] for r in rates.collect()} == {0: 1.0, 1: 1.0, None: 1.0}
+
+
+def test_windows_by_kernel_are_those_of_their_own_image(spark):
+    """A window resampled is what its crop is as an image of its own; gaps, turns and empty tables too."""
+    from pyspark.sql import functions as F
+
+    from tessera.operators import features, raster
+
+    pixels = spark.range(50 * 40).select(F.lit(3).cast("long").alias("image_id"), (F.col("id") % 50).cast("int").alias("x"), F.floor(F.col("id") / 50).cast("int").alias("y"), (F.col("id") * 7919 % 251).cast("int").alias("v"))
+    pixels = pixels.filter("NOT (x = 31 AND y = 20)")
+    boxes = spark.createDataFrame([(3, 0, 0, 0, 9, 9), (3, 1, 28, 17, 20, 13), (3, 2, 49, 39, 1, 1), (3, 4, 5, 5, 0, 4), (8, 0, 0, 0, 4, 4)], "image_id long, sw int, x0 int, y0 int, w int, h int")
+    key = lambda r: (r["sw"], r["x"], r["y"])
+    for kernel in raster.KERNELS:
+        found = features.resized(boxes, pixels, 6, 6, ["v"], kernel=kernel)
+        got = {key(r): r["v"] for r in found.collect()}
+        assert {k[0] for k in got} == {0, 1, 2}
+        for sw, x0, y0, w, h in ((0, 0, 0, 9, 9), (1, 28, 17, 20, 13), (2, 49, 39, 1, 1)):
+            crop = pixels.filter(f"x >= {x0} AND x < {x0 + w} AND y >= {y0} AND y < {y0 + h}").select(F.lit(sw).alias("sw"), (F.col("x") - x0).alias("x"), (F.col("y") - y0).alias("y"), "v")
+            sizes = spark.createDataFrame([(sw, w, h)], "sw int, width int, height int")
+            want = {key(r): r["v"] for r in raster.resampled(crop, ["sw"], sizes, 6, 6, kernel).collect()}
+            assert want.keys() == {k for k in got if k[0] == sw} and all(abs(want[k] - got[k]) < 1e-9 for k in want)
+    turned = features.resized(boxes, pixels, 6, 6, ["v"], turn=True, kernel="area").collect()
+    assert sorted(round(r["v"], 9) for r in turned) == sorted(round(r["v"], 9) for r in features.resized(boxes, pixels, 6, 6, ["v"], kernel="area").collect())
+    assert features.resized(boxes.limit(0), pixels, 6, 6, ["v"], kernel="cubic").isEmpty()
+
+
+def test_window_vectors_by_kernel(spark):
+    """On flat colour the kernels give what the nearest pixels give."""
+    from pyspark.sql import functions as F
+
+    from tessera.operators import raster, workflow
+
+    images = spark.createDataFrame([(1, 20, 16), (2, 16, 24)], "image_id long, width int, height int")
+    pixels = spark.range(1, 3).select(F.col("id").alias("image_id")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    pixels = pixels.join(images, "image_id").filter("x < width AND y < height").select("image_id", "x", "y", (F.col("image_id") * 90).cast("int").alias("r"), F.lit(30).alias("g"), F.lit(255).alias("b"))
+    plain = workflow.window_vectors(images, pixels, 4, 0.3, 1.0, 5).collect()
+    assert len(plain) == 8
+    for kernel in raster.KERNELS:
+        found = workflow.window_vectors(images, pixels, 4, 0.3, 1.0, 5, kernel=kernel).collect()
+        assert sorted(map(tuple, found)) == sorted(map(tuple, plain))
