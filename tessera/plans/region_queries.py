@@ -66,7 +66,7 @@ def pixels_outside_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT DISTINCT i.image_id, CAST(t.x0 AS INT) AS x0, CAST(t.y0 AS INT) AS y0 FROM f2_images i, LATERAL (SELECT unnest(range(0, i.width, 128)) AS x0) x, LATERAL (SELECT unnest(range(0, i.height, 128)) AS y0) y, LATERAL (SELECT x.x0, y.y0) t
 JOIN f3_boxes b ON b.image_id = i.image_id AND b.x0 <= least(t.x0 + 127, i.width - 1) AND b.x0 + b.w - 1 >= t.x0 AND b.y0 <= least(t.y0 + 127, i.height - 1) AND b.y0 + b.h - 1 >= t.y0""")
 def tiles_over_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixture(spark, sf_dir, "f3_boxes").select("image_id", F.explode(F.sequence(F.col("y0"), F.col("y0") + F.col("h") - 1)).alias("y"), "x0", (F.col("x0") + F.col("w") - 1).alias("x1"))
+    rows = fixture(spark, sf_dir, "f3_boxes").select("image_id", F.col("y0").alias("y"), (F.col("y0") + F.col("h") - 1).alias("y1"), "x0", (F.col("x0") + F.col("w") - 1).alias("x1"))
     return spatial.tiles_over(raster.tiles(fixture(spark, sf_dir, "f2_images"), 128), rows).select("image_id", "x0", "y0")
 
 
