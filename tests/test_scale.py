@@ -15,3 +15,34 @@ def test_tiles_over_takes_bands_and_joins_without_the_driver(spark):
     assert {r["tile_id"] for r in found.collect()} == {0, 2, 12} == {r["tile_id"] for r in spatial.tiles_over(tiles, rows).collect()}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "cx#" in x]
+
+
+def test_boxes_that_lie_alike_are_one_vertex(spark, monkeypatch):
+    boxes = [(7, x, 0, 10, 10) for x in (0, 8, 40) for _ in range(60)] + [(8, 0, 0, 10, 10), (7, 0, 0, None, 10), (7, 60, 0, 0, 0), (7, 60, 0, 0, 0), (7, 90, 0, -5, 1), (7, 90, 0, -5, 1)]
+    rows = [(k, *b) for k, b in enumerate(boxes)] + [(3, 7, 40, 5, 1, 1)]  # key 3 lies at two places
+    table = spark.createDataFrame(rows, "annotation_id long, image_id int, x0 int, y0 int, w int, h int").repartition(3)
+
+    def touch(a, b):
+        if a[1] != b[1] or None in a or None in b:
+            return False
+        return all(min(a[i] + a[i + 2], b[i] + b[i + 2]) - max(a[i], b[i]) >= 0 for i in (2, 3))
+
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and touch(a, b))
+    assert sorted((r["a"], r["b"]) for r in spatial.touching_pairs(table).collect()) == want
+    sizes, plain = [], spatial.components
+    monkeypatch.setattr(spatial, "components", lambda v, e, *by: (sizes.append((v.count(), e.count())), plain(v, e, *by))[1])
+    label = {r["annotation_id"]: r["label"] for r in spatial.merge_groups(table).collect()}
+    assert max(map(max, sizes)) < 20
+    same = {k: {k} for k, *_ in rows}
+    for a, b in want:
+        if same[a] is not same[b]:
+            both = same[a] | same[b]
+            same.update(dict.fromkeys(both, both))
+    assert label == {k: min(v) for k, v in same.items()}
+
+
+def test_a_place_of_many_boxes_is_many_rows_of_keys(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "ALIKE", 8)
+    boxes = spark.range(50).select(F.col("id").alias("annotation_id"), F.lit(1).alias("image_id"), *(F.lit(9).alias(c) for c in ("x0", "y0", "w", "h")))
+    found = spatial.touching_pairs(boxes)
+    assert found.count() == 50 * 49 // 2 == found.filter("a < b").distinct().count()
