@@ -46,3 +46,21 @@ def test_a_place_of_many_boxes_is_many_rows_of_keys(spark, monkeypatch):
     boxes = spark.range(50).select(F.col("id").alias("annotation_id"), F.lit(1).alias("image_id"), *(F.lit(9).alias(c) for c in ("x0", "y0", "w", "h")))
     found = spatial.touching_pairs(boxes)
     assert found.count() == 50 * 49 // 2 == found.filter("a < b").distinct().count()
+
+
+@pytest.fixture(scope="module")
+def repeated_orders(spark, sf_dir, tmp_path_factory):
+    """The tables with each order five times, at keys that derive the same box."""
+    folder = tmp_path_factory.mktemp("repeated")
+    for t in ("region", "nation", "customer", "supplier", "part", "lineitem", "embeddings"):
+        (folder / f"{t}.parquet").symlink_to(f"{sf_dir}/{t}.parquet")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders.crossJoin(spark.range(5).select((F.col("id") * 2000).alias("_more"))).withColumn("o_orderkey", F.col("o_orderkey") + F.col("_more")).drop("_more").write.parquet(f"{folder}/orders.parquet")
+    return str(folder)
+
+
+def test_equal_polygons_are_rasterised_once(spark, sf_dir, repeated_orders, monkeypatch):
+    sizes, plain = [], regions.rasterised
+    monkeypatch.setattr(regions, "rasterised", lambda p, by: (sizes.append(p.count()), plain(p, by))[1])
+    once, five = (sorted(map(tuple, QUERIES["polygon_raster_runs"](spark, d).collect())) for d in (sf_dir, repeated_orders))
+    assert once == five and sizes[0] == sizes[1]
