@@ -64,3 +64,10 @@ def test_equal_polygons_are_rasterised_once(spark, sf_dir, repeated_orders, monk
     monkeypatch.setattr(regions, "rasterised", lambda p, by: (sizes.append(p.count()), plain(p, by))[1])
     once, five = (sorted(map(tuple, QUERIES["polygon_raster_runs"](spark, d).collect())) for d in (sf_dir, repeated_orders))
     assert once == five and sizes[0] == sizes[1]
+
+
+def test_boxes_that_lie_alike_meet_a_region_once(spark, sf_dir, repeated_orders, monkeypatch):
+    sizes, plain = [], spatial.contained
+    monkeypatch.setattr(spatial, "contained", lambda b, r, *key: (sizes.append(b.count()), plain(b, r, *key))[1])
+    once, five = ({r["roi_id"]: r["annotations"] for r in QUERIES["roi_counts"](spark, d).collect()} for d in (sf_dir, repeated_orders))
+    assert {k: 5 * n for k, n in once.items()} == five and sizes[0] == sizes[1]
