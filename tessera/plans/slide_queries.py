@@ -45,10 +45,11 @@ def segment_slide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("f1_slide", sql="""
 WITH k AS (SELECT d, w / sum(w) OVER () AS w FROM (SELECT d, exp(-d * d / 8.0) AS w FROM range(-5, 6) r(d))),
-s AS (SELECT slide_id, max(x) AS mx, max(y) AS my FROM f1_slide GROUP BY 1),
-a AS (SELECT f.slide_id, f.x, f.y, f.v, mx, my, least(greatest(f.x + d, 0), mx) AS bx, w FROM f1_slide f JOIN s ON s.slide_id = f.slide_id, k),
-r AS (SELECT a.slide_id, a.x, a.y, a.v, my, sum(w * b.v) AS r FROM a JOIN f1_slide b ON b.slide_id = a.slide_id AND b.x = bx AND b.y = a.y GROUP BY 1, 2, 3, 4, 5),
-c AS (SELECT r.*, least(greatest(y + d, 0), my) AS by_, w FROM r, k),
+s AS (SELECT slide_id, min(x) AS nx, max(x) AS mx, min(y) AS ny, max(y) AS my FROM f1_slide GROUP BY 1),
+g AS (SELECT slide_id, px.x, py.y, nx, mx FROM s, LATERAL (SELECT unnest(range(nx, mx + 1)) AS x) px, LATERAL (SELECT unnest(range(ny, my + 1)) AS y) py),
+a AS (SELECT g.slide_id, g.x, g.y, least(greatest(g.x + d, nx), mx) AS bx, w FROM g, k),
+r AS (SELECT a.slide_id, a.x, a.y, sum(w * b.v) AS r FROM a JOIN f1_slide b ON b.slide_id = a.slide_id AND b.x = bx AND b.y = a.y GROUP BY 1, 2, 3),
+c AS (SELECT f.slide_id, f.x, f.y, f.v, least(greatest(f.y + d, ny), my) AS by_, w FROM f1_slide f JOIN s ON s.slide_id = f.slide_id, k),
 m AS (SELECT c.slide_id, c.x, c.y, c.v, sum(w * b.r) AS mean FROM c JOIN r b ON b.slide_id = c.slide_id AND b.x = c.x AND b.y = by_ GROUP BY 1, 2, 3, 4)
 SELECT slide_id, x, y, CASE WHEN v - round_even(round(mean, 6), 0) > -3 THEN 255 ELSE 0 END AS m FROM m""")
 def adaptive_gaussian_mask(spark: SparkSession, sf_dir: str) -> DataFrame:

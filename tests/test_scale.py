@@ -71,3 +71,18 @@ def test_boxes_that_lie_alike_meet_a_region_once(spark, sf_dir, repeated_orders,
     monkeypatch.setattr(spatial, "contained", lambda b, r, *key: (sizes.append(b.count()), plain(b, r, *key))[1])
     once, five = ({r["roi_id"]: r["annotations"] for r in QUERIES["roi_counts"](spark, d).collect()} for d in (sf_dir, repeated_orders))
     assert {k: 5 * n for k, n in once.items()} == five and sizes[0] == sizes[1]
+
+
+def test_gaussian_mask_agrees_with_sql_on_a_slide_with_missing_pixels(spark, sf_dir, tmp_path):
+    import duckdb
+
+    from tessera.plans.queries import SQL
+
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"{sf_dir}/{t}.parquet")
+    spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("vec_id < 356 AND vec_id NOT BETWEEN 130 AND 144").write.parquet(f"{tmp_path}/embeddings.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    columns = "slide_id, x, y, m"
+    want = duck.sql(f"SELECT {columns} FROM ({SQL['adaptive_gaussian_mask']})").fetchall()
+    assert sorted(map(tuple, QUERIES["adaptive_gaussian_mask"](spark, str(tmp_path)).select(*columns.split(", ")).collect())) == sorted(want)
