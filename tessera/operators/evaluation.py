@@ -47,17 +47,32 @@ def scaled(frequencies: DataFrame, maxima: DataFrame) -> DataFrame:
     return frequencies.join(maxima, "leaf_id", "left").select("image_id", "leaf_id", F.when(F.col("m") > 0, F.col("v") / F.col("m")).otherwise(F.col("v")).alias("v"))
 
 
-def confidence_map(windows: DataFrame, size: int) -> DataFrame:
-    """(image_id, y, x, class_idx, p): sums over the windows that cover a pixel. AGG-05. windows: x, y of the corner."""
-    side = F.sequence(F.lit(0), F.lit(size - 1))
-    cover = windows.withColumn("i", F.explode(side)).withColumn("j", F.explode(side))
-    return cover.groupBy("image_id", (F.col("y") + F.col("j")).alias("y"), (F.col("x") + F.col("i")).alias("x"), "class_idx").agg(F.sum("p").alias("p"))
+#: Side of the cells that an image's confidence is added up in.
+CELL = 64
+
+
+def confidence_map(windows: DataFrame, size: int, cells: bool = False) -> DataFrame:
+    """(image_id, y, x, class_idx, p): sums over the windows that cover a pixel. AGG-05. windows: x, y of the corner.
+
+    Windows go to the cells that they reach, and are spread over their pixels there: what is shuffled are windows, not pixels.
+    cells: with the cell, _cx and _cy, by which the rows are dealt.
+    """
+    reach = lambda c: F.sequence(F.floor(F.col(c) / CELL), F.floor((F.col(c) + (size - 1)) / CELL))
+    dealt = windows.select("image_id", "y", "x", "class_idx", "p", F.explode(reach("x")).alias("_cx")).withColumn("_cy", F.explode(reach("y"))).repartition("image_id", "_cx", "_cy")
+    at = ["image_id", "_cx", "_cy"]
+    corners = dealt.groupBy(*at, "y", "x", "class_idx").agg(F.sum("p").alias("p"))
+    inside = lambda c, cell: F.explode(F.sequence(F.greatest(F.col(c), F.col(cell) * CELL), F.least(F.col(c) + (size - 1), F.col(cell) * CELL + (CELL - 1))))
+    cover = corners.withColumn("x", inside("x", "_cx")).withColumn("y", inside("y", "_cy"))
+    sums = cover.groupBy(*at, "y", "x", "class_idx").agg(F.sum("p").alias("p"))
+    return sums.select("image_id", "y", "x", "class_idx", "p", *(["_cx", "_cy"] if cells else []))
 
 
 def winning_class(confidence: DataFrame, width: int, height: int, border: int) -> DataFrame:
-    """(image_id, y, x, m): the likeliest class, the lowest on ties; 0 within the border. AGG-06, FIL-11."""
+    """(image_id, y, x, m): the likeliest class, the lowest on ties; 0 within the border. AGG-06, FIL-11. Rows that come with
+    their cell stay where they are."""
     edge = (F.col("x") < border) | (F.col("x") >= width - border) | (F.col("y") < border) | (F.col("y") >= height - border)
-    best = confidence.groupBy("image_id", "y", "x").agg(F.max_by("class_idx", F.struct("p", -F.col("class_idx"))).alias("m"))
+    cell = [c for c in ("_cx", "_cy") if c in confidence.columns]
+    best = confidence.groupBy("image_id", *cell, "y", "x").agg(F.max_by("class_idx", F.struct("p", -F.col("class_idx"))).alias("m")).drop(*cell)
     return best.withColumn("m", F.when(edge, 0).otherwise(F.col("m")))
 
 

@@ -86,3 +86,25 @@ def test_gaussian_mask_agrees_with_sql_on_a_slide_with_missing_pixels(spark, sf_
     columns = "slide_id, x, y, m"
     want = duck.sql(f"SELECT {columns} FROM ({SQL['adaptive_gaussian_mask']})").fetchall()
     assert sorted(map(tuple, QUERIES["adaptive_gaussian_mask"](spark, str(tmp_path)).select(*columns.split(", ")).collect())) == sorted(want)
+
+
+def exchanges(df):
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].splitlines() if "Exchange " in x]
+
+
+def test_confidence_shuffles_windows_once(spark):
+    from tessera.operators import evaluation
+
+    rows = [(i, (7 * n) % 90 - 5, (13 * n) % 70 - 3, n % 3, 0.125 * (n % 9)) for i in range(3) for n in range(200)]
+    windows = spark.createDataFrame(rows, "image_id long, x long, y long, class_idx int, p double").repartition(3)
+    want = {}
+    for i, x, y, c, p in rows:
+        for dx in range(4):
+            for dy in range(4):
+                want[i, y + dy, x + dx, c] = want.get((i, y + dy, x + dx, c), 0) + p
+    for cells in (False, True):
+        found = evaluation.confidence_map(windows, 4, cells=cells)
+        assert {(r["image_id"], r["y"], r["x"], r["class_idx"]): r["p"] for r in found.collect()} == want and found.count() == len(want)
+    best = evaluation.winning_class(found, 86, 70, 2)
+    assert len(exchanges(evaluation.winning_class(evaluation.confidence_map(spark.range(9).selectExpr("id image_id", "id x", "id y", "1 class_idx", "0.5D p"), 4, cells=True), 9, 9, 0))) == 1
+    assert best.count() == len({k[:3] for k in want})
