@@ -16,8 +16,10 @@ def prior(landmarks: DataFrame, height: float | None = None) -> DataFrame:
 
 
 def wide(landmarks: DataFrame, terms: list[int]) -> DataFrame:
-    """One row per image with x and y of each term. SRC-07. terms: the columns, from an aggregate over the data."""
-    return landmarks.groupBy("image_id").pivot("term_id", terms).agg(F.first("x").alias("x"), F.first("y").alias("y"))
+    """One row per image with x and y of each term, of several the largest. SRC-07. terms: the columns, from an aggregate over
+    the data. Landmarks are dealt by image first: one file may hold more images than a task can keep a row for."""
+    value = lambda t, c: F.max(F.when(F.col("term_id") == t, F.col(c))).alias(f"{t}_{c}")
+    return landmarks.select("image_id", "term_id", "x", "y").repartition("image_id").groupBy("image_id").agg(*(value(t, c) for t in terms for c in "xy"))
 
 
 def edges(landmarks: DataFrame) -> DataFrame:

@@ -108,3 +108,16 @@ def test_confidence_shuffles_windows_once(spark):
     best = evaluation.winning_class(found, 86, 70, 2)
     assert len(exchanges(evaluation.winning_class(evaluation.confidence_map(spark.range(9).selectExpr("id image_id", "id x", "id y", "1 class_idx", "0.5D p"), 4, cells=True), 9, 9, 0))) == 1
     assert best.count() == len({k[:3] for k in want})
+
+
+def test_landmarks_are_dealt_by_image_before_they_are_rows(spark):
+    from tessera.operators import landmarks
+
+    marks = spark.range(40).selectExpr("id % 9 image_id", "id % 5 term_id", "CAST(id AS INT) x", "CAST(-id AS INT) y")
+    found = landmarks.wide(marks, [0, 1, 7])
+    assert found.columns == ["image_id", "0_x", "0_y", "1_x", "1_y", "7_x", "7_y"]
+    rows = [(i % 9, i % 5, i) for i in range(40)]
+    value = lambda i, t, way: max((way * v for a, b, v in rows if (a, b) == (i, t)), default=None)
+    assert {tuple(r) for r in found.collect()} == {(i, *(value(i, t, way) for t in (0, 1, 7) for way in (1, -1))) for i in range(9)}
+    lines = exchanges(found)
+    assert len(lines) == 1 and "REPARTITION_BY_COL" in lines[0]
