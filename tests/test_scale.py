@@ -121,3 +121,11 @@ def test_landmarks_are_dealt_by_image_before_they_are_rows(spark):
     assert {tuple(r) for r in found.collect()} == {(i, *(value(i, t, way) for t in (0, 1, 7) for way in (1, -1))) for i in range(9)}
     lines = exchanges(found)
     assert len(lines) == 1 and "REPARTITION_BY_COL" in lines[0]
+
+
+def test_errors_are_dealt_by_image_before_they_are_rows(spark):
+    from tessera.operators import landmarks
+
+    preds = spark.range(60).selectExpr("id % 9 image_id", "id % 5 term_id", "id x_true", "id y_true", "id + id % 4 x_pred", "id y_pred")
+    lines = exchanges(landmarks.error_matrix(preds))
+    assert len(lines) == 2 and "REPARTITION_BY_COL" in lines[-1]
