@@ -129,3 +129,24 @@ def test_errors_are_dealt_by_image_before_they_are_rows(spark):
     preds = spark.range(60).selectExpr("id % 9 image_id", "id % 5 term_id", "id x_true", "id y_true", "id + id % 4 x_pred", "id y_pred")
     lines = exchanges(landmarks.error_matrix(preds))
     assert len(lines) == 2 and "REPARTITION_BY_COL" in lines[-1]
+
+
+def test_nearest_vote_in_slices_agrees_with_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    from tessera.operators import learners
+
+    monkeypatch.setattr(learners, "PIECE", 7)
+    monkeypatch.setattr(learners, "SLICE", 900)
+    rng = np.random.default_rng(1)
+    points = rng.integers(0, 4, (90, 5)).astype(float)
+    rows = spark.createDataFrame([(i, i * 7 % 4, [float(v) for v in p]) for i, p in enumerate(points)], "sample_id long, label int, embedding array<float>")
+    want = {}
+    for q in range(0, 90, 20):
+        near = sorted((round(float(((points[q] - points[t]) ** 2).sum()), 8), t) for t in range(90) if t != q)[:6]
+        votes = [t * 7 % 4 for _, t in near]
+        pred = max(range(4), key=lambda c: (votes.count(c), -c))
+        want[q] = (pred, votes.count(pred))
+    found = learners.nearest_vote(rows, rows.filter("sample_id % 20 = 0").select("sample_id", "embedding"), 6, block=3)
+    assert {r["sample_id"]: (r["pred"], r["votes"]) for r in found.collect()} == want
+    assert learners.nearest_vote(rows.limit(0), rows.limit(0), 6).isEmpty()
