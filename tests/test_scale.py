@@ -150,3 +150,8 @@ def test_nearest_vote_in_slices_agrees_with_brute_force(spark, monkeypatch):
     found = learners.nearest_vote(rows, rows.filter("sample_id % 20 = 0").select("sample_id", "embedding"), 6, block=3)
     assert {r["sample_id"]: (r["pred"], r["votes"]) for r in found.collect()} == want
     assert learners.nearest_vote(rows.limit(0), rows.limit(0), 6).isEmpty()
+
+
+def test_patches_are_read_from_blocks(spark, sf_dir):
+    plan = QUERIES["patch_differences"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftOuter" not in plan
