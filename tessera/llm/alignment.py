@@ -33,6 +33,8 @@ RARE = re.compile(r"\s ")
 BLOCK_BYTES = 16 << 20
 #: Stretches are given to the tokenizers in lines of about so many characters.
 LINE = 4096
+#: Stretches of a block that are aligned at a time.
+PART = 1 << 15
 #: Elements that a lane of the search has.
 LANE = 64
 
@@ -154,7 +156,7 @@ class Tokenizers:
         if line:
             self._line(line, rests, a_ids, b_ids, good)
         order = [i for x in a_ids for i in x[0]]
-        flat = lambda lists: np.fromiter((t for _, ids in lists for t in ids), np.int64)
+        flat = lambda lists: np.concatenate([ids for _, ids in lists]).astype(np.int64) if lists else np.zeros(0, np.int64)
         return flat(a_ids), flat(b_ids), np.array(order, np.int64), sizes[order] if order else sizes[:0]
 
     def _line(self, line: list[int], rests: list[str], a_ids: list, b_ids: list, good: np.ndarray) -> None:
@@ -163,8 +165,8 @@ class Tokenizers:
         a = self.a.encode(" " + text, add_special_tokens=False).ids
         b = self.b.encode(text) if text else [self.space]
         if b"".join(map(self.a_bytes.__getitem__, a)) == whole == b"".join(map(self.b_bytes.__getitem__, b)):
-            a_ids.append((line, a))
-            b_ids.append((line, b))
+            a_ids.append((line, np.array(a, np.int32)))  # four bytes an id until all are known, not an object
+            b_ids.append((line, np.array(b, np.int32)))
         elif len(line) > 1:
             for i in line:
                 self._line([i], rests, a_ids, b_ids, good)
@@ -196,7 +198,18 @@ def cut(text: str) -> list[str]:
 
 
 class Aligned:
-    """The distinct stretches of a block: counts of each, its groups as text, and its links as pairs of ids."""
+    """The distinct stretches of a block: counts of each, its groups as text, and its links as pairs of ids. They are aligned
+    PART at a time, so tokens and ends of a part only are held, and of the block what is kept of it."""
+
+    def __init__(self, t: Tokenizers, rests: list[str]):
+        parts = [Part(t, rests[i : i + PART]) for i in range(0, len(rests), PART)] or [Part(t, [])]
+        joined = lambda name: np.concatenate([getattr(p, name) for p in parts])
+        self.good, self.n_a, self.n_b, self.n_groups, self.n_links, self.links = map(joined, ("good", "n_a", "n_b", "n_groups", "n_links", "links"))
+        self.shown = [x for p in parts for x in p.shown]
+
+
+class Part:
+    """Some stretches of a block, aligned at once."""
 
     def __init__(self, t: Tokenizers, rests: list[str]):
         n = len(rests)

@@ -103,3 +103,16 @@ def test_alignment_of_the_corpus(spark, sf_dir, vocabularies):
     want = brute([tuple(r) for r in docs.select("doc_id", "text").collect()], vocabularies)
     found = alignment.alignment(docs, BYTE_BPE_FILE, MODEL_FILE).select("doc_id", *COLUMNS)
     assert Counter(map(tuple, found.collect())) == want
+
+
+def test_a_block_is_aligned_part_by_part(vocabularies, monkeypatch):
+    rests = ["the", "naïve", "", "zebra ", "x\ty", "and", "😀", "of", "control</s>", "a" * 50]
+    whole = alignment.Aligned(vocabularies, rests)
+    seen, plain = [], alignment.Part
+    monkeypatch.setattr(alignment, "PART", 3)
+    monkeypatch.setattr(alignment, "Part", lambda t, part: (seen.append(len(part)), plain(t, part))[1])
+    parts = alignment.Aligned(vocabularies, rests)
+    assert seen == [3, 3, 3, 1] and parts.shown == whole.shown
+    for name in ("good", "n_a", "n_b", "n_groups", "n_links", "links"):
+        assert (getattr(parts, name) == getattr(whole, name)).all(), name
+    assert alignment.Aligned(vocabularies, []).shown == []
