@@ -27,18 +27,52 @@ HEAD = 7
 STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
+#: Runs of letters, and other characters one by one.
+RUNS = re.compile(r"[^\W\d_]+|[\W\d_]")
+
+
 class Stretches(dict):
-    """Stretch, without the space it starts with -> its ids; short ones are remembered, up to a bounded number."""
+    """Stretch, without the space it starts with -> its ids; short ones are remembered, up to a bounded number.
+
+    Merges never cross two characters that no piece has side by side, so a stretch is put together from parts that end
+    there, which are remembered too: words with marks behind them share the search of the bare word.
+    """
 
     def __init__(self, pieces: Pieces):
         super().__init__()
-        self.pieces = pieces
+        self.pieces, self.fronts, self.others = pieces, {}, {}
+
+    def clear(self) -> None:
+        for cache in (super(), self.fronts, self.others):
+            cache.clear()
+
+    def part(self, known: dict, front: str, text: str) -> tuple[int, ...]:
+        """Ids of front + text; known has those of one front."""
+        ids = known.get(text)
+        if ids is None:
+            ids = tuple(self.pieces.search(front + text))
+            if len(text) < 64:
+                if len(known) >= Pieces.PARTS:
+                    known.clear()
+                known[text] = ids
+        return ids
 
     def __missing__(self, rest: str) -> tuple[int, ...]:
-        ids = tuple(self.pieces.search(SPACE + rest))
+        if rest.isalpha():
+            ids = self.part(self.fronts, SPACE, rest)
+        else:
+            beside, parts = self.pieces.side_by_side, [""]
+            for run in RUNS.findall(rest):
+                if (parts[-1][-1:] or SPACE) + run[0] in beside:
+                    parts[-1] += run
+                else:
+                    parts.append(run)
+            ids = self.part(self.fronts, SPACE, parts[0])
+            for text in parts[1:]:
+                ids += self.part(self.others, "", text)
         if len(rest) < 64:
             if len(self) >= Pieces.REMEMBERED:
-                self.clear()
+                super().clear()
             self[rest] = ids
         return ids
 
@@ -46,8 +80,9 @@ class Stretches(dict):
 class Pieces:
     """The vocabulary of a SentencePiece model, and the search over it."""
 
-    #: Entries of a cache, some 40 MB; a task forgets them at its end, as its worker goes on to other work.
-    REMEMBERED = 200_000
+    #: Entries of a cache, some 40 MB, and of one of parts, some 60 MB; a task forgets the texts at its end, as its worker goes on to other work, and keeps
+    #: which pieces may stand side by side, which are numbers.
+    REMEMBERED, PARTS = 200_000, 300_000
 
     def __init__(self, model_file: str):
         import sentencepiece
@@ -65,14 +100,15 @@ class Pieces:
             raise ValueError("pieces that hold a space after other characters aren't supported")
         self.starts = {p[:k]: self.ids.get(p[:k], -1) for p in self.ids for k in range(1, len(p) + 1)}
         self.bytes_of = [b"" if i in self.special else bytes([self.id_byte[i]]) if i in self.id_byte else self.text[i].replace(SPACE, " ").encode() for i in range(n)]
+        self.side_by_side = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.ends = {p[k:]: self.ids.get(p[k:], -1) for p in self.ids for k in range(len(p))}
         self._beside: dict[int, bool] = {}
         self._heads: dict[str, tuple[list, list]] = {}
         self._known = Stretches(self)
 
     def forget(self) -> None:
-        """Empty the caches."""
-        for cache in (self._beside, self._heads, self._known):
+        """Empty the caches of texts."""
+        for cache in (self._heads, self._known):
             cache.clear()
 
     def merged(self, text: str) -> list[str]:

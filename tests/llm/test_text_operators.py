@@ -296,6 +296,18 @@ def test_pieces_equal_the_library(docs, texts, none):
     assert pieces.round_trips(none, MODEL_FILE).isEmpty() and pieces.encode(none, MODEL_FILE).isEmpty()
 
 
+def test_words_with_marks_share_a_search():
+    own, asked = pieces.Pieces(MODEL_FILE), []
+    search = own.search
+    own.search = lambda text, log=None: asked.append(text) or search(text, log)
+    first = own.encode("ofanbleedan ofanbleedan, ofanbleedan.\nofanbleedan,")
+    assert asked.count("▁ofanbleedan") == 1 and len(asked) == len(set(asked)) and "▁ofanbleedan," not in asked
+    assert own.decode(first) == "ofanbleedan ofanbleedan, ofanbleedan.\nofanbleedan,"
+    beside = len(own._beside)
+    own.forget()
+    assert not own._known and not own._known.fronts and len(own._beside) == beside
+
+
 def test_language_model(docs, texts, none):
     out = mixing_lm.lm_scores(docs).collect()
     assert len(out) == len(texts)
