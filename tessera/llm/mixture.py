@@ -102,16 +102,18 @@ def solve_rates(scored: DataFrame, targets: np.ndarray, least: float = 0.0, tole
     def sums(vectors: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float, float]]:
         """At each vector: the totals, the matrix of the free documents, the sum of what the lazily projected steps minimise, and
         how far rates are from 1 in all."""
-        rows, each = scored.select("n_tokens", "p"), []
-        rows = rows.selectExpr("n_tokens", "p", *(f"{_dot(v)} AS z{i}" for i, v in enumerate(vectors)))
-        rows = rows.selectExpr("*", *(f"greatest({low}, 1 + z{i}) AS r{i}" for i in range(len(vectors))))
-        for i in range(len(vectors)):
-            each += [f"sum(r{i} * n_tokens * p[{j}])" for j in range(k)]
-            each += [f"sum(CASE WHEN r{i} > {low} THEN n_tokens ELSE 0 END * p[{j}] * p[{m}])" for j in range(k) for m in range(k)]
-            each += [f"sum(n_tokens * CASE WHEN 1 + z{i} > {low} THEN z{i} + z{i} * z{i} / 2 ELSE {low} * z{i} - ({low} - 1) * ({low} - 1) / 2 END)"]
-            each += [f"sum(n_tokens * (r{i} - 1) * (r{i} - 1))"]
-        found = np.array([float(x or 0) for x in rows.agg(*(F.expr(x).alias(f"s{i}") for i, x in enumerate(each))).first()]).reshape(len(vectors), -1)
-        return [(row[:k], row[k:-2].reshape(k, k), row[-2], row[-1]) for row in found]
+        # the vectors are one literal that is exploded, so each step has the same small plan and the same generated code
+        tried = ", ".join("array(" + ", ".join(f"{float(x)!r}D" for x in v) + ")" for v in vectors)
+        rows = scored.select("n_tokens", "p", F.expr(f"posexplode(array({tried})) AS (i, v)"))
+        rows = rows.withColumn("z", F.expr(" + ".join(f"v[{j}] * p[{j}]" for j in range(k)))).withColumn("r", F.expr(f"greatest({low}, 1 + z)"))
+        free = f"CASE WHEN r > {low} THEN n_tokens ELSE 0 END"
+        each = [f"sum(r * n_tokens * p[{j}])" for j in range(k)]
+        each += [f"sum({free} * p[{j}] * p[{m}])" for j in range(k) for m in range(k)]
+        each += [f"sum(n_tokens * CASE WHEN 1 + z > {low} THEN z + z * z / 2 ELSE {low} * z - ({low} - 1) * ({low} - 1) / 2 END)"]
+        each += ["sum(n_tokens * (r - 1) * (r - 1))"]
+        # a row for each vector
+        found = {row[0]: np.array([float(x or 0) for x in row[1:]]) for row in rows.groupBy("i").agg(*(F.expr(x).alias(f"s{i}") for i, x in enumerate(each))).collect()}
+        return [(row[:k], row[k:-2].reshape(k, k), row[-2], row[-1]) for row in (found[i] for i in range(len(vectors)))]
 
     def left(vector: np.ndarray, off: np.ndarray, bound: float) -> float:
         """The norm of what one more projected step along the plain gradient would change, in tokens."""
@@ -160,7 +162,8 @@ def mix(
     rate * n_tokens * p meets weights * budget as nearly as rates of `least` or more allow; a warning says where the solver
     could not tell.
 
-    Null and empty texts have no tokens; their rate is that of their posteriors. Null ids share one hash. Repeated rows
+    Null and blank texts have no tokens, so no total asks for more or fewer of them: their rate is 1, or `least` if that is
+    more. Null ids share one hash. Repeated rows
     get equal rates. Without labels all documents are one domain with rate 1. An empty table gives an empty result.
     Columns of docs with one of the names are replaced; all others stay, whatever their names. The text itself stays with
     keep_text.
@@ -179,7 +182,7 @@ def mix(
     if not solved.converged:
         warnings.warn(f"rates not converged after {solved.steps} steps: totals {solved.totals.tolist()} for {(w * want).tolist()}", stacklevel=2)
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    rated = scored.withColumn("rate", solved.rate)
+    rated = scored.withColumn("rate", F.when(F.col("n_tokens") > 0, solved.rate).otherwise(F.lit(max(1.0, float(least)))))
     rated = rated.withColumn("copies", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
     of = {doc_id: F.col("doc_id"), **({text: F.col("text")} if keep_text else {}), **{c: F.col(f"c{i}") for i, c in enumerate(others)}}
     return rated.select(*(of[c].alias(c) for c in docs.columns if c in of), *(F.col(c).alias(name) for c, name in zip(("n_tokens", "p", "rate", "copies"), names, strict=True)))

@@ -601,6 +601,28 @@ def written_labels(spark, labels):
     return folder
 
 
+def test_texts_without_tokens_keep_their_rate(spark, texts, labels):
+    """Targets out of reach move rates along a direction in which a blank text is far out; it has no tokens to give."""
+    plain = spark.createDataFrame([(i, t) for i, t in texts if t is None or len(t) < 9000], "doc_id long, text string")
+    for least in (0.0, 1.0, 2.0):
+        out = mixture.mix(plain, labels, {0: 0.15, 1: 0.85}, least=least)
+        assert {r["copies"] for r in out.filter("n_tokens = 0").collect()} == {max(1, int(least))}
+
+
+def test_steps_of_the_solver_share_a_plan(spark):
+    """Steps differ in one literal only, so that neither plans nor generated code grow with their number and vectors."""
+    import numpy as np
+
+    scored = spark.range(50).selectExpr("id % 7 + 1 AS n_tokens", "array(id / 50D, 1 - id / 50D) AS p").cache()
+    asked, first = [], type(scored).collect
+    type(scored).collect = lambda df: asked.append(df.columns) or first(df)
+    try:
+        mixture.solve_rates(scored, np.array([200.0, 60.0]))
+    finally:
+        type(scored).collect = first
+    assert asked and {tuple(c) for c in asked} == {("i", *(f"s{i}" for i in range(8)))}
+
+
 def least_squares(n, p, targets, least):
     """Rates by accelerated projected gradients over all documents in memory, restarted where they overshoot."""
     import numpy as np
