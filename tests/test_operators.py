@@ -229,6 +229,20 @@ def test_final_classifiers_with_probabilities(spark):
         assert sum(r["pred"] == r["label"] for r in found) >= 27
 
 
+def test_final_classifiers_make_their_training_rows_once(spark):
+    """The fits go through the rows again and again; what makes the rows must not run each time."""
+    made = spark.sparkContext.accumulator(0)
+
+    def one(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(i, i % 3, [float(i % 3 == c) * 2 + i % 7 / 10 for c in range(3)]) for i in range(60)], "sample_id long, label int, features array<double>")
+    found = learners.classified(rows.mapInArrow(one, rows.schema), rows, "svm").collect()
+    assert len(found) == 60 and made.value == 60
+
+
 def test_regions_of_interest_by_mask(spark):
     """A slanted region: tiles that only its box meets go, pixels that no run covers are of class 0."""
     runs = spark.createDataFrame([(1, i, 10 * i, 10 * i + 14) for i in range(100)] + [(1, 3, 35, 60)], "image_id long, y int, x0 int, x1 int")
