@@ -10,12 +10,23 @@ from tessera.llm.queries import MIX_WEIGHTS, MODEL_FILE
 from tessera.llm.shared import documents, fresh, written
 
 
+#: Bytes of texts that go to Python at a time. Spark counts rows by default: 10,000 texts are 50 MB or more, held by the JVM and
+#: by its worker at once, and twice while a buffer grows; what an executor took for that once it keeps.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of the session are of BATCH_BYTES at most, or of one row."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models reject go."""
+    small_batches(spark)
     model = toxicity.fit(docs, _labels(spark, sf_dir))
     toxic = fresh("toxicity", docs)
     return toxicity.score(docs, model, into=toxic, keep_text=True).filter(F.col(toxic) < 0.5).select(*docs.columns)
@@ -28,6 +39,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
+    small_batches(spark)
     return jaccard_join.one_per_component(docs)
 
 
@@ -40,6 +52,7 @@ def weighted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each text."""
+    small_batches(spark)
     return pieces.encode(docs, MODEL_FILE)
 
 

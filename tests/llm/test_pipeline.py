@@ -2,6 +2,9 @@
 
 import re
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tessera.llm import toxicity
 from tessera.llm.pieces import pieces
@@ -43,3 +46,18 @@ def test_stages(spark, sf_dir):
     p = pieces(MODEL_FILE)
     assert len(kept["sentencepiece"]) == len(kept["mixing"])
     assert all(p.decode(r["ids"]) == text[r["doc_id"]] for r in kept["sentencepiece"])
+
+
+def test_texts_go_to_python_in_small_batches(spark, sf_dir):
+    """By default Spark hands 64 MB of texts to Python at once, which each task of an executor holds twice."""
+    long = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 4000).alias("text"))
+
+    def size(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    docs = documents(spark, sf_dir)
+    for stage in (corpus_pipeline.clean, corpus_pipeline.without_near_copies, corpus_pipeline.encoded):
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        stage(spark, docs, sf_dir)
+        assert max(r["n"] for r in long.mapInArrow(size, "n long").collect()) < corpus_pipeline.BATCH_BYTES + 10_000
