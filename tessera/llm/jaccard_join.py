@@ -202,7 +202,12 @@ def _ordered(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> DataF
 
 
 def links(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(a, b): links between classes that are enough for the components: every link joins two classes of one component.
+    """(a, b): links between classes that are enough for the components: every link joins two classes of one component."""
+    return _found_links(docs, classes, frequent)[0]
+
+
+def _found_links(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """The links, and the labels (v, label) of the components that they make.
 
     classes: v, n, key (of one document of the class). docs: key, text. Two classes that aren't full share a token of a
     group that isn't large, for their prefixes hold no others. Pairs with a full class may share tokens of large groups
@@ -228,16 +233,18 @@ def links(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> DataFram
     linked = _linked(best, sets)
     rest = _across(found.select("a", "b").distinct(), _labels(linked)).join(best, ["a", "b"], "left_anti")
     linked = written(linked.unionByName(_linked(rest, sets)), "linked")
-    labelled = large.join(_labels(linked), "v", "left").withColumn("label", F.coalesce("label", "v"))
+    labels = _labels(linked)
+    labelled = large.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
     mixed_groups = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("full").alias("any_full")).filter("low < high AND any_full").select("token")
     open_rows = written(labelled.join(mixed_groups, "token", "left_semi"), "open")
     if open_rows.isEmpty():
-        return linked
+        return linked, labels
     open_sets = _set_table(docs, classes, open_rows.select("v").distinct())
     cross = written(_across_groups(open_rows, open_sets).join(found.select("a", "b").distinct(), ["a", "b"], "left_anti"), "cross")
     if cross.isEmpty():
-        return linked
-    return linked.unionByName(_linked(cross, open_sets))
+        return linked, labels
+    linked = linked.unionByName(_linked(cross, open_sets))
+    return linked, _labels(linked)
 
 
 def _set_table(docs: DataFrame, classes: DataFrame, asked: DataFrame) -> DataFrame:
@@ -287,11 +294,11 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     rows = rows.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("key"))
     scanned = written(rows.mapInArrow(_scan, "kind int, a long, n long, v long, key long"), "scan")
     # a hint of bounded size for order 1; ties at the end of the list don't matter for the result
-    listed = scanned.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "a").limit(MAX_FREQUENT).collect()
-    frequent = np.sort(np.array([r["a"] for r in listed], np.int64).view(np.uint64))
+    listed = scanned.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "a").limit(MAX_FREQUENT).select("a").toArrow()
+    frequent = np.sort(listed.column("a").to_numpy().astype(np.int64).view(np.uint64))
     sized = scanned.filter("kind = 0").select(F.col("a").alias("doc_id"), "n", "v", "key")
     classes = written(sized.filter("n > 0").groupBy("v").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"), F.coalesce(F.min("doc_id"), F.min("key")).alias("key")), "classes")
-    labels = _labels(links(rows.select(F.coalesce("doc_id", "key").alias("key"), "text"), classes, frequent))
+    _, labels = _found_links(rows.select(F.coalesce("doc_id", "key").alias("key"), "text"), classes, frequent)
     top = classes.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
     least = top.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_class = written(top.join(least, "label").select("v", "component_id"), "class-components")

@@ -195,6 +195,28 @@ def test_long_chains_of_links(spark):
     assert {found[i] for i in range(71)} == {0} and found[201] == 200
 
 
+def test_rounds_of_components_take_nothing_of_the_driver(spark, docs, monkeypatch):
+    """No round broadcasts, and links that end up in the result are labelled once: two tables of labels for a whole join."""
+    plans, tables = [], []
+
+    def spied(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    def counted(linked):
+        tables.append(linked)
+        return components.connected_components(linked)
+
+    written = components.written
+    monkeypatch.setattr(components, "written", spied)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
+    assert {r["label"] for r in components.connected_components(edges).collect()} == {0}
+    assert any("Join" in p for p in plans) and not any("Broadcast" in p for p in plans)
+    monkeypatch.setattr(jaccard_join, "connected_components", counted)
+    jaccard_join.components(docs)
+    assert len(tables) == 2
+
+
 def test_quality_by_brute_force(docs, texts, none):
     def repeats(w):
         longest = [max((next((k for k in range(len(w) - max(i, j)) if w[i + k] != w[j + k]), len(w) - max(i, j)) for j in range(len(w)) if j != i), default=0) for i in range(len(w))]
