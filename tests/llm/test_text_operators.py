@@ -412,6 +412,66 @@ def test_weights_are_learned_on_a_small_table(phrases):
     assert np.abs(m.weights - new.weights)[:, :3].max() > 0.1 and np.abs(m.first - new.first).max() > 0.1 and m.refine.sum() > new.refine.sum()
 
 
+def test_weights_and_maps_count_all_training_tokens(phrases):
+    """Against brute force: the maps hold each training token once, and a token without itself in the counts."""
+    c = mixing_lm.counted(lm_rows(phrases.repartition(3)))
+    state, packed = mixing_lm.learned(c)
+    refine = mixing_lm.Mixer.load(state).refine - 1
+    rows = [r.asDict(recursive=True) for r in c.ready.collect() if r["kind"] != mixing_lm.HELD]
+    assert len(rows) > 1 and {r["kind"] for r in rows} == {mixing_lm.TRAINING, mixing_lm.TUNING}
+    assert [x.sum() for x in refine[: mixing_lm.LEVELS]] == [c.sums[0]] * mixing_lm.LEVELS
+    blocks = [mixing_lm.Answered(r) for r in rows]
+    assert refine[mixing_lm.LEVELS].sum() == sum(int(b.known.sum()) for b in blocks)
+    again = {tuple(r["doc_ids"]): mixing_lm.Packed(r.asDict(recursive=True)) for r in packed.collect()}
+    for b, r in zip(blocks, rows, strict=True):
+        for x in (*mixing_lm.COLUMNS[3:], "cls", "count", "share", "n_bytes"):
+            assert (getattr(b, x) == getattr(again[tuple(r["doc_ids"])], x)).all()
+    follows = defaultdict(Counter)
+    pairs = {id(b): list(zip(b.contexts().tolist(), b.next_word().tolist(), strict=True)) for b in blocks}
+    for x in pairs.values():
+        for context, word in x:
+            follows[context][word] += 1
+    seen = 0
+    for b in blocks:
+        if b.kind == mixing_lm.TRAINING:
+            t = mixing_lm.Tokens.without_own(b)
+            for i in np.flatnonzero(t.known):
+                context, word = pairs[id(b)][i]
+                n = Counter(follows[context])
+                n[word] -= 1
+                top = min(n, key=lambda w: (-n[w], w))
+                assert t.hit[i] == (top == word)
+                for code, most in ((t.times[i], n[top]), (t.rest[i], n.total() - n[top])):
+                    assert mixing_lm.COUNTS[code] == most if most < 63 else abs(mixing_lm.COUNTS[code] / most - 1) < 0.14
+                seen += int(top != min(follows[context], key=lambda w: (-follows[context][w], w)))
+    assert seen
+
+
+def test_sums_are_those_of_one_token_at_a_time():
+    rng = np.random.default_rng(2)
+    n, size = mixing_lm.CLASSES, 300
+    cls = rng.integers(0, n, size).astype(np.int32)
+    t = mixing_lm.Tokens({"cls": cls, "back1": np.roll(cls, 1), "back2": np.roll(cls, 2), "doc": np.repeat(np.arange(2), size // 2), "place": np.tile(np.arange(size // 2), 2), "known": rng.integers(0, 2, size).astype(np.int8), "hit": rng.integers(0, 2, size).astype(np.int8), "times": rng.integers(0, 9, size).astype(np.uint8), "rest": rng.integers(0, 9, size).astype(np.uint8)})
+    counts = np.stack([np.bincount(b * n + cls, minlength=n * n).reshape(n, n) for b in (np.zeros(size, int), t.back1, t.back2)])
+    m, sums = mixing_lm.Mixer(), mixing_lm.Sums()
+    m.add(t, mixing_lm.left_out(counts), sums)
+    gradient = np.zeros_like(sums.gradient)
+    for level in range(mixing_lm.LEVELS):
+        x, bit, gate = m.class_bits(t, mixing_lm.stretched(counts), level)
+        node = (cls >> (mixing_lm.LEVELS - level)) | (1 << level)
+        for i in range(size):
+            for k, b in enumerate((0, t.back1[i], t.back2[i])):
+                one = counts[k].copy()
+                one[b, cls[i]] -= 1
+                low = (node[i] << (mixing_lm.LEVELS - level)) - n
+                half = n >> (level + 1)
+                x[k, i] = math.log((one[b, low + half : low + 2 * half].sum() + mixing_lm.PRIOR) / (one[b, low : low + half].sum() + mixing_lm.PRIOR))
+            gradient[gate[i]] += x[:, i] * (bit[i] - 1 / (1 + np.exp(-m.weights[gate[i]] @ x[:, i])))
+    assert np.allclose(sums.gradient, gradient, atol=1e-4) and sums.refine[: mixing_lm.LEVELS].sum() == size * mixing_lm.LEVELS
+    better = m.adjusted(sums)
+    assert np.isfinite(better.state() and better.weights).all() and np.abs(better.weights - m.weights).max() > 1e-3
+
+
 def test_bits_of_all_classes_add_up_to_one():
     import numpy as np
 
