@@ -48,6 +48,20 @@ def test_a_place_of_many_boxes_is_many_rows_of_keys(spark, monkeypatch):
     assert found.count() == 50 * 49 // 2 == found.filter("a < b").distinct().count()
 
 
+def test_rows_of_keys_are_small_and_a_place_is_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "ALIKE", 8)
+    boxes = spark.range(90).select(F.col("id").alias("annotation_id"), F.lit(1).alias("image_id"), (F.col("id") % 3 * 5).cast("int").alias("x0"), *(F.lit(9).alias(c) for c in ("y0", "w", "h")))
+    found = spatial.touching_pairs(boxes)
+    rows = found.select("a", "b", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r["a"], r["b"]) for r in rows) == [(a, b) for a in range(90) for b in range(a + 1, 90) if abs(a % 3 - b % 3) < 2]
+    assert len({r["task"] for r in rows if r["a"] % 3 == r["b"] % 3 == 0}) > 1
+    monkeypatch.setattr(spatial, "FEW", 2)
+    places = spatial._places(boxes, "annotation_id")
+    pairs = spatial._touching(places, 256, 256, 0, 4096)
+    met = spatial._rows_of_keys(boxes, "annotation_id", places, pairs).select(F.size("keys_a").alias("a"), F.size("keys_b").alias("b"))
+    assert max(r["a"] for r in met.collect()) == 2 and met.agg(F.sum(F.col("a") * F.col("b"))).first()[0] == 30 * 30 * 5
+
+
 @pytest.fixture(scope="module")
 def repeated_orders(spark, sf_dir, tmp_path_factory):
     """The tables with each order five times, at keys that derive the same box."""
